@@ -1,0 +1,683 @@
+"""The named queries over the driver tables.
+
+Each takes the session and a folder of parquet tables and returns a DataFrame over whole tables.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ovenplan.functions.labels import EMAIL_TYPES, PHONE_TYPES, decode
+from ovenplan.functions.numbers import percent_change
+from ovenplan.functions.predicates import like_ci, recent
+from ovenplan.operators import cost, demand, directory, history, lookup, quality, recipe, snapshots
+from ovenplan.plans.views import VIEWS, register_views
+from ovenplan.schemas import TABLES, Reference
+from ovenplan.session import shared_folder, tune
+from ovenplan.sources.binding import AS_OF, Bakery, bind, bind_v1, read_sources
+from ovenplan.streaming.changes import read_log, stream_changes
+
+Query = Callable[[SparkSession, str], DataFrame]
+CATALOG: dict[str, Query] = {}
+
+
+def portable(df: DataFrame) -> DataFrame:
+    """Column types that other engines render alike: dates and times as text, decimals as bigint or double."""
+    columns = []
+    for field in df.schema.fields:
+        kind, col = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("date", "timestamp_ntz"):
+            col = col.cast("string")
+        elif kind == "decimal":
+            col = col.cast("double" if field.dataType.scale else "bigint")
+        elif kind in ("byte", "short", "integer"):
+            col = col.cast("bigint")
+        columns.append(col.alias(field.name))
+    return df.select(*columns)
+
+
+def query(name: str) -> Callable[[Query], Query]:
+    def add(build: Query) -> Query:
+        CATALOG[name] = lambda spark, folder: portable(build(tune(spark), folder))
+        return build
+
+    return add
+
+
+def on_tables(name: str) -> Callable[[Callable[[Bakery], DataFrame]], Callable[[Bakery], DataFrame]]:
+    """A query over the bound tables."""
+
+    def add(build: Callable[[Bakery], DataFrame]) -> Callable[[Bakery], DataFrame]:
+        query(name)(lambda spark, folder: build(bind(spark, folder)))
+        return build
+
+    return add
+
+
+def on_v1(name: str) -> Callable[[Callable[[dict], DataFrame]], Callable[[dict], DataFrame]]:
+    """A query over the bound first-generation tables."""
+
+    def add(build: Callable[[dict], DataFrame]) -> Callable[[dict], DataFrame]:
+        query(name)(lambda spark, folder: build(bind_v1(spark, folder)))
+        return build
+
+    return add
+
+
+def noon() -> Column:
+    """The time of change of the planning date, without a zone."""
+    return F.lit(f"{AS_OF.isoformat()} 12:00:00").cast("timestamp_ntz")
+
+
+# Shared building blocks
+
+
+def book(t: Mapping[str, DataFrame]) -> DataFrame:
+    return directory.phone_book(t["phones"], t["parties"], t["people_st"])
+
+
+def costs(t: Mapping[str, DataFrame]) -> DataFrame:
+    return cost.cost_list(t["ingredient_costs"], t["ingredients"])
+
+
+def weights(t: Mapping[str, DataFrame]) -> DataFrame:
+    return demand.batch_weight(demand.todays_combined(t, AS_OF), t["products"])
+
+
+def costed_formula(t: Mapping[str, DataFrame], pattern: str | None = None) -> DataFrame:
+    return recipe.formula(recipe.product_info(t), weights(t), costs(t), pattern)
+
+
+def costs_after(before: DataFrame) -> DataFrame:
+    """Dearer large packs, and cheap ingredients in double packs."""
+    dearer = snapshots.apply_update(
+        before, F.col("grams") >= 200, {"cost": (F.col("cost") + F.lit("0.80").cast("decimal(3,2)")).cast("decimal(10,5)")}
+    )
+    return snapshots.apply_update(
+        dearer, F.col("cost") < 500, {"grams": (F.col("grams") * 2).cast("decimal(18,6)")}
+    )
+
+
+def recipe_rows(t: Mapping[str, DataFrame]) -> DataFrame:
+    row_id = F.concat_ws("-", F.col("product_id").cast("string"), F.col("ingredient_id").cast("string"))
+    return t["product_ingredients"].withColumn("row_id", row_id)
+
+
+def recipe_after(before: DataFrame) -> DataFrame:
+    """Less of the main ingredients, some ingredients replaced by the next, and some sour parts dropped."""
+    less = snapshots.apply_update(
+        before,
+        F.col("bakers_percent") > 45,
+        {"bakers_percent": (F.col("bakers_percent") - 1).cast("decimal(5,2)")},
+    )
+    other = snapshots.apply_update(less, F.col("percent_in_soaker") == 2, {"ingredient_id": F.col("ingredient_id") + 1})
+    return snapshots.apply_update(
+        other, F.col("percent_in_sour") > 8, {"percent_in_sour": F.lit(0).cast("decimal(18,6)")}
+    )
+
+
+def standing_rows(t: Mapping[str, DataFrame]) -> DataFrame:
+    keys = ["day_of_week", "customer_id", "product_id", "shape_id"]
+    return t["standing_orders"].withColumn("row_id", F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
+
+
+def standing_after(before: DataFrame) -> DataFrame:
+    """Large orders doubled, and Sunday orders moved to Saturday."""
+    larger = snapshots.apply_update(before, F.col("amt") > 45, {"amt": F.col("amt") * 2})
+    return snapshots.apply_update(
+        larger, F.col("day_of_week") == 0, {"day_of_week": F.lit(6).cast("smallint")}
+    )
+
+
+def cost_log(t: Mapping[str, DataFrame]) -> DataFrame:
+    return history.cost_changes(t["ingredient_costs"], costs_after(t["ingredient_costs"]), noon())
+
+
+def standing_log(t: Mapping[str, DataFrame]) -> DataFrame:
+    before = standing_rows(t)
+    return history.standing_changes(before, standing_after(before), "row_id", noon())
+
+
+def logged(spark: SparkSession, folder: str) -> Bakery:
+    """The bound tables with the change logs of the two snapshots above."""
+    t = bind(spark, folder)
+    return t.with_tables({"cost_change_log": lambda _: cost_log(t), "standing_change_log": lambda _: standing_log(t)})
+
+
+# Sources and sinks
+
+
+def _row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
+        for name, df in tables.items()
+    ]
+    result = counts[0]
+    for other in counts[1:]:
+        result = result.unionByName(other)
+    return result
+
+
+@query("src_tables")
+def src_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return _row_counts({**read_sources(spark, folder), **bind(spark, folder)})
+
+
+@query("src_views")
+def src_views(spark: SparkSession, folder: str) -> DataFrame:
+    names = register_views(spark, logged(spark, folder), AS_OF)
+    return _row_counts({name: spark.table(name) for name in names})
+
+
+@on_tables("snk_append")
+def snk_append(t: Bakery) -> DataFrame:
+    """Orders placed from the planning date on come in without a creation time or party type."""
+    orders = t["special_orders"]
+    known = orders.filter(F.col("created") < noon())
+    incoming = orders.filter(F.col("created") >= noon()).drop("created", "io").withColumn("io", F.lit("i"))
+    return snapshots.append_rows(known, snapshots.fill_defaults(incoming, "special_orders", noon()))
+
+
+@on_tables("snk_defaults")
+def snk_defaults(t: Bakery) -> DataFrame:
+    recipe_in = t["product_ingredients"].drop("percent_in_soaker").withColumns(
+        {
+            "percent_in_sour": F.nullif("percent_in_sour", F.lit(0)),
+            "percent_in_poolish": F.nullif("percent_in_poolish", F.lit(0)),
+        }
+    )
+    return snapshots.fill_defaults(recipe_in, "product_ingredients", noon())
+
+
+@on_tables("snk_resolve_append")
+def snk_resolve_append(t: Bakery) -> DataFrame:
+    """Orders that name customer, product and shape; products that are no dough are misspelt and are not found."""
+    name = F.when(F.col("is_dough"), F.upper("product_name")).otherwise(F.concat(F.lit("no "), "product_name"))
+    named = directory.join_party(t["special_orders"], t["parties"], "customer_id", "io")
+    named = named.join(t["products"].select("product_id", name.alias("product")), "product_id").select(
+        "delivery_date",
+        F.lower("party_name").alias("customer"),
+        "product",
+        F.concat(F.lit("SHAPE"), F.lit("%"), F.col("shape_id")).alias("shape"),
+        "amt",
+    )
+    customers = t["parties"].filter("party_type = 'i'")
+    resolved = lookup.resolve_keys(
+        named,
+        {
+            "customer>customer_id": (customers, "party_name", "party_id"),
+            "product": (t["products"], "product_name", "product_id"),
+            "shape": (t["shapes"], "shape_name", "shape_id"),
+        },
+    )
+    keys = ["customer_id", "product_id", "shape_id"]
+    accepted, rejected = lookup.split_rejects(resolved, keys)
+    columns = ["delivery_date", *keys, "amt"]
+    return (
+        accepted.select(*columns, F.lit("accepted").alias("outcome"))
+        .unionByName(rejected.select(*columns, F.lit("rejected").alias("outcome")))
+    )
+
+
+@on_tables("snk_update")
+def snk_update(t: Bakery) -> DataFrame:
+    number = F.concat(F.lit("+1 "), "phone_no")
+    return snapshots.apply_update(t["phones"], F.col("phone_type") == "m", {"phone_no": number}, noon())
+
+
+@on_tables("touch_modified")
+def touch_modified(t: Bakery) -> DataFrame:
+    return snapshots.apply_update(t["phones"], F.col("phone_type") == "w", {"phone_no": F.col("phone_no")}, noon())
+
+
+@query("snk_upsert")
+def snk_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """New costs from the smallest full lines; suppliers without a cost row are ignored."""
+    t = bind(spark, folder)
+    updates = (
+        t.sources["lineitem"]
+        .filter("l_quantity = 50")
+        .groupBy("l_suppkey")
+        .agg(F.min("l_extendedprice").cast("decimal(10,5)").alias("cost"))
+        .select(
+            *[F.col("l_suppkey").alias(key) for key in ("ingredient_id", "maker_id", "seller_id")],
+            "cost",
+            F.lit(None).cast("decimal(18,6)").alias("grams"),
+        )
+    )
+    snapshot = t["ingredient_costs"].withColumn("modified", F.lit(None).cast("timestamp_ntz"))
+    return snapshots.apply_updates(snapshot, updates, ["ingredient_id", "maker_id", "seller_id"], noon())
+
+
+# Projections and filters
+
+
+@on_tables("proj_code_label")
+def proj_code_label(t: Bakery) -> DataFrame:
+    phones = t["phones"].select("party_id", decode(F.col("phone_type"), PHONE_TYPES).alias("type"))
+    return phones.unionByName(t["emails"].select("party_id", decode(F.col("email_type"), EMAIL_TYPES).alias("type")))
+
+
+@on_tables("proj_full_name")
+def proj_full_name(t: Bakery) -> DataFrame:
+    return directory.full_name(t["parties"], t["people_st"])
+
+
+@on_tables("proj_alias")
+def proj_alias(t: Bakery) -> DataFrame:
+    return t["product_ingredients"].select("product_id", "ingredient_id", F.col("bakers_percent").alias("%"))
+
+
+@on_tables("proj_saved_lists")
+def proj_saved_lists(t: Bakery) -> DataFrame:
+    listed = directory.staff_list(t["staff_st"], t["people_st"], t["parties"], book(t), t["zip_codes"])
+    return directory.saved_list(listed, directory.STAFF_COLUMNS)
+
+
+@on_tables("flt_equal")
+def flt_equal(t: Bakery) -> DataFrame:
+    return book(t).filter(F.col("type") == "mobile")
+
+
+@on_tables("flt_in_list")
+def flt_in_list(t: Bakery) -> DataFrame:
+    return t["organization_st"].filter(F.col("org_type").isin("b", "n", "g"))
+
+
+@on_tables("flt_like_ci")
+def flt_like_ci(t: Bakery) -> DataFrame:
+    return t["products"].filter(like_ci(F.col("product_name"), "RED%"))
+
+
+@on_tables("flt_due_today")
+def flt_due_today(t: Bakery) -> DataFrame:
+    return demand.special_due(t["special_orders"], t["products"], AS_OF).select(
+        "product_id", "delivery_date", "lead_time_days", "customer_id", "shape_id", "amt"
+    )
+
+
+@on_tables("flt_active_range")
+def flt_active_range(t: Bakery) -> DataFrame:
+    return demand.active_changes(t["tmp_chng"], t["products"], AS_OF)
+
+
+@on_tables("flt_weekday_wrap")
+def flt_weekday_wrap(t: Bakery) -> DataFrame:
+    return _weekly(t, wrap=True)
+
+
+@on_v1("flt_weekday_nowrap")
+def flt_weekday_nowrap(t: dict) -> DataFrame:
+    return _weekly(t, wrap=False)
+
+
+def _weekly(t: Mapping[str, DataFrame], wrap: bool) -> DataFrame:
+    return demand.standing_due(t["standing_orders"], t["products"], AS_OF, wrap).select(
+        "day_of_week", "lead_time_days", "customer_id", "product_id", "shape_id", "amt"
+    )
+
+
+@on_tables("flt_recent")
+def flt_recent(t: Bakery) -> DataFrame:
+    changed = recent(F.col("modified"), noon(), 90 * 86400)
+    return t["phones"].filter(changed).select("party_id", "phone_type", "modified")
+
+
+# Joins
+
+
+@on_tables("join_inner_single")
+def join_inner_single(t: Bakery) -> DataFrame:
+    return directory.people_list(t["people_st"], t["parties"])
+
+
+@on_tables("join_inner_composite")
+def join_inner_composite(t: Bakery) -> DataFrame:
+    return directory.join_party(t["special_orders"], t["parties"], "customer_id", "io").select(
+        "delivery_date", "party_name", "product_id", "shape_id", "amt"
+    )
+
+
+@on_tables("join_full_outer")
+def join_full_outer(t: Bakery) -> DataFrame:
+    """Organizations against people: names on both sides find no partner."""
+    return directory.full_name(t["parties"].filter("party_type = 'o'"), t["people_st"])
+
+
+@on_tables("join_full_reduced")
+def join_full_reduced(t: Bakery) -> DataFrame:
+    return proj_saved_lists(t).select("party_id", "city", "mobile")
+
+
+@on_tables("join_left")
+def join_left(t: Bakery) -> DataFrame:
+    return directory.staff_phones(t["staff_st"], t["people_st"], book(t))
+
+
+@on_v1("join_left_nullrejected")
+def join_left_nullrejected(t: dict) -> DataFrame:
+    return demand.standing_minus_holds(t, AS_OF).select("dough_id", "customer", "amt")
+
+
+@on_tables("join_name")
+def join_name(t: Bakery) -> DataFrame:
+    named = costs(t).select(F.col("ingredient_name").alias("ingredient"), "cost_per_g")
+    return recipe.product_info(t).join(named, "ingredient").select("product_name", "ingredient", "cost_per_g")
+
+
+@on_tables("join_anti_scoped")
+def join_anti_scoped(t: Bakery) -> DataFrame:
+    mods = t["dough_mods"].filter(like_ci(F.col("mod_name"), "MOD O"))
+    kept = t["product_ingredients"].join(mods, ["product_id", "ingredient_id"], "left_anti")
+    return kept.select("product_id", "ingredient_id")
+
+
+@on_tables("join_anti_global")
+def join_anti_global(t: Bakery) -> DataFrame:
+    replaced = t["dough_mods"].select("ingredient_id").distinct()
+    kept = t["product_ingredients"].join(replaced, "ingredient_id", "left_anti")
+    return kept.select("product_id", "ingredient_id")
+
+
+@on_tables("join_semi")
+def join_semi(t: Bakery) -> DataFrame:
+    return cost.cost_list_for(costs(t), costed_formula(t, "red%"))
+
+
+@on_tables("join_self_pk")
+def join_self_pk(t: Bakery) -> DataFrame:
+    """A code table joined to itself on its key only to add a label: a projection."""
+    return t["emails"].select("party_id", decode(F.col("email_type"), EMAIL_TYPES).alias("type"), "email")
+
+
+# Aggregates, windows, sorts, unions
+
+
+@on_tables("agg_order_summary")
+def agg_order_summary(t: Bakery) -> DataFrame:
+    return demand.todays_order_summary(demand.todays_orders(t, AS_OF))
+
+
+@on_tables("agg_batch_weight")
+def agg_batch_weight(t: Bakery) -> DataFrame:
+    return weights(t)
+
+
+@on_v1("agg_batch_weight_two_part")
+def agg_batch_weight_two_part(t: dict) -> DataFrame:
+    return demand.batch_weight_v1(t, AS_OF)
+
+
+@on_tables("agg_mod_total")
+def agg_mod_total(t: Bakery) -> DataFrame:
+    return recipe.mod_total(t, mod="mod o%")
+
+
+@on_tables("agg_formula_cost")
+def agg_formula_cost(t: Bakery) -> DataFrame:
+    return recipe.formula_cost(costed_formula(t))
+
+
+@on_tables("agg_cost_per_gram")
+def agg_cost_per_gram(t: Bakery) -> DataFrame:
+    return recipe.formula_cost_per_gram(costed_formula(t))
+
+
+@on_tables("agg_distinct")
+def agg_distinct(t: Bakery) -> DataFrame:
+    return t["staff_st"].select("street", "zip", "is_active").distinct()
+
+
+@on_tables("win_total_bp")
+def win_total_bp(t: Bakery) -> DataFrame:
+    return recipe.total_bp(recipe.product_info(t))
+
+
+@on_tables("win_bak_per")
+def win_bak_per(t: Bakery) -> DataFrame:
+    return recipe.bak_per(recipe.product_info(t))
+
+
+@on_tables("sort_phone_book")
+def sort_phone_book(t: Bakery) -> DataFrame:
+    return directory.sort_phone_book(book(t))
+
+
+@on_tables("sort_recipe")
+def sort_recipe(t: Bakery) -> DataFrame:
+    return recipe.sort_recipe(recipe.product_info(t))
+
+
+@on_tables("sort_unit_cost")
+def sort_unit_cost(t: Bakery) -> DataFrame:
+    return cost.sort_unit_cost(costs(t))
+
+
+@on_tables("sort_summary")
+def sort_summary(t: Bakery) -> DataFrame:
+    return agg_order_summary(t).orderBy("dough_id")
+
+
+@on_tables("sort_instructions")
+def sort_instructions(t: Bakery) -> DataFrame:
+    return recipe.instructions_for(t["product_instructions"], t["products"], "%widget%")
+
+
+@on_tables("union_orders")
+def union_orders(t: Bakery) -> DataFrame:
+    return demand.union_orders(demand.todays_adjusted_so(t, AS_OF), demand.special_part(t, AS_OF)).select(
+        "dow", "prid", "amt"
+    )
+
+
+@on_tables("union_modded_recipe")
+def union_modded_recipe(t: Bakery) -> DataFrame:
+    return recipe.modded_recipe(t, mod="mod o%")
+
+
+@on_tables("fn_percent_change")
+def fn_percent_change(t: Bakery) -> DataFrame:
+    after = costs_after(t["ingredient_costs"]).select("ingredient_id", F.col("cost").alias("new_cost"))
+    return t["ingredient_costs"].join(after, "ingredient_id").select(
+        "ingredient_id", percent_change(F.col("new_cost"), F.col("cost"), 3).alias("percent")
+    )
+
+
+# Named views
+
+
+def _view(name: str) -> None:
+    query(name)(lambda spark, folder: VIEWS[name](logged(spark, folder), AS_OF))
+
+
+for _name in (
+    "phone_book",
+    "staff_phones",
+    "email_list",
+    "staff_list",
+    "people_list",
+    "shape_list",
+    "ein_list",
+    "todays_orders",
+    "todays_adjusted_so",
+    "todays_combined_spec_standing",
+    "product_info",
+    "cost_list",
+    "cost_change_list",
+    "standing_change_history",
+):
+    _view(_name)
+
+
+@on_tables("phone_search")
+def phone_search(t: Bakery) -> DataFrame:
+    return directory.phone_search(book(t), "%SUPPLIER#%7")
+
+
+@on_tables("staff_list_v1")
+def staff_list_v1(t: Bakery) -> DataFrame:
+    return directory.staff_list(
+        t["staff_st"], t["people_st"], t["parties"], book(t), t["zip_codes"], mobile_only=True
+    )
+
+
+@on_tables("ingredient_list")
+def ingredient_list(t: Bakery) -> DataFrame:
+    return directory.ingredient_list(t["ingredients"], t["parties"])
+
+
+@on_v1("standing_minus_holds")
+def standing_minus_holds(t: dict) -> DataFrame:
+    return demand.standing_minus_holds(t, AS_OF)
+
+
+@on_tables("formula")
+def formula(t: Bakery) -> DataFrame:
+    return costed_formula(t)
+
+
+@on_v1("formula_v1")
+def formula_v1(t: dict) -> DataFrame:
+    weight = demand.batch_weight_v1(t, AS_OF).withColumnRenamed("dough_id", "product_id")
+    return recipe.formula(recipe.product_info(t), weight).withColumnRenamed("product", "dough")
+
+
+@on_tables("modded_formula")
+def modded_formula(t: Bakery) -> DataFrame:
+    return recipe.modded_formula(t, AS_OF, mod="mod o%")
+
+
+@query("lookup_id")
+def lookup_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Patterns made from the small tables, looked up in all four dimensions."""
+    t = bind(spark, folder)
+    nation = F.lpad(F.col("n_nationkey").cast("string"), 3, "0")
+    patterns = {
+        "pid": t.sources["nation"].select(F.concat(F.lit("%"), nation).alias("p")),
+        "prid": t.sources["part"].select(F.concat(F.upper("p_name"), F.lit(" 1%")).alias("p")),
+        "iid": t.sources["nation"].select(F.concat(F.lit("Supplier#%"), F.col("n_nationkey")).alias("p")),
+        "sid": t.sources["region"]
+        .select(F.concat(F.repeat(F.lit("_"), F.col("r_regionkey") + 5), F.lit("%")).alias("p"))
+        .unionByName(t["shapes"].select(F.upper("shape_name").alias("p"))),
+    }
+    dims = {
+        "pid": (t["parties"], "party_name", "party_id"),
+        "prid": (t["products"], "product_name", "product_id"),
+        "iid": (t["ingredients"], "ingredient_name", "ingredient_id"),
+        "sid": (t["shapes"], "shape_name", "shape_id"),
+    }
+    found = None
+    for kind, wanted in patterns.items():
+        part = lookup.lookup_id(*dims[kind], wanted, "p").select(
+            F.lit(kind).alias("kind"), "pattern", F.col("id").cast("bigint").alias("id"), "hits"
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+# Change capture
+
+
+@on_tables("cdc_cost")
+def cdc_cost(t: Bakery) -> DataFrame:
+    return cost_log(t)
+
+
+@on_tables("cdc_recipe")
+def cdc_recipe(t: Bakery) -> DataFrame:
+    before = recipe_rows(t)
+    return history.recipe_changes(before, recipe_after(before), "row_id", noon())
+
+
+@on_tables("cdc_standing")
+def cdc_standing(t: Bakery) -> DataFrame:
+    return standing_log(t)
+
+
+FEED_KEYS, FEED_ORDER, FEED_WATCHED = ["user_id", "event_type"], ["ts", "event_id"], ["value"]
+
+
+@query("cdc_feed")
+def cdc_feed(spark: SparkSession, folder: str) -> DataFrame:
+    return history.changes_from_feed(read_sources(spark, folder)["events"], FEED_KEYS, FEED_ORDER, FEED_WATCHED)
+
+
+@query("cdc_stream")
+def cdc_stream(spark: SparkSession, folder: str) -> DataFrame:
+    events = read_sources(spark, folder)["events"]
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/event[s].parquet")  # a pattern may name one file
+    out = shared_folder(spark, "changes")
+    writer = stream_changes(stream, FEED_KEYS, FEED_ORDER, FEED_WATCHED, out)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return read_log(out, events)
+
+
+# Data quality
+
+
+@on_tables("dq_check")
+def dq_check(t: Bakery) -> DataFrame:
+    report = None
+    for name, declared in TABLES.items():
+        if not declared.rules or name not in t:
+            continue
+        keys = list(declared.key) or declared.names
+        part = quality.check_rules(t[name], declared.rules, keys, AS_OF).select(
+            F.lit(name).alias("table_name"), "rule", "key", "value"
+        )
+        report = part if report is None else report.unionByName(part)
+    return report
+
+
+@on_tables("dq_not_null")
+def dq_not_null(t: Bakery) -> DataFrame:
+    """Changes without an end and phones without times, against columns that may not be NULL."""
+    changes = quality.check_not_null(t["tmp_chng"], ["start_date", "resume_date"], TABLES["tmp_chng"].key)
+    phones = quality.check_not_null(
+        t["phones"], ["phone_type", "phone_no", "created", "modified"], TABLES["phones"].key
+    )
+    return changes.unionByName(phones)
+
+
+@query("dq_unique")
+def dq_unique(spark: SparkSession, folder: str) -> DataFrame:
+    """Part names alone and line keys repeat; the bound keys do not."""
+    t = bind(spark, folder)
+    reports = [
+        quality.check_unique(t.sources["part"], ["p_name"], "part_name_unique"),
+        quality.check_unique(t.sources["lineitem"], ["l_orderkey", "l_linenumber"], "order_line_unique"),
+        quality.check_unique(t["special_orders"], list(TABLES["special_orders"].key), "special_orders_key"),
+        quality.check_unique(t["products"], ["product_name"], "product_name_unique"),
+    ]
+    report = reports[0]
+    for other in reports[1:]:
+        report = report.unionByName(other)
+    return report
+
+
+@on_tables("dq_foreign_key")
+def dq_foreign_key(t: Bakery) -> DataFrame:
+    """Against parents that lack small sizes, customers in debt and small weekly orders."""
+    standing = Reference(
+        ("day_of_week", "customer_id", "product_id", "shape_id"),
+        "standing_orders",
+        ("day_of_week", "customer_id", "product_id", "shape_id"),
+    )
+    product = Reference(("product_id",), "products", ("product_id",))
+    customer = Reference(("customer_id", "io"), "staff_st", ("party_id", "party_type"))
+    doughs = t["products"].filter("is_dough")
+    large = t["standing_orders"].filter("amt >= 10")
+    return (
+        quality.check_fk(t["product_shapes"], doughs, product, "product_shapes_product")
+        .unionByName(quality.check_fk(t["special_orders"], t["staff_st"], customer, "special_orders_customer"))
+        .unionByName(quality.check_fk(t["tmp_chng"], large, standing, "tmp_chng_standing"))
+    )
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """The costed formula of every product for the planning date."""
+    return CATALOG["formula"](spark, folder)
