@@ -6,11 +6,15 @@ wildcards, and otherwise the pattern's rarest three-letter piece. LIKE is then t
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ovenplan.functions.predicates import like_ci
+
 PIECE = 3
 
 
@@ -45,14 +49,21 @@ def lookup_id(dim: DataFrame, name_col: str, id_col: str, patterns: DataFrame, p
     has_wildcard = F.col("needle").rlike(r"[%_\\]")
     plain = needles.filter(~has_wildcard).join(names, F.col("needle") == F.col("name"))
     wild = needles.filter(has_wildcard)
-    found = (
-        plain.select("pattern", "id", "hits")
+    nothing = wanted.select("pattern", F.lit(None).cast(dim.schema[id_col].dataType).alias("id"), F.lit(0).alias("hits"))
+    return (
+        nothing.unionByName(plain.select("pattern", "id", "hits"))
         .unionByName(_by_piece(wild.filter(F.size("runs") > 0), names))
         .unionByName(_by_length(wild.filter(F.size("runs") == 0), names))
         .groupBy("pattern")
         .agg(F.min("id").alias("id"), F.sum("hits").alias("hits"))
     )
-    return wanted.join(found, "pattern", "left").select("pattern", "id", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def find_id(dim: DataFrame, name_col: str, id_col: str, pattern: str) -> DataFrame:
+    """``id, hits`` for one pattern given as text: a filter and an aggregate, always one row."""
+    return dim.filter(like_ci(F.col(name_col), pattern)).agg(
+        F.min(id_col).alias("id"), F.count(F.lit(1)).alias("hits")
+    )
 
 
 def _by_piece(needles: DataFrame, names: DataFrame) -> DataFrame:
@@ -87,14 +98,13 @@ def _by_length(needles: DataFrame, names: DataFrame) -> DataFrame:
         .groupBy("length")
         .agg(F.min("id").alias("id"), F.sum("hits").alias("hits"))
     )
+    either = lengths.withColumn("open", F.lit(False)).unionByName(at_least.withColumn("open", F.lit(True)))
     sized = needles.select(
         "pattern",
         F.length(F.regexp_replace("needle", "%", "")).alias("length"),
         F.contains("needle", F.lit("%")).alias("open"),
     )
-    exact = sized.filter(~F.col("open")).join(lengths, "length")
-    longer = sized.filter("open").join(at_least, "length")
-    return exact.unionByName(longer).select("pattern", "id", "hits")
+    return sized.join(either, ["length", "open"]).select("pattern", "id", "hits")
 
 
 def resolve_keys(df: DataFrame, lookups: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -103,18 +113,16 @@ def resolve_keys(df: DataFrame, lookups: Mapping[str, tuple[DataFrame, str, str]
     ``lookups`` maps a column to ``(dim, name_col, id_col)``. The key takes the name ``id_col`` unless the mapping key is
     written ``column>key``. A name that is not found gives a NULL key.
     """
+    resolved = df
     for target, (dim, name_col, id_col) in lookups.items():
         column, _, key = target.partition(">")
         found = lookup_id(dim, name_col, id_col, df, column).select(
             F.col("pattern").alias(column), F.col("id").alias(key or id_col)
         )
-        df = df.join(found, column, "left").drop(column)
-    return df
+        resolved = resolved.join(found, column, "left").drop(column)
+    return resolved
 
 
-def split_rejects(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with all required columns, and the rows that lack one."""
-    complete = F.lit(True)
-    for column in required:
-        complete = complete & F.col(column).isNotNull()
-    return df.filter(complete), df.filter(~complete)
+def complete(required: Sequence[str]) -> Column:
+    """True for a row that has all required keys; the others are rejects."""
+    return reduce(and_, [F.col(column).isNotNull() for column in required])

@@ -215,12 +215,8 @@ def snk_resolve_append(t: Bakery) -> DataFrame:
         },
     )
     keys = ["customer_id", "product_id", "shape_id"]
-    accepted, rejected = lookup.split_rejects(resolved, keys)
-    columns = ["delivery_date", *keys, "amt"]
-    return (
-        accepted.select(*columns, F.lit("accepted").alias("outcome"))
-        .unionByName(rejected.select(*columns, F.lit("rejected").alias("outcome")))
-    )
+    outcome = F.when(lookup.complete(keys), F.lit("accepted")).otherwise(F.lit("rejected"))
+    return resolved.select("delivery_date", *keys, "amt", outcome.alias("outcome"))
 
 
 @on_tables("snk_update")
