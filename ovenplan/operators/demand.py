@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ovenplan.functions.numbers import round_div, whole
-from ovenplan.functions.predicates import active_on, delivery_of_start, due_weekday, like_ci
+from ovenplan.functions.predicates import active_on, delivery_of_start, due_weekday, like_ci, weekday_of
 from ovenplan.operators.directory import join_party
 from ovenplan.schemas import LEAD_DAYS_MAX, LEAD_DAYS_MIN
 
@@ -86,45 +86,40 @@ def standing_due(standing_orders: DataFrame, products: DataFrame, as_of: dt.date
     return standing_orders.join(weekdays, ["product_id", "day_of_week"])
 
 
-def todays_adjusted_so(tables: Tables, as_of: dt.date) -> DataFrame:
+def adjusted_due(tables: Tables, products: DataFrame, as_of: dt.date) -> DataFrame:
     """Weekly orders to start on ``as_of``, scaled by the active changes. Two overlapping changes give two rows."""
     keys = ["day_of_week", "customer_id", "product_id", "shape_id"]
-    changes = active_changes(tables["tmp_chng"], tables["products"], as_of).select(*keys, "percent_multiplier")
-    due = standing_due(tables["standing_orders"], tables["products"], as_of)
+    changes = active_changes(tables["tmp_chng"], products, as_of).select(*keys, "percent_multiplier")
+    due = standing_due(tables["standing_orders"], products, as_of)
     scaled = round_div(
         F.col("amt").cast("decimal(10,0)") * whole(F.col("percent_multiplier"), 1, 5),
         F.lit(1000).cast("decimal(4,0)"),
     )
-    return (
-        due.join(changes, keys, "left")
-        .join(tables["product_shapes"], ["product_id", "shape_id"])
-        .select(
-            F.col("day_of_week").cast("int").alias("dow"),
-            F.col("customer_id").alias("cid"),
-            F.col("product_id").alias("prid"),
-            "product_name",
-            F.col("shape_id").alias("sid"),
-            F.coalesce(scaled, F.col("amt").cast("bigint")).alias("amt"),
-            "grams",
-        )
+    return due.join(changes, keys, "left").withColumn("amt", F.coalesce(scaled, F.col("amt").cast("bigint")))
+
+
+def _combined_columns(due: DataFrame, product_shapes: DataFrame, weekday: Column) -> DataFrame:
+    return due.join(product_shapes, ["product_id", "shape_id"]).select(
+        weekday.cast("int").alias("dow"),
+        F.col("customer_id").alias("cid"),
+        F.col("product_id").alias("prid"),
+        "product_name",
+        F.col("shape_id").alias("sid"),
+        F.col("amt").cast("bigint").alias("amt"),
+        "grams",
     )
 
 
+def todays_adjusted_so(tables: Tables, as_of: dt.date) -> DataFrame:
+    """Weekly orders to start on ``as_of`` with their changed amounts and weights."""
+    due = adjusted_due(tables, tables["products"], as_of)
+    return _combined_columns(due, tables["product_shapes"], F.col("day_of_week"))
+
+
 def special_part(tables: Tables, as_of: dt.date) -> DataFrame:
     """Special orders to start on ``as_of`` in the form of ``todays_adjusted_so``."""
-    return (
-        special_due(tables["special_orders"], tables["products"], as_of)
-        .join(tables["product_shapes"], ["product_id", "shape_id"])
-        .select(
-            (F.dayofweek("delivery_date") - 1).alias("dow"),
-            F.col("customer_id").alias("cid"),
-            F.col("product_id").alias("prid"),
-            "product_name",
-            F.col("shape_id").alias("sid"),
-            F.col("amt").cast("bigint").alias("amt"),
-            "grams",
-        )
-    )
+    due = special_due(tables["special_orders"], tables["products"], as_of)
+    return _combined_columns(due, tables["product_shapes"], weekday_of(F.col("delivery_date")))
 
 
 def union_orders(adjusted_standing: DataFrame, special: DataFrame) -> DataFrame:
@@ -136,17 +131,33 @@ def todays_combined(tables: Tables, as_of: dt.date) -> DataFrame:
     return union_orders(todays_adjusted_so(tables, as_of), special_part(tables, as_of))
 
 
-def batch_weight(combined: DataFrame, products: DataFrame, pattern: str | None = None) -> DataFrame:
+def batch_weight(tables: Tables, as_of: dt.date, pattern: str | None = None) -> DataFrame:
     """``product_id, product_name, batch_weight`` of every product, 0 for one without orders.
 
-    Weights are summed per product before the join to products.
+    Same weights as the sum over ``todays_combined``, but amounts are added up per product and shape before weights are joined,
+    so the rows of a much-ordered product are merged where they are read.
     """
+    products = tables["products"]
     if pattern is not None:
-        combined = combined.filter(like_ci(F.col("product_name"), pattern))
         products = products.filter(like_ci(F.col("product_name"), pattern))
-    sums = combined.groupBy(F.col("prid").alias("product_id")).agg(F.sum(_grams()).alias("grams"))
+    amounts = (
+        adjusted_due(tables, products, as_of)
+        .select("product_id", "shape_id", "amt")
+        .unionByName(
+            special_due(tables["special_orders"], products, as_of).select(
+                "product_id", "shape_id", F.col("amt").cast("bigint").alias("amt")
+            )
+        )
+        .groupBy("product_id", "shape_id")
+        .agg(F.sum("amt").alias("amt"))
+    )
+    sums = (
+        amounts.join(tables["product_shapes"], ["product_id", "shape_id"])
+        .groupBy("product_id")
+        .agg(F.sum(_grams()).alias("weight"))
+    )
     return products.join(sums, "product_id", "left").select(
-        "product_id", "product_name", F.coalesce("grams", F.lit(0).cast("bigint")).alias("batch_weight")
+        "product_id", "product_name", F.coalesce("weight", F.lit(0).cast("bigint")).alias("batch_weight")
     )
 
 

@@ -69,23 +69,27 @@ def changes_from_feed(
     """One log row per real change in a feed of successive versions of rows.
 
     ``order`` begins with a timestamp and identifies a version within a key. A key's first version logs nothing. Each key is
-    cut into time chunks, so a key that holds much of the feed is spread over many tasks: versions are compared within their
-    chunk, and the first of a chunk is compared with the last version of the key's chunk before. Use a finer ``chunk``
-    (``minute``) for a very dense feed.
+    cut into time chunks, so a key that holds much of the feed is spread over many tasks: a version is compared with the one
+    before it in its chunk. The first version of a chunk is compared with the last one of the key's chunk before; for that only
+    the ends of the chunks are brought together per key. Use a finer ``chunk`` (``minute``) for a very dense feed.
     """
-    place = [*keys, "_chunk"]
-    rows = feed.select(*keys, *order, F.struct(*watched).alias("_new")).withColumn(
-        "_chunk", F.date_trunc(chunk, F.col(order[0]))
+    place = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    rows = (
+        feed.select(*keys, *order, F.struct(*watched).alias("_new"))
+        .withColumn("_chunk", F.date_trunc(chunk, F.col(order[0])))
+        .withColumns({"_old": F.lag("_new").over(place), "_next": F.lead("_new").over(place)})
     )
-    lasts = rows.groupBy(*place).agg(F.max_by("_new", F.struct(*order)).alias("_last"))
-    previous = lasts.select(*place, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_before"))
-    within = Window.partitionBy(*place).orderBy(*order)
-    paired = (
-        rows.withColumns({"_lag": F.lag("_new").over(within), "_first": F.row_number().over(within) == 1})
-        .join(previous, place)
-        .withColumn("_old", F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag")))
+    inner = rows.filter(F.col("_old").isNotNull())
+    before = F.lag("_new").over(Window.partitionBy(*keys).orderBy(*order))
+    first = F.col("_old").isNull()
+    ends = (
+        rows.filter(first | F.col("_next").isNull())
+        .withColumns({"_before": before, "_is_first": first})
+        .filter(F.col("_is_first") & F.col("_before").isNotNull())
+        .withColumn("_old", F.col("_before"))
     )
-    return change_rows(paired.filter(F.col("_old").isNotNull()), keys, order, watched)
+    columns = [*keys, *order, "_old", "_new"]
+    return change_rows(inner.select(*columns).unionByName(ends.select(*columns)), keys, order, watched)
 
 
 def change_rows(paired: DataFrame, keys: Sequence[str], order: Sequence[str], watched: Sequence[str]) -> DataFrame:

@@ -34,27 +34,38 @@ def _literal_runs(needle: Column) -> Column:
     return F.transform(runs, lambda run: F.translate(run, "\u0001\u0002\u0003", "%_\\"))
 
 
-def lookup_id(dim: DataFrame, name_col: str, id_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:
+def lookup_id(
+    dim: DataFrame,
+    name_col: str,
+    id_col: str,
+    patterns: DataFrame,
+    pattern_col: str,
+    within: Sequence[str] = (),
+) -> DataFrame:
     """``pattern, id, hits`` for each distinct pattern: the smallest matching id and the number of matching rows.
 
-    Case is ignored. A pattern that is NULL or has no match gets a NULL id and 0 hits.
+    Case is ignored. A pattern that is NULL or has no match gets a NULL id and 0 hits. ``within`` names columns that both
+    sides have and that must be equal too, such as the kind of name where several dimensions are searched at once.
     """
     names = (
-        dim.select(F.lower(name_col).alias("name"), F.col(id_col).alias("id"))
-        .groupBy("name")
+        dim.select(*within, F.lower(name_col).alias("name"), F.col(id_col).alias("id"))
+        .groupBy(*within, "name")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("hits"))
     )
-    wanted = patterns.select(F.col(pattern_col).alias("pattern")).distinct()
-    needles = wanted.select("pattern", F.lower("pattern").alias("needle")).withColumn("runs", _literal_runs(F.col("needle")))
+    wanted = patterns.select(*within, F.col(pattern_col).alias("pattern")).distinct()
+    needle = F.lower("pattern")
+    needles = wanted.select(*within, "pattern", needle.alias("needle"), _literal_runs(needle).alias("runs"))
     has_wildcard = F.col("needle").rlike(r"[%_\\]")
-    plain = needles.filter(~has_wildcard).join(names, F.col("needle") == F.col("name"))
+    plain = needles.filter(~has_wildcard).join(names.withColumnRenamed("name", "needle"), [*within, "needle"])
     wild = needles.filter(has_wildcard)
-    nothing = wanted.select("pattern", F.lit(None).cast(dim.schema[id_col].dataType).alias("id"), F.lit(0).alias("hits"))
+    nothing = wanted.select(
+        *within, "pattern", F.lit(None).cast(dim.schema[id_col].dataType).alias("id"), F.lit(0).alias("hits")
+    )
     return (
-        nothing.unionByName(plain.select("pattern", "id", "hits"))
-        .unionByName(_by_piece(wild.filter(F.size("runs") > 0), names))
-        .unionByName(_by_length(wild.filter(F.size("runs") == 0), names))
-        .groupBy("pattern")
+        nothing.unionByName(plain.select(*within, "pattern", "id", "hits"))
+        .unionByName(_by_piece(wild.filter(F.size("runs") > 0), names, within))
+        .unionByName(_by_length(wild.filter(F.size("runs") == 0), names, within))
+        .groupBy(*within, "pattern")
         .agg(F.min("id").alias("id"), F.sum("hits").alias("hits"))
     )
 
@@ -66,45 +77,42 @@ def find_id(dim: DataFrame, name_col: str, id_col: str, pattern: str) -> DataFra
     )
 
 
-def _by_piece(needles: DataFrame, names: DataFrame) -> DataFrame:
-    longest = F.array_max(F.transform("runs", F.length))
-    size = F.least(longest, F.lit(PIECE))
-    pieces = needles.withColumn("size", size).select(
-        "pattern",
-        "needle",
-        F.explode(F.array_distinct(F.flatten(F.transform("runs", lambda run: _pieces(run, F.col("size")))))).alias("piece"),
-    )
+def _by_piece(needles: DataFrame, names: DataFrame, within: Sequence[str]) -> DataFrame:
+    size = F.least(F.array_max(F.transform("runs", F.length)), F.lit(PIECE))
+    cut = F.array_distinct(F.flatten(F.transform("runs", lambda run: _pieces(run, F.col("size")))))
+    pieces = needles.withColumn("size", size).select(*within, "pattern", "needle", F.explode(cut).alias("piece"))
     parts = F.flatten(F.array(*[_pieces(F.col("name"), n) for n in range(1, PIECE + 1)]))
-    wanted = pieces.select("piece").distinct()
-    holders = names.select("name", "id", "hits", F.explode(parts).alias("piece")).join(wanted, "piece", "left_semi")
-    counts = holders.groupBy("piece").agg(F.count(F.lit(1)).alias("names"))
+    place = [*within, "piece"]
+    holders = names.select(*within, "name", "id", "hits", F.explode(parts).alias("piece")).join(
+        pieces.select(*place).distinct(), place, "left_semi"
+    )
+    counts = holders.groupBy(*place).agg(F.count(F.lit(1)).alias("names"))
     rarest = (
-        pieces.join(counts, "piece", "left")
-        .groupBy("pattern", "needle")
-        .agg(F.min_by("piece", F.struct(F.coalesce("names", F.lit(0)), F.col("piece"))).alias("piece"))
+        pieces.join(counts, place)
+        .groupBy(*within, "pattern", "needle")
+        .agg(F.min_by("piece", F.struct("names", "piece")).alias("piece"))
     )
-    return rarest.join(holders, "piece").filter(F.like("name", F.col("needle"))).select("pattern", "id", "hits")
+    found = rarest.join(holders, place).filter(F.like("name", F.col("needle")))
+    return found.select(*within, "pattern", "id", "hits")
 
 
-def _by_length(needles: DataFrame, names: DataFrame) -> DataFrame:
+def _by_length(needles: DataFrame, names: DataFrame, within: Sequence[str]) -> DataFrame:
     """Patterns of wildcards only match by length alone, so names are first counted per length."""
-    lengths = (
-        names.groupBy(F.length("name").alias("length"))
-        .agg(F.min("id").alias("id"), F.sum("hits").alias("hits"))
-        .select("length", "id", "hits")
-    )
+    merged = [F.min("id").alias("id"), F.sum("hits").alias("hits")]
+    lengths = names.groupBy(*within, F.length("name").alias("length")).agg(*merged)
     at_least = (
-        lengths.select(F.explode(F.sequence(F.lit(0), "length")).alias("length"), "id", "hits")
-        .groupBy("length")
-        .agg(F.min("id").alias("id"), F.sum("hits").alias("hits"))
+        lengths.select(*within, F.explode(F.sequence(F.lit(0), "length")).alias("length"), "id", "hits")
+        .groupBy(*within, "length")
+        .agg(*merged)
     )
     either = lengths.withColumn("open", F.lit(False)).unionByName(at_least.withColumn("open", F.lit(True)))
     sized = needles.select(
+        *within,
         "pattern",
         F.length(F.regexp_replace("needle", "%", "")).alias("length"),
         F.contains("needle", F.lit("%")).alias("open"),
     )
-    return sized.join(either, ["length", "open"]).select("pattern", "id", "hits")
+    return sized.join(either, [*within, "length", "open"]).select(*within, "pattern", "id", "hits")
 
 
 def resolve_keys(df: DataFrame, lookups: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:

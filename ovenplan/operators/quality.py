@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +86,4 @@ def check_table(
         reports.insert(
             0, check_rules(df, declared.rules, keys, as_of).withColumn("n_rows", F.lit(1).cast("bigint"))
         )
-    report = reports[0]
-    for other in reports[1:]:
-        report = report.unionByName(other)
-    return report.select(F.lit(name).alias("table_name"), "rule", "key", "value", "n_rows")
+    return reduce(DataFrame.unionByName, reports).select(F.lit(name).alias("table_name"), "rule", "key", "value", "n_rows")

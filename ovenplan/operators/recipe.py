@@ -1,7 +1,7 @@
 """Recipes in baker's percentages: totals, formulas in grams, and named modifications.
 
-A formula is worked out for all products in one plan: the batch weight and the percent total are aggregated once per product
-and joined to the recipe rows. A name pattern only selects products. With a pattern that hits several products each keeps its
+A formula is worked out for all products in one plan: the batch weight and the percent total are aggregated once per product,
+not once per row. A name pattern only selects products. With a pattern that hits several products each keeps its
 own weight and total.
 """
 
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ovenplan.functions.numbers import gram_share, round_div, whole
 from ovenplan.functions.predicates import like_ci
-from ovenplan.operators.demand import batch_weight, todays_combined
+from ovenplan.operators.cost import cost_list
+from ovenplan.operators.demand import batch_weight
 
 Tables = Mapping[str, DataFrame]
 PARTS = ["percent_in_sour", "percent_in_poolish", "percent_in_soaker"]
@@ -42,9 +43,9 @@ def total_bp(info: DataFrame) -> DataFrame:
     return info.groupBy("product_name").agg(F.sum("bakers_percent").alias("total_bp"))
 
 
-def bak_per(info: DataFrame) -> DataFrame:
-    """Percent total per product id."""
-    return info.groupBy("product_id").agg(F.sum("bakers_percent").alias("total_percent"))
+def bak_per(recipe: DataFrame) -> DataFrame:
+    """Percent total per product id, of ``product_info`` or of the plain recipe rows."""
+    return recipe.groupBy("product_id").agg(F.sum("bakers_percent").alias("total_percent"))
 
 
 def _grams_columns(weight: Column, total: Column) -> list[Column]:
@@ -62,33 +63,49 @@ def _grams_columns(weight: Column, total: Column) -> list[Column]:
 
 
 def formula(
-    info: DataFrame, weights: DataFrame, cost_list: DataFrame | None = None, pattern: str | None = None
+    tables: Tables,
+    as_of: dt.date,
+    pattern: str | None = None,
+    with_cost: bool = True,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
-    """Grams and cost of every recipe row for today's batch; ``weights`` has ``product_id, batch_weight``.
+    """Grams and cost of every recipe row for the batch to start on ``as_of``.
 
-    A product without orders gives zeros. With a cost list, ingredients without a cost row drop out and one with several cost
-    rows appears once for each, as costs are joined by ingredient name.
+    A product without orders gives zeros. With costs, ingredients without a cost row drop out and one with several cost rows
+    appears once for each, as costs are found by ingredient name. ``weights`` (``product_id, batch_weight``) replaces today's.
+
+    Everything known per product is joined together before it meets the recipe rows, and so is everything known per
+    ingredient: the rows are moved once for either key.
     """
+    products = tables["products"].select("product_id", "product_name")
     if pattern is not None:
-        info = info.filter(like_ci(F.col("product_name"), pattern))
+        products = products.filter(like_ci(F.col("product_name"), pattern))
+    if weights is None:
+        weights = batch_weight(tables, as_of, pattern)
+    per_product = products.join(bak_per(tables["product_ingredients"]), "product_id").join(
+        weights.select("product_id", "batch_weight"), "product_id", "left"
+    )
+    named = tables["ingredients"].select("ingredient_id", F.col("ingredient_name").alias("ingredient"))
+    if with_cost:
+        costs = cost_list(tables["ingredient_costs"], tables["ingredients"])
+        named = named.join(costs.select(F.col("ingredient_name").alias("ingredient"), "cost_per_g"), "ingredient")
     weight = F.coalesce("batch_weight", F.lit(0).cast("bigint"))
     rows = (
-        info.join(bak_per(info), "product_id")
-        .join(weights.select("product_id", "batch_weight"), "product_id", "left")
+        tables["product_ingredients"]
+        .join(named, "ingredient_id")
+        .join(per_product, "product_id")
         .select(
             F.col("product_name").alias("product"),
             F.col("bakers_percent").alias("%"),
             "ingredient",
             *_grams_columns(weight, F.col("total_percent")),
+            *(["cost_per_g"] if with_cost else []),
         )
     )
-    if cost_list is None:
+    if not with_cost:
         return rows
-    costs = cost_list.select(F.col("ingredient_name").alias("ingredient"), "cost_per_g")
     cost = (F.col("overall").cast("decimal(18,0)") * F.col("cost_per_g")).cast("decimal(28,5)")
-    return rows.join(costs, "ingredient").select(
-        "product", "`%`", "ingredient", "overall", "sour", "poolish", "soaker", "final", cost.alias("cost")
-    )
+    return rows.withColumn("cost", cost).drop("cost_per_g")
 
 
 def formula_cost(rows: DataFrame) -> DataFrame:
@@ -165,11 +182,12 @@ def modded_formula(
     tables: Tables, as_of: dt.date, product: str = "%", mod: str = "%", scope: str = "table"
 ) -> DataFrame:
     """Grams of every row of the modified recipe; NULL grams where the product has no total."""
-    weights = batch_weight(todays_combined(tables, as_of), tables["products"], product)
+    per_product = batch_weight(tables, as_of, product).drop("product_name").join(
+        mod_total(tables, product, mod, scope), "product_id", "left"
+    )
     return (
         modded_recipe(tables, product, mod, scope)
-        .join(mod_total(tables, product, mod, scope), "product_id", "left")
-        .join(weights.select("product_id", "batch_weight"), "product_id")
+        .join(per_product, "product_id")
         .select(
             F.col("product_name").alias("dough"),
             F.col("bakers_percent").alias("%"),

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,14 +85,6 @@ def costs(t: Mapping[str, DataFrame]) -> DataFrame:
     return cost.cost_list(t["ingredient_costs"], t["ingredients"])
 
 
-def weights(t: Mapping[str, DataFrame]) -> DataFrame:
-    return demand.batch_weight(demand.todays_combined(t, AS_OF), t["products"])
-
-
-def costed_formula(t: Mapping[str, DataFrame], pattern: str | None = None) -> DataFrame:
-    return recipe.formula(recipe.product_info(t), weights(t), costs(t), pattern)
-
-
 def costs_after(before: DataFrame) -> DataFrame:
     """Dearer large packs, and cheap ingredients in double packs."""
     dearer = snapshots.apply_update(
@@ -156,10 +149,7 @@ def _row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
         for name, df in tables.items()
     ]
-    result = counts[0]
-    for other in counts[1:]:
-        result = result.unionByName(other)
-    return result
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("src_tables")
@@ -381,7 +371,7 @@ def join_anti_global(t: Bakery) -> DataFrame:
 
 @on_tables("join_semi")
 def join_semi(t: Bakery) -> DataFrame:
-    return cost.cost_list_for(costs(t), costed_formula(t, "red%"))
+    return cost.cost_list_for(costs(t), recipe.formula(t, AS_OF, "red%"))
 
 
 @on_tables("join_self_pk")
@@ -400,7 +390,7 @@ def agg_order_summary(t: Bakery) -> DataFrame:
 
 @on_tables("agg_batch_weight")
 def agg_batch_weight(t: Bakery) -> DataFrame:
-    return weights(t)
+    return demand.batch_weight(t, AS_OF)
 
 
 @on_v1("agg_batch_weight_two_part")
@@ -415,12 +405,12 @@ def agg_mod_total(t: Bakery) -> DataFrame:
 
 @on_tables("agg_formula_cost")
 def agg_formula_cost(t: Bakery) -> DataFrame:
-    return recipe.formula_cost(costed_formula(t))
+    return recipe.formula_cost(recipe.formula(t, AS_OF))
 
 
 @on_tables("agg_cost_per_gram")
 def agg_cost_per_gram(t: Bakery) -> DataFrame:
-    return recipe.formula_cost_per_gram(costed_formula(t))
+    return recipe.formula_cost_per_gram(recipe.formula(t, AS_OF))
 
 
 @on_tables("agg_distinct")
@@ -533,13 +523,13 @@ def standing_minus_holds(t: dict) -> DataFrame:
 
 @on_tables("formula")
 def formula(t: Bakery) -> DataFrame:
-    return costed_formula(t)
+    return recipe.formula(t, AS_OF)
 
 
 @on_v1("formula_v1")
 def formula_v1(t: dict) -> DataFrame:
     weight = demand.batch_weight_v1(t, AS_OF).withColumnRenamed("dough_id", "product_id")
-    return recipe.formula(recipe.product_info(t), weight).withColumnRenamed("product", "dough")
+    return recipe.formula(t, AS_OF, with_cost=False, weights=weight).withColumnRenamed("product", "dough")
 
 
 @on_tables("modded_formula")
@@ -561,18 +551,16 @@ def lookup_id(spark: SparkSession, folder: str) -> DataFrame:
         .unionByName(t["shapes"].select(F.upper("shape_name").alias("p"))),
     }
     dims = {
-        "pid": (t["parties"], "party_name", "party_id"),
-        "prid": (t["products"], "product_name", "product_id"),
-        "iid": (t["ingredients"], "ingredient_name", "ingredient_id"),
-        "sid": (t["shapes"], "shape_name", "shape_id"),
+        "pid": t["parties"].select(F.col("party_name").alias("name"), F.col("party_id").alias("id")),
+        "prid": t["products"].select(F.col("product_name").alias("name"), F.col("product_id").alias("id")),
+        "iid": t["ingredients"].select(F.col("ingredient_name").alias("name"), F.col("ingredient_id").alias("id")),
+        "sid": t["shapes"].select(F.col("shape_name").alias("name"), F.col("shape_id").cast("bigint").alias("id")),
     }
-    found = None
-    for kind, wanted in patterns.items():
-        part = lookup.lookup_id(*dims[kind], wanted, "p").select(
-            F.lit(kind).alias("kind"), "pattern", F.col("id").cast("bigint").alias("id"), "hits"
-        )
-        found = part if found is None else found.unionByName(part)
-    return found
+    return lookup.lookup_id(_labelled(dims), "name", "id", _labelled(patterns), "p", within=["kind"])
+
+
+def _labelled(parts: Mapping[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in parts.items()])
 
 
 # Change capture
@@ -617,16 +605,14 @@ def cdc_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @on_tables("dq_check")
 def dq_check(t: Bakery) -> DataFrame:
-    report = None
-    for name, declared in TABLES.items():
-        if not declared.rules or name not in t:
-            continue
-        keys = list(declared.key) or declared.names
-        part = quality.check_rules(t[name], declared.rules, keys, AS_OF).select(
+    reports = [
+        quality.check_rules(t[name], declared.rules, declared.key or declared.names, AS_OF).select(
             F.lit(name).alias("table_name"), "rule", "key", "value"
         )
-        report = part if report is None else report.unionByName(part)
-    return report
+        for name, declared in TABLES.items()
+        if declared.rules and name in t
+    ]
+    return reduce(DataFrame.unionByName, reports)
 
 
 @on_tables("dq_not_null")
@@ -649,10 +635,7 @@ def dq_unique(spark: SparkSession, folder: str) -> DataFrame:
         quality.check_unique(t["special_orders"], list(TABLES["special_orders"].key), "special_orders_key"),
         quality.check_unique(t["products"], ["product_name"], "product_name_unique"),
     ]
-    report = reports[0]
-    for other in reports[1:]:
-        report = report.unionByName(other)
-    return report
+    return reduce(DataFrame.unionByName, reports)
 
 
 @on_tables("dq_foreign_key")
