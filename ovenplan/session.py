@@ -14,6 +14,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Parquet files grow about fourfold in memory; without this a side is broadcast by its compressed size.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 

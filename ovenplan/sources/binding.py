@@ -241,12 +241,17 @@ def product_shapes(src: Sources) -> DataFrame:
     )
 
 
+def _hundredths(column: str) -> Column:
+    """A double with two decimals as a whole number of hundredths; the values are not negative."""
+    return (F.col(column) * 100 + 0.5).cast("bigint")
+
+
 def _recipe_aggregates() -> list[Column]:
-    cents = F.col("l_quantity").cast("decimal(5,2)") + F.col("l_tax").cast("decimal(5,2)")
+    percent = F.max(_hundredths("l_quantity") + _hundredths("l_tax"))
     return [
-        F.max(cents).cast("decimal(5,2)").alias("bakers_percent"),
-        F.round(F.max("l_discount") * 100).cast("decimal(18,6)").alias("percent_in_sour"),
-        F.round(F.max("l_tax") * 100).cast("decimal(5,2)").alias("percent_in_poolish"),
+        (percent.cast("decimal(7,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(5,2)").alias("bakers_percent"),
+        F.max(_hundredths("l_discount")).cast("decimal(18,6)").alias("percent_in_sour"),
+        F.max(_hundredths("l_tax")).cast("decimal(5,2)").alias("percent_in_poolish"),
         (F.max("l_linenumber") * 2).cast("decimal(18,6)").alias("percent_in_soaker"),
     ]
 
