@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ovenplan.functions.predicates import like_ci
+from ovenplan.operators.skew import skew_join
 
 PIECE = 3
 
@@ -86,13 +87,13 @@ def _by_piece(needles: DataFrame, names: DataFrame, within: Sequence[str]) -> Da
     holders = names.select(*within, "name", "id", "hits", F.explode(parts).alias("piece")).join(
         pieces.select(*place).distinct(), place, "left_semi"
     )
-    counts = holders.groupBy(*place).agg(F.count(F.lit(1)).alias("names"))
+    counts = holders.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         pieces.join(counts, place)
         .groupBy(*within, "pattern", "needle")
-        .agg(F.min_by("piece", F.struct("names", "piece")).alias("piece"))
+        .agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
     )
-    found = rarest.join(holders, place).filter(F.like("name", F.col("needle")))
+    found = skew_join(holders, rarest, place, counts).filter(F.like("name", F.col("needle")))
     return found.select(*within, "pattern", "id", "hits")
 
 
@@ -127,7 +128,8 @@ def resolve_keys(df: DataFrame, lookups: Mapping[str, tuple[DataFrame, str, str]
         found = lookup_id(dim, name_col, id_col, df, column).select(
             F.col("pattern").alias(column), F.col("id").alias(key or id_col)
         )
-        resolved = resolved.join(found, column, "left").drop(column)
+        counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        resolved = skew_join(resolved, found, [column], counts, "left").drop(column)
     return resolved
 
 

@@ -17,6 +17,7 @@ from ovenplan.functions.numbers import gram_share, round_div, whole
 from ovenplan.functions.predicates import like_ci
 from ovenplan.operators.cost import cost_list
 from ovenplan.operators.demand import batch_weight
+from ovenplan.operators.skew import skew_join
 
 Tables = Mapping[str, DataFrame]
 PARTS = ["percent_in_sour", "percent_in_poolish", "percent_in_soaker"]
@@ -62,6 +63,10 @@ def _grams_columns(weight: Column, total: Column) -> list[Column]:
     ]
 
 
+def _row_counts(tables: Tables) -> DataFrame:
+    return tables["product_ingredients"].groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def formula(
     tables: Tables,
     as_of: dt.date,
@@ -90,10 +95,9 @@ def formula(
         costs = cost_list(tables["ingredient_costs"], tables["ingredients"])
         named = named.join(costs.select(F.col("ingredient_name").alias("ingredient"), "cost_per_g"), "ingredient")
     weight = F.coalesce("batch_weight", F.lit(0).cast("bigint"))
+    recipe = tables["product_ingredients"].join(named, "ingredient_id")
     rows = (
-        tables["product_ingredients"]
-        .join(named, "ingredient_id")
-        .join(per_product, "product_id")
+        skew_join(recipe, per_product, ["product_id"], _row_counts(tables))
         .select(
             F.col("product_name").alias("product"),
             F.col("bakers_percent").alias("%"),
@@ -185,9 +189,9 @@ def modded_formula(
     per_product = batch_weight(tables, as_of, product).drop("product_name").join(
         mod_total(tables, product, mod, scope), "product_id", "left"
     )
+    recipe = modded_recipe(tables, product, mod, scope)
     return (
-        modded_recipe(tables, product, mod, scope)
-        .join(per_product, "product_id")
+        skew_join(recipe, per_product, ["product_id"], _row_counts(tables))
         .select(
             F.col("product_name").alias("dough"),
             F.col("bakers_percent").alias("%"),

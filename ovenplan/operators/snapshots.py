@@ -11,7 +11,7 @@ from pyspark.sql import Window
 
 from ovenplan.schemas import NOW, TABLES, UUID, Table
 
-ID_BUCKETS = 4096
+ID_BUCKETS = 65536
 
 
 def _default(value: object, now: dt.datetime | Column) -> Column:

@@ -54,7 +54,9 @@ def test_due_orders_read_a_date_window(spark, bakery, tmp_path):
     write_table(bakery["special_orders"], str(tmp_path), "special_orders")
     orders = load_tables(spark, str(tmp_path), ["special_orders"])["special_orders"]
     due = demand.special_due(orders, bakery["products"], MONDAY)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
     plan = due._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert re.search(r"PartitionFilters: \[.*delivery_date#\d+ >= 2019-12-09\).*delivery_date#\d+ <= 2019-12-16", plan)
 
 
