@@ -19,11 +19,20 @@ from ovenplan.operators.skew import skew_join
 PIECE = 3
 
 
-def _pieces(text: Column, length: Column | int) -> Column:
-    """All substrings of one length, each once."""
-    last = F.length(text) - length + 1
-    cut = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(length)))
-    return F.when(last >= 1, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+def _pieces(text: DataFrame, column: str, sizes: Column) -> DataFrame:
+    """Each distinct substring of ``column`` with a length among ``sizes``, as ``piece``.
+
+    A piece is kept where it first occurs in the text, so no row repeats.
+    """
+    cut = F.substring(F.col(column), F.col("_at"), F.col("_size"))
+    return (
+        text.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(column))))
+        .withColumn("_size", F.explode(sizes))
+        .filter(F.col("_at") + F.col("_size") <= F.length(column) + 1)
+        .withColumn("piece", cut)
+        .filter(F.call_function("instr", F.col(column), F.col("piece")) == F.col("_at"))
+        .drop("_at", "_size")
+    )
 
 
 def _literal_runs(needle: Column) -> Column:
@@ -79,14 +88,14 @@ def find_id(dim: DataFrame, name_col: str, id_col: str, pattern: str) -> DataFra
 
 
 def _by_piece(needles: DataFrame, names: DataFrame, within: Sequence[str]) -> DataFrame:
-    size = F.least(F.array_max(F.transform("runs", F.length)), F.lit(PIECE))
-    cut = F.array_distinct(F.flatten(F.transform("runs", lambda run: _pieces(run, F.col("size")))))
-    pieces = needles.withColumn("size", size).select(*within, "pattern", "needle", F.explode(cut).alias("piece"))
-    parts = F.flatten(F.array(*[_pieces(F.col("name"), n) for n in range(1, PIECE + 1)]))
+    """Match by the pattern's rarest piece; how often each piece occurs is counted where the names are read."""
+    longest = F.array_max(F.transform("runs", F.length))
+    runs = needles.select(
+        *within, "pattern", "needle", F.least(longest, F.lit(PIECE)).alias("size"), F.explode("runs").alias("run")
+    ).filter(F.length("run") >= F.col("size"))
     place = [*within, "piece"]
-    holders = names.select(*within, "name", "id", "hits", F.explode(parts).alias("piece")).join(
-        pieces.select(*place).distinct(), place, "left_semi"
-    )
+    pieces = _pieces(runs, "run", F.array("size")).select(*place, "pattern", "needle")
+    holders = _pieces(names.filter("name <> ''"), "name", F.array(*[F.lit(n) for n in range(1, PIECE + 1)]))
     counts = holders.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         pieces.join(counts, place)
