@@ -371,7 +371,7 @@ def join_anti_global(t: Bakery) -> DataFrame:
 
 @on_tables("join_semi")
 def join_semi(t: Bakery) -> DataFrame:
-    return cost.cost_list_for(costs(t), recipe.formula(t, AS_OF, "red%"))
+    return cost.cost_list_for(costs(t), recipe.formula(t, AS_OF))
 
 
 @on_tables("join_self_pk")

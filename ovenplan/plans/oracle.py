@@ -383,7 +383,7 @@ ORACLE = {
     "join_anti_global": """SELECT product_id, ingredient_id FROM product_ingredients
         WHERE ingredient_id NOT IN (SELECT ingredient_id FROM dough_mods)""",
     "join_semi": """SELECT ingredient_name AS ingredient, cost, grams, cost_per_g FROM cost_list
-        WHERE ingredient_name IN (SELECT ingredient FROM formula WHERE lower(product) LIKE 'red%')""",
+        WHERE ingredient_name IN (SELECT ingredient FROM formula)""",
     "join_self_pk": """SELECT e.party_id, l.type, e.email FROM emails e
         JOIN email_labels l ON e.party_id = l.party_id AND e.email_type = l.email_type""",
     "agg_order_summary": """SELECT product_id AS dough_id, product_name AS dough_name,

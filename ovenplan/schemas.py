@@ -5,6 +5,7 @@ Key columns are text (uuids) in the current schema and integers in the first one
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 NOW = "now"
@@ -51,24 +52,13 @@ class Table:
 
     @property
     def names(self) -> list[str]:
-        return [part.strip().split(" ")[0] for part in _split_columns(self.columns)]
+        return [name for name, _ in re.findall(r"(\w+) \w+(\([^)]*\))?", self.columns)]
 
     @property
     def not_null(self) -> list[str]:
         return [name for name in self.names if name not in self.nullable]
 
 
-def _split_columns(ddl: str) -> list[str]:
-    """Top-level commas only: decimal(5,2) keeps its own."""
-    parts, depth, start = [], 0, 0
-    for i, char in enumerate(ddl):
-        depth += (char == "(") - (char == ")")
-        if char == "," and depth == 0:
-            parts.append(ddl[start:i])
-            start = i + 1
-    return [*parts, ddl[start:]]
-
-
 def one_of(name: str, column: str, values: str) -> Rule:
     return Rule(name, f"{column} IN ({values})", column)
 

@@ -56,7 +56,7 @@ INGREDIENTS = {
     "sprouted kamut berries": (True, "29.15", 4536),
     "water": (False, "0.55", 3785),
     "sea salt": (False, "1.25", 450),
-    "bread flour": (True, "2.20", 907),
+    "strong flour": (True, "2.20", 907),
     "saf-instant yeast": (False, "2.50", 450),
     "dried cranberries": (False, "7.50", 450),
 }
@@ -68,7 +68,7 @@ KAMUT = [
     ("sea salt", 2.2, 0, 0, 0),
 ]
 PIZZA = [
-    ("bread flour", 30, 0, 25, 0),
+    ("strong flour", 30, 0, 25, 0),
     ("kamut flour", 40, 0, 0, 0),
     ("high extraction flour", 30, 0, 0, 0),
     ("water", 68, 0, 20, 0),
@@ -142,7 +142,7 @@ def bakery_on(spark, day):
             "parties",
             [
                 {"party_id": "blow", "party_type": "i", "party_name": "Blow"},
-                {"party_id": "mill", "party_type": "o", "party_name": "Madison Sourdough"},
+                {"party_id": "mill", "party_type": "o", "party_name": "Corner Mill"},
             ],
         ),
         "special_orders": make(

@@ -13,7 +13,7 @@ HIRED = dt.date(2019, 10, 1)
 @pytest.fixture(scope="module")
 def people(spark):
     """Three persons and two organizations; id 9 is used by a person and an organization."""
-    parties = [("1", "i", "Blow"), ("2", "i", "Bar"), ("3", "i", "Latte"), ("4", "o", "Madison Sourdough"), ("9", "o", "Mill"), ("9", "i", "Miller")]
+    parties = [("1", "i", "Blow"), ("2", "i", "Bar"), ("3", "i", "Latte"), ("4", "o", "Corner Mill"), ("9", "o", "Mill"), ("9", "i", "Miller")]
     first = [("1", "Joe"), ("2", "Foo"), ("3", "Moka-Choka"), ("8", "Nobody")]
     phones = [("1", "m", "555-1212"), ("1", "w", "608-555-0000"), ("4", "b", "608-442-8009"), ("2", "m", "608-555-2222"), ("2", "x", "608-555-1234"), ("7", "m", "orphan")]
     return {
@@ -57,7 +57,7 @@ def test_full_name_keeps_both_sides(people):
             ("1", "Joe Blow"),
             ("2", "Foo Bar"),
             ("3", "Moka-Choka Latte"),
-            ("4", "Madison Sourdough"),
+            ("4", "Corner Mill"),
             ("9", "Mill"),
             ("9", "Miller"),
             (None, None),
@@ -73,7 +73,7 @@ def test_phone_book(book):
             ("1", "Joe Blow", "i", "work", "608-555-0000"),
             ("2", "Foo Bar", "i", "mobile", "608-555-2222"),
             ("2", "Foo Bar", "i", None, "608-555-1234"),
-            ("4", "Madison Sourdough", "o", "business", "608-442-8009"),
+            ("4", "Corner Mill", "o", "business", "608-442-8009"),
         ],
         key=repr,
     )
@@ -81,7 +81,7 @@ def test_phone_book(book):
 
 
 def test_phone_search(book):
-    assert rows(directory.phone_search(book, "MAD%")) == [("Madison Sourdough", "business", "608-442-8009")]
+    assert rows(directory.phone_search(book, "CORN%")) == [("Corner Mill", "business", "608-442-8009")]
 
 
 def test_staff_phones(people, book):
@@ -95,7 +95,7 @@ def test_staff_phones(people, book):
 def test_email_list(people):
     assert rows(directory.email_list(people["emails"], people["parties"], people["people"])) == [
         ("1", "Joe Blow", "personal", "a@example.org"),
-        ("4", "Madison Sourdough", "work", "b@example.org"),
+        ("4", "Corner Mill", "work", "b@example.org"),
     ]
 
 

@@ -38,10 +38,10 @@ def test_cost_changes_and_their_list(spark):
         "ingredients",
         [dict(ingredient_id="kamut flour", ingredient_name="kamut flour"), dict(ingredient_id="salt", ingredient_name="salt")],
     )
-    parties = make(spark, "parties", [dict(party_id="mill", party_type="o", party_name="Madison Sourdough")])
+    parties = make(spark, "parties", [dict(party_id="mill", party_type="o", party_name="Corner Mill")])
     listed = cost.cost_change_list(log.filter("ingredient_id = 'kamut flour'"), ingredients, parties)
     assert rows(listed) == [
-        ("Madison Sourdough", "kamut flour", D("5.20"), D("6.00"), D("0.00573"), D("0.00662"), D("907.000000"), NOW)
+        ("Corner Mill", "kamut flour", D("5.20"), D("6.00"), D("0.00573"), D("0.00662"), D("907.000000"), NOW)
     ]
 
 

@@ -19,7 +19,7 @@ KAMUT = [
 ]
 PIZZA = [
     ("40", "kamut flour", 565, 0, "0.0", 0, 565, "3.74030"),
-    ("30", "bread flour", 424, 0, "105.9", 0, 318, "1.03032"),
+    ("30", "strong flour", 424, 0, "105.9", 0, 318, "1.03032"),
     ("30", "high extraction flour", 424, 0, "0.0", 0, 424, "2.42952"),
     ("68", "water", 960, 0, "192.1", 0, 768, "0.14400"),
     ("1.9", "sea salt", 27, 0, "0.0", 0, 27, "0.07506"),
