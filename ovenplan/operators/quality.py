@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +18,13 @@ def _text(columns: Sequence[str]) -> Column:
 
 
 def _failures(df: DataFrame, tests: Sequence[tuple[str, Column, Column]], keys: Sequence[str]) -> DataFrame:
-    """One pass over the rows: one output row per failed test."""
+    """One pass over the rows: sound rows are dropped first, then one row is made per failed test."""
     failed = F.array(
         *[F.when(broken, F.struct(F.lit(name).alias("rule"), value.alias("value"))) for name, broken, value in tests]
     )
-    return df.select(_text(keys).alias("key"), F.explode(F.filter(failed, lambda f: f.isNotNull())).alias("f")).select(
-        "f.rule", "key", "f.value"
-    )
+    suspects = df.filter(reduce(or_, [broken for _, broken, _ in tests]))
+    found = suspects.select(_text(keys).alias("key"), F.explode(failed).alias("f")).filter(F.col("f").isNotNull())
+    return found.select("f.rule", "key", "f.value")
 
 
 def check_rules(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str], as_of: dt.date) -> DataFrame:
