@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,29 +16,30 @@ def _text(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
 
 
-def _failures(df: DataFrame, tests: Sequence[tuple[str, Column, Column]], keys: Sequence[str]) -> DataFrame:
-    """One pass over the rows: sound rows are dropped first, then one row is made per failed test."""
-    failed = F.array(
-        *[F.when(broken, F.struct(F.lit(name).alias("rule"), value.alias("value"))) for name, broken, value in tests]
+def _failures(df: DataFrame, tests: Sequence[tuple[str, str, str]], keys: Sequence[str]) -> DataFrame:
+    """One pass over the rows: sound rows are dropped first, then one row is made per failed test.
+
+    A test is a rule name, the condition for a bad row and the value to show, as SQL expressions.
+    """
+    suspects = df.filter(" OR ".join(f"({broken})" for _, broken, _ in tests))
+    failed = ", ".join(
+        f"CASE WHEN {broken} THEN named_struct('rule', '{name}', 'value', CAST({value} AS STRING)) END"
+        for name, broken, value in tests
     )
-    suspects = df.filter(reduce(or_, [broken for _, broken, _ in tests]))
-    found = suspects.select(_text(keys).alias("key"), F.explode(failed).alias("f")).filter(F.col("f").isNotNull())
-    return found.select("f.rule", "key", "f.value")
+    found = suspects.select(_text(keys).alias("key"), F.expr(f"explode(array({failed}))").alias("f"))
+    return found.filter("f IS NOT NULL").select("f.rule", "key", "f.value")
 
 
 def check_rules(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str], as_of: dt.date) -> DataFrame:
     """``rule, key, value`` of every broken domain rule. A condition that is NULL passes."""
-    tests = []
-    for rule in rules:
-        condition = F.expr(rule.condition.replace(":as_of", f"DATE'{as_of.isoformat()}'"))
-        tests.append((rule.name, ~condition, F.col(rule.value).cast("string")))
+    day = f"DATE'{as_of.isoformat()}'"
+    tests = [(rule.name, f"NOT ({rule.condition.replace(':as_of', day)})", rule.value) for rule in rules]
     return _failures(df, tests, keys)
 
 
 def check_not_null(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """``rule, key, value`` of every missing value."""
-    tests = [(f"{c}_not_null", F.col(c).isNull(), F.lit(None).cast("string")) for c in columns]
-    return _failures(df, tests, keys)
+    return _failures(df, [(f"{c}_not_null", f"{c} IS NULL", "NULL") for c in columns], keys)
 
 
 def check_unique(df: DataFrame, columns: Sequence[str], name: str, nulls_differ: bool = True) -> DataFrame:
