@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ovenplan.functions.labels import EMAIL_TYPES, PHONE_TYPES, decode
-from ovenplan.functions.numbers import percent_change
-from ovenplan.functions.predicates import like_ci, recent
+from ovenplan.functions.numbers import per_gram, percent_change
+from ovenplan.functions.predicates import like_ci, recent, weekday_of
 from ovenplan.operators import cost, demand, directory, history, lookup, quality, recipe, snapshots
 from ovenplan.plans.views import VIEWS, register_views
 from ovenplan.schemas import TABLES, Reference
@@ -473,6 +473,31 @@ def fn_percent_change(t: Bakery) -> DataFrame:
     )
 
 
+@on_tables("fn_scalars")
+def fn_scalars(t: Bakery) -> DataFrame:
+    """The scalar functions the views are made of, on staff, phones and costs."""
+    hired = F.col("hire_date")
+    priced = t["ingredient_costs"].select(F.col("seller_id").alias("party_id"), "cost", "grams")
+    return (
+        t["staff_st"]
+        .join(t["phones"].filter("phone_type = 'm'").select("party_id", "phone_no"), "party_id", "left")
+        .join(priced, "party_id", "left")
+        .select(
+            "party_id",
+            F.length("ssn").alias("ssn_length"),
+            F.concat("street_no", F.lit(" "), "street").alias("address"),
+            F.coalesce("phone_no", F.lit("none")).alias("mobile"),
+            F.lower("street").alias("lowered"),
+            weekday_of(hired).alias("dow"),
+            F.date_add(hired, 2).alias("two_days_on"),
+            F.date_sub(hired, 2).alias("two_days_back"),
+            F.add_months(hired, 6).alias("six_months_on"),
+            F.round("cost", 1).alias("rounded"),
+            per_gram(F.col("cost"), F.col("grams")).alias("per_gram"),
+        )
+    )
+
+
 # Named views
 
 

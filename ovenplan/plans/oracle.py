@@ -414,6 +414,14 @@ ORACLE = {
     "fn_percent_change": f"""SELECT o.ingredient_id, CAST({half_up(f'({whole("n.cost", 5)} - {whole("o.cost", 5)}) * 100',
         whole("o.cost", 5), 3)} AS BIGINT) / 1000.0::DOUBLE AS percent
         FROM ingredient_costs o JOIN costs_after n ON o.ingredient_id = n.ingredient_id""",
+    "fn_scalars": f"""SELECT s.party_id, length(s.ssn) AS ssn_length, s.street_no || ' ' || s.street AS address,
+        coalesce(p.phone_no, 'none') AS mobile, lower(s.street) AS lowered, dayofweek(s.hire_date) AS dow,
+        CAST(s.hire_date + 2 AS VARCHAR) AS two_days_on, CAST(s.hire_date - 2 AS VARCHAR) AS two_days_back,
+        CAST(CAST(s.hire_date + INTERVAL 6 MONTH AS DATE) AS VARCHAR) AS six_months_on,
+        CAST(round(c.cost, 1) AS DOUBLE) AS rounded,
+        CAST({unit_cost('c.cost', 'c.grams')} AS BIGINT) / 100000.0::DOUBLE AS per_gram
+        FROM staff_st s LEFT JOIN (SELECT * FROM phones WHERE phone_type = 'm') p ON s.party_id = p.party_id
+        LEFT JOIN ingredient_costs c ON s.party_id = c.seller_id""",
     "phone_book": "SELECT * FROM phone_book",
     "staff_phones": "SELECT * FROM staff_phones",
     "email_list": "SELECT * FROM email_list",
