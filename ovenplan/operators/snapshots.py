@@ -21,7 +21,10 @@ def _default(value: object, now: dt.datetime | Column) -> Column:
 
 
 def fill_defaults(df: DataFrame, table: str | Table, now: dt.datetime | Column) -> DataFrame:
-    """Put the declared default where a column is missing or NULL."""
+    """Put the declared default where a column is missing or NULL.
+
+    Uuids are made anew when the plan runs again: write the rows before other tables refer to them.
+    """
     declared = TABLES[table] if isinstance(table, str) else table
     filled = {}
     for column, value in declared.defaults.items():
@@ -68,7 +71,7 @@ def apply_update(
 def apply_updates(
     snapshot: DataFrame, updates: DataFrame, keys: Sequence[str], now: dt.datetime | Column | None = None
 ) -> DataFrame:
-    """Apply one update row per key; a NULL leaves the column as it is, and a key that is not in the snapshot is ignored."""
+    """Apply at most one update row per key; a NULL leaves the column as it is, and a key that is not in the snapshot is ignored."""
     changed = [c for c in updates.columns if c not in keys]
     found = updates.select(*keys, F.struct(*changed).alias("_new"))
     columns = {c: F.coalesce(F.col("_new")[c], F.col(c)) for c in changed}
