@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ovenplan.llm import line_dedup, mixing, sharding
+from ovenplan.llm import line_dedup, mixing, quality_rules, sharding
 from ovenplan.llm.common import table
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules, then fences per language and source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return quality_rules.judge(docs, keep_text=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents go from every document."""
     kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
@@ -34,12 +42,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op9_source_mix": mixing.ORACLE,
 }
