@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ovenplan.llm import line_dedup, mixing, quality_rules, sharding
+from ovenplan.llm import line_dedup, mixing, packing, pieces, quality_rules, sharding
 from ovenplan.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file, at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the text of the ids, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_digests(docs, vocabulary("piece_bpe_32k.model"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules, then fences per language and source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
@@ -25,6 +38,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to bit-packed files in the order of ids, and back from the files."""
+    manifest = packing.write_packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+    return packing.read_packed(manifest)
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all sources; ``first_ppm`` is the first training position in millionths, null if the mix leaves the document out."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -42,8 +61,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op8_packed_ids": op8_packed_ids,
     "op9_source_mix": op9_source_mix,
     "op10_sharding": op10_sharding,
 }
