@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ovenplan.llm.common import settled, shuffle_width
+from ovenplan.llm.common import importable, settled, shuffle_width
 from ovenplan.session import shared_folder
 
 MAGIC = b"IDBITS01"
@@ -194,6 +194,7 @@ def word_ids(path: str) -> WordIds:
 def write_packed(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, sort by id and write files; returns the manifest: part, seq, path, n_docs, n_ids, first (id before the file)."""
     spark = docs.sparkSession
+    importable(spark)
     folder = shared_folder(spark, "packed-ids")
     if ":/" not in folder:
         folder = f"file://{folder}"

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from ovenplan.llm.common import importable
+
 SPACE = "▁"
 LETTER = r"[^\W\d_]"
 PLACE_BITS = 40
@@ -197,6 +199,7 @@ def encode_rows(docs: DataFrame, model: str, text_col: str = "text", digest: boo
     With ``digest``, text, ids and decoded text stay in the task and ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` replace
     them. ``model`` is the path of the vocabulary file on every machine.
     """
+    importable(docs.sparkSession)
     made = ["ids", "decoded", "agrees", "n_tokens", "ids_sha256", "decoded_sha256"]
     kept = [c for c in docs.columns if c not in made and not (digest and c == text_col)]
     if digest:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ovenplan.llm import line_dedup, mixing, packing, pieces, quality_rules, sharding
+from ovenplan.llm import line_dedup, mixing, packing, pages, pieces, quality_rules, sharding
 from ovenplan.llm.common import table
 
 
@@ -32,6 +32,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents go from every document."""
     kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
@@ -63,6 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
+    "op4_page_text": op4_page_text,
     "op5_line_dedup": op5_line_dedup,
     "op8_packed_ids": op8_packed_ids,
     "op9_source_mix": op9_source_mix,
