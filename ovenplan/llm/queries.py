@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ovenplan.llm import line_dedup, mixing, packing, pages, pieces, quality_rules, sharding
+from ovenplan.llm import line_dedup, line_quality, mixing, packing, pages, pieces, quality_rules, sharding
 from ovenplan.llm.common import table
 
 
@@ -44,6 +44,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; four fifths of the labels may teach."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = line_quality.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return line_quality.score(docs, field, keep_text=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to bit-packed files in the order of ids, and back from the files."""
     manifest = packing.write_packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_page_text": op4_page_text,
     "op5_line_dedup": op5_line_dedup,
+    "op7_line_quality": op7_line_quality,
     "op8_packed_ids": op8_packed_ids,
     "op9_source_mix": op9_source_mix,
     "op10_sharding": op10_sharding,
