@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ovenplan.llm import line_dedup, line_quality, mixing, packing, pages, pieces, quality_rules, sharding
+from ovenplan.llm import line_dedup, line_quality, mixing, near_dups, packing, pages, pieces, quality_rules, sharding
 from ovenplan.llm.common import table
 
 
@@ -44,6 +44,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes: five-word runs, edit similarity of 0.8 or more."""
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8)
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; four fifths of the labels may teach."""
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_page_text": op4_page_text,
     "op5_line_dedup": op5_line_dedup,
+    "op6_near_dups": op6_near_dups,
     "op7_line_quality": op7_line_quality,
     "op8_packed_ids": op8_packed_ids,
     "op9_source_mix": op9_source_mix,
