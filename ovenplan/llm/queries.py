@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ovenplan.llm import line_dedup, line_quality, mixing, near_dups, packing, pages, pieces, quality_rules, sharding
+from ovenplan.llm import line_dedup, line_quality, mixing, near_dups, packing, pages, pieces, quality_rules, sharding, topk
 from ovenplan.llm.common import table
 
 
@@ -18,6 +18,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors for every vector whose id is divisible by 100."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text of the ids, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,6 +85,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op4_page_text": op4_page_text,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_top_k": topk.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op9_source_mix": mixing.ORACLE,
