@@ -184,11 +184,15 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long, edits long")
 
 
+def _node(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def near_links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, edits) between different texts, named by their hash, that connect every class; and (node, comp)."""
     spark = docs.sparkSession
     importable(spark)
-    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(_node(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     placed = settled(_sketched(texts).select("node", F.explode("buckets").alias("bucket")), "sketches")
     # Buckets with more than one text, and the smallest text of each. Copies of a text combine before the shuffle.
     heads = placed.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("bucket", "head")
@@ -240,14 +244,33 @@ def _cross_pairs(star: DataFrame, members: DataFrame, comps: DataFrame, wanted:
     )
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, ``copy_of`` (smallest id with the same text), ``class_id`` (smallest id in its class)
-    and ``n_links`` (verified links of its text to other texts)."""
+def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of every row, and per text: copy_of, comp, n_links, class_id and ``leader``, the text that leads its class."""
     links, comps = near_links(docs, similarity, id_col, text_col)
-    ids = settled(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node")), "text-ids")
+    ids = settled(docs.select(F.col(id_col).alias("doc_id"), _node(text_col).alias("node")), "text-ids")
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     copies = _labelled(ids.groupBy("node").agg(F.min("doc_id").alias("copy_of")), comps, "node", "comp").join(ends, "node", "left")
     copies = settled(copies, "text-copies")
-    classes = copies.groupBy("comp").agg(F.min("copy_of").alias("class_id"))
-    named = settled(copies.join(classes, "comp").select("node", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "text-classes")
+    first = F.min(F.struct(F.col("copy_of").isNull(), F.col("copy_of"), F.col("node")))
+    leaders = copies.groupBy("comp").agg(first.alias("_first")).select("comp", "_first.copy_of", "_first.node")
+    named = copies.join(leaders.select("comp", F.col("copy_of").alias("class_id"), F.col("node").alias("leader")), "comp")
+    return ids, settled(named.select("node", "copy_of", "class_id", "leader", F.coalesce("n_links", F.lit(0)).alias("n_links")), "text-classes")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: its id, ``copy_of`` (smallest id with the same text), ``class_id`` (smallest id in its class)
+    and ``n_links`` (verified links of its text to other texts)."""
+    ids, named = _classes(docs, similarity, id_col, text_col)
     return ids.join(named, "node").select("doc_id", "copy_of", "class_id", "n_links")
+
+
+def one_per_class(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text and id lead their class; of repeated rows one."""
+    _, named = _classes(docs, similarity, id_col, text_col)
+    leading = named.filter("node = leader").select(F.col("copy_of").alias("_id"), F.col("node").alias("_node"))
+    keyed = docs.withColumn("_text_hash", _node(text_col))
+    kept = keyed.join(leading, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_node")), "left_semi")
+    repeated = docs.groupBy(id_col, _node(text_col).alias("_node")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates([id_col, "_text_hash"])
+    return kept.drop("_text_hash")
