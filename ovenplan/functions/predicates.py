@@ -45,9 +45,13 @@ def active_on(start: Column, resume: Column, lead_days: Column, as_of: dt.date)
 
 
 def due_weekday(lead_days: Column, as_of: dt.date, wrap: bool = True) -> Column:
-    """The weekday on which what starts on ``as_of`` is delivered. Without ``wrap`` it runs past the end of the week."""
+    """The weekday on which what starts on ``as_of`` is delivered.
+
+    Without ``wrap`` it runs past the end of the week. With it, a week is taken off once: a delivery after the end of next week
+    has a number that no weekday has.
+    """
     shifted = lead_days + F.lit(weekday_number(as_of))
-    return F.pmod(shifted, F.lit(7)) if wrap else shifted
+    return F.when(shifted < 7, shifted).otherwise(shifted - 7) if wrap else shifted
 
 
 def weekday_due(day: Column, lead_days: Column, as_of: dt.date, wrap: bool = True) -> Column:

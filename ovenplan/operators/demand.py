@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ovenplan.functions.numbers import round_div, whole
 from ovenplan.functions.predicates import active_on, delivery_of_start, due_weekday, like_ci, weekday_of
 from ovenplan.operators.directory import join_party
-from ovenplan.schemas import LEAD_DAYS_MAX, LEAD_DAYS_MIN
 
 Tables = Mapping[str, DataFrame]
 
@@ -27,9 +26,12 @@ def _grams() -> Column:
 def special_due(special_orders: DataFrame, products: DataFrame, as_of: dt.date) -> DataFrame:
     """Special orders to start on ``as_of``, with ``product_name`` and ``lead_time_days``.
 
-    Lead times lie within declared bounds, so the delivery date does too; this reads a few date folders of the orders.
+    The delivery date is part of the join key. The least and greatest lead time of the products bound it as well, as subqueries of
+    the scan's filter, so only the date folders of the orders between them are read; no bound is assumed.
     """
-    first, last = (as_of + dt.timedelta(days=d) for d in (LEAD_DAYS_MIN, LEAD_DAYS_MAX))
+    first, last = (
+        delivery_of_start(products.agg(bound("lead_time_days")).scalar(), as_of) for bound in (F.min, F.max)
+    )
     dated = products.select(
         "product_id",
         "product_name",

@@ -172,7 +172,7 @@ def modded_recipe(tables: Tables, product: str = "%", mod: str = "%", scope: str
     products, _, named = _chosen(tables, product, mod)
     recipe = tables["product_ingredients"].join(products, "product_id")
     if scope == "table":
-        replaced = tables["dough_mods"].select("ingredient_id").distinct()
+        replaced = tables["dough_mods"].select("ingredient_id")
         kept = recipe.join(replaced, "ingredient_id", "left_anti")
     else:
         kept = recipe.join(named, ["product_id", "ingredient_id"], "left_anti")

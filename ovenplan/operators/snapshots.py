@@ -14,21 +14,31 @@ from ovenplan.schemas import NOW, TABLES, UUID, Table
 ID_BUCKETS = 65536
 
 
-def _default(value: object, now: dt.datetime | Column) -> Column:
+def _declared(table: str | Table) -> Table:
+    return TABLES[table] if isinstance(table, str) else table
+
+
+def _moment(now: dt.datetime | Column) -> Column:
+    return now if isinstance(now, Column) else F.lit(now)
+
+
+def _default(value: object, kind: str, now: dt.datetime | Column) -> Column:
     if value == NOW:
-        return now if isinstance(now, Column) else F.lit(now)
-    return F.uuid() if value == UUID else F.lit(value)
+        return _moment(now)
+    if value == UUID:
+        return F.uuid()
+    return F.lit(value) if kind == "KEY" else F.lit(value).cast(kind)
 
 
 def fill_defaults(df: DataFrame, table: str | Table, now: dt.datetime | Column) -> DataFrame:
-    """Put the declared default where a column is missing or NULL.
+    """Put the declared default, in the declared type, where a column is missing or NULL.
 
     Uuids are made anew when the plan runs again: write the rows before other tables refer to them.
     """
-    declared = TABLES[table] if isinstance(table, str) else table
+    declared = _declared(table)
     filled = {}
     for column, value in declared.defaults.items():
-        default = _default(value, now)
+        default = _default(value, declared.types[column], now)
         filled[column] = F.coalesce(F.col(column), default) if column in df.columns else default
     return df.withColumns(filled)
 
@@ -53,28 +63,57 @@ def assign_ids(df: DataFrame, id_col: str, order: Sequence[str], last_id: int =
 
 
 def append_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The table with a batch added; columns the batch lacks are NULL."""
-    return existing.unionByName(incoming.select(*[c for c in existing.columns if c in incoming.columns]), allowMissingColumns=True)
+    """The table with a batch added; columns the batch lacks are NULL. A column that the table lacks is an error."""
+    unknown = [c for c in incoming.columns if c not in existing.columns]
+    if unknown:
+        raise ValueError(f"the table has no column {', '.join(unknown)}")
+    return existing.unionByName(incoming, allowMissingColumns=True)
+
+
+def _touches(df: DataFrame, table: str | Table | None) -> bool:
+    return table is not None and _declared(table).touched and "modified" in df.columns
 
 
 def apply_update(
-    df: DataFrame, predicate: Column, changes: Mapping[str, Column], now: dt.datetime | Column | None = None
+    df: DataFrame,
+    predicate: Column,
+    changes: Mapping[str, Column],
+    now: dt.datetime | Column | None = None,
+    table: str | Table | None = None,
 ) -> DataFrame:
-    """Set columns where the predicate holds. ``modified`` is refreshed on every such row, changed or not."""
+    """Set columns where the predicate holds.
+
+    If ``table`` is declared as touched, ``modified`` becomes ``now`` on every such row, changed or not; in other tables it stays.
+    """
     hit = F.coalesce(predicate, F.lit(False))
     columns = {name: F.when(hit, value).otherwise(F.col(name)) for name, value in changes.items()}
-    if now is not None and "modified" in df.columns:
-        columns["modified"] = F.when(hit, _default(NOW, now)).otherwise(F.col("modified"))
+    if now is not None and _touches(df, table):
+        columns["modified"] = F.when(hit, _moment(now)).otherwise(F.col("modified"))
     return df.withColumns(columns)
 
 
 def apply_updates(
-    snapshot: DataFrame, updates: DataFrame, keys: Sequence[str], now: dt.datetime | Column | None = None
+    snapshot: DataFrame,
+    updates: DataFrame,
+    keys: Sequence[str],
+    now: dt.datetime | Column | None = None,
+    table: str | Table | None = None,
+    order: Sequence[str] = (),
+    nulls: Sequence[str] = (),
 ) -> DataFrame:
-    """Apply at most one update row per key; a NULL leaves the column as it is, and a key that is not in the snapshot is ignored."""
-    changed = [c for c in updates.columns if c not in keys]
-    found = updates.select(*keys, F.struct(*changed).alias("_new"))
-    columns = {c: F.coalesce(F.col("_new")[c], F.col(c)) for c in changed}
-    if now is not None and "modified" in snapshot.columns:
-        columns["modified"] = F.when(F.col("_new").isNotNull(), _default(NOW, now)).otherwise(F.col("modified"))
+    """Update a snapshot by key; it never gains a row, and a key that it lacks is ignored.
+
+    Of several updates for a key the last by ``order`` counts, and the greatest among equals. A NULL leaves a column as it is,
+    except for the columns named in ``nulls``, which it clears. Columns named in ``order`` alone are not written.
+    """
+    changed = [c for c in updates.columns if c not in keys and (c in snapshot.columns or c not in order)]
+    last = F.max_by(F.struct(*changed), F.struct(*order, *[c for c in changed if c not in order]))
+    found = updates.groupBy(*keys).agg(last.alias("_new"))
+    hit = F.col("_new").isNotNull()
+    columns = {
+        c: F.when(hit, F.col("_new")[c]).otherwise(F.col(c)) if c in nulls else F.coalesce(F.col("_new")[c], F.col(c))
+        for c in changed
+    }
+    if now is not None and _touches(snapshot, table):
+        columns["modified"] = F.when(hit, _moment(now)).otherwise(F.col("modified"))
     return snapshot.join(found, list(keys), "left").withColumns(columns).select(*snapshot.columns)

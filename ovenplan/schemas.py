@@ -13,9 +13,8 @@ UUID = "uuid"
 STAMPS = "created timestamp, modified timestamp"
 PARTS = "percent_in_sour decimal(18,6), percent_in_poolish decimal(5,2), percent_in_soaker decimal(18,6)"
 
-# Months an order may lie ahead, days of lead time.
+# Fixed value: months an order may lie ahead.
 ORDER_WINDOW_MONTHS = 6
-LEAD_DAYS_MIN, LEAD_DAYS_MAX = 0, 7
 
 
 @dataclass(frozen=True)
@@ -50,9 +49,14 @@ class Table:
     def ddl(self, key_type: str = "string") -> str:
         return self.columns.replace("KEY", key_type)
 
+    @property
+    def types(self) -> dict[str, str]:
+        """Declared type by column; ``KEY`` for keys, whose type is a parameter."""
+        return {name: kind for name, kind in re.findall(r"(\w+) (\w+(?:\([^)]*\))?)", self.columns)}
+
     @property
     def names(self) -> list[str]:
-        return [name for name, _ in re.findall(r"(\w+) \w+(\([^)]*\))?", self.columns)]
+        return list(self.types)
 
     @property
     def not_null(self) -> list[str]:

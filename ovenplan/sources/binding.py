@@ -74,11 +74,12 @@ def bind(spark: SparkSession, folder: str) -> Bakery:
 
 
 def bind_v1(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of the first-generation views: weekdays 1 to 7 and holds."""
+    """The tables of the first-generation views: weekdays 1 to 7, holds, and lead times without an upper bound."""
     bakery = bind(spark, folder)
-    same = ["special_orders", "products", "shapes", "product_shapes", "parties", "holds", "ingredients"]
+    same = ["special_orders", "shapes", "product_shapes", "parties", "holds", "ingredients"]
     tables = {name: bakery[name] for name in [*same, "product_ingredients"]}
     return tables | {
+        "products": bakery["products_v1"],
         "standing_orders": bakery["standing_orders_v1"],
         "days_of_week": bakery["days_of_week_v1"],
     }
@@ -210,6 +211,12 @@ def products(src: Sources) -> DataFrame:
     )
 
 
+def products_v1(src: Sources) -> DataFrame:
+    """Every fifth product takes more than a week."""
+    lead = F.when(F.col("product_id") % 5 == 0, F.col("lead_time_days") + 8).otherwise(F.col("lead_time_days"))
+    return products(src).withColumn("lead_time_days", lead)
+
+
 def _product_lines(src: Sources) -> DataFrame:
     """One row per product and shape that was ever ordered, with the part's columns."""
     pairs = src["lineitem"].select("l_partkey", "l_linenumber").distinct()
@@ -380,5 +387,6 @@ DERIVED: dict[str, Builder] = {
         holds,
         standing_orders_v1,
         days_of_week_v1,
+        products_v1,
     )
 }

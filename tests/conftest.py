@@ -141,8 +141,8 @@ def bakery_on(spark, day):
             spark,
             "parties",
             [
-                {"party_id": "blow", "party_type": "i", "party_name": "Blow"},
-                {"party_id": "mill", "party_type": "o", "party_name": "Corner Mill"},
+                {"party_id": "blow", "party_type": "i", "party_name": "Lark"},
+                {"party_id": "mill", "party_type": "o", "party_name": "Cobble Works"},
             ],
         ),
         "special_orders": make(

@@ -36,9 +36,9 @@ def test_batch_weight_of_a_pattern(bakery):
 
 def test_todays_orders(bakery):
     assert rows(demand.todays_orders(bakery, MONDAY).select("product_id", "customer", "lead_time", "amt", "grams")) == [
-        ("five", "Blow", 5, 1, 1600),
-        ("kamut", "Blow", 2, 1, 1600),
-        ("pizza", "Blow", 1, 6, 400),
+        ("five", "Lark", 5, 1, 1600),
+        ("kamut", "Lark", 2, 1, 1600),
+        ("pizza", "Lark", 1, 6, 400),
     ]
     assert rows(demand.todays_order_summary(demand.todays_orders(bakery, MONDAY))) == [
         ("five", "five day", 1600),

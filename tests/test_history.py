@@ -38,10 +38,10 @@ def test_cost_changes_and_their_list(spark):
         "ingredients",
         [dict(ingredient_id="kamut flour", ingredient_name="kamut flour"), dict(ingredient_id="salt", ingredient_name="salt")],
     )
-    parties = make(spark, "parties", [dict(party_id="mill", party_type="o", party_name="Corner Mill")])
+    parties = make(spark, "parties", [dict(party_id="mill", party_type="o", party_name="Cobble Works")])
     listed = cost.cost_change_list(log.filter("ingredient_id = 'kamut flour'"), ingredients, parties)
     assert rows(listed) == [
-        ("Corner Mill", "kamut flour", D("5.20"), D("6.00"), D("0.00573"), D("0.00662"), D("907.000000"), NOW)
+        ("Cobble Works", "kamut flour", D("5.20"), D("6.00"), D("0.00573"), D("0.00662"), D("907.000000"), NOW)
     ]
 
 
@@ -79,8 +79,8 @@ def test_standing_changes_and_their_history(spark, bakery):
     days = spark.createDataFrame([(0, "Sun"), (1, "Mon"), (5, "Fri")], "dow_id smallint, dow_names string")
     listed = history.standing_change_history(log, bakery["parties"], bakery["products"], bakery["shapes"], days)
     assert rows(listed) == [
-        ("Blow", "Kamut sourdough", '12" boule', "Mon", 2, 2, NOW),
-        ("Blow", "Kamut sourdough", '12" boule', "Sun", 4, 2, NOW),
+        ("Lark", "Kamut sourdough", '12" boule', "Mon", 2, 2, NOW),
+        ("Lark", "Kamut sourdough", '12" boule', "Sun", 4, 2, NOW),
     ]
 
 

@@ -62,10 +62,10 @@ def test_find_id(spark):
 
 
 def test_resolve_keys_and_rejects(spark):
-    parties = spark.createDataFrame([("Blow", "p1"), ("Bar", "p2")], "party_name string, party_id string")
+    parties = spark.createDataFrame([("Lark", "p1"), ("Bar", "p2")], "party_name string, party_id string")
     products = spark.createDataFrame([("kamut sourdough", "k")], "product_name string, product_id string")
     batch = spark.createDataFrame(
-        [("blow", "kam%", 1), ("BAR", "kam%", 2), ("nobody", "kam%", 3), (None, "rye", 4)],
+        [("lark", "kam%", 1), ("BAR", "kam%", 2), ("nobody", "kam%", 3), (None, "rye", 4)],
         "customer string, product string, amt int",
     )
     resolved = resolve_keys(

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ovenplan.operators import snapshots
@@ -33,8 +34,16 @@ def test_ids_continue_without_gaps(spark):
 
 def test_append_fills_missing_columns(spark):
     old = spark.createDataFrame([("k", 1, "x")], "id string, n int, note string")
-    new = spark.createDataFrame([(2, "l", 9)], "n int, id string, extra int")
+    new = spark.createDataFrame([(2, "l")], "n int, id string")
     assert rows(snapshots.append_rows(old, new)) == [("k", 1, "x"), ("l", 2, None)]
+    with pytest.raises(ValueError, match="extra"):
+        snapshots.append_rows(old, new.withColumn("extra", F.lit(9)))
+
+
+def test_defaults_have_the_declared_types(spark):
+    filled = snapshots.fill_defaults(spark.range(1), "product_ingredients", NOW)
+    kinds = dict(filled.dtypes)
+    assert kinds["percent_in_sour"] == "decimal(18,6)" and kinds["percent_in_poolish"] == "decimal(5,2)"
 
 
 def test_update_touches_every_matched_row(spark):
@@ -45,7 +54,7 @@ def test_update_touches_every_matched_row(spark):
         + [dict(party_id="nameless", party_type="o")],
     )
     renamed = snapshots.apply_update(
-        parties, F.col("party_name").like("Dept%"), {"party_name": F.lit("Dept")}, NOW
+        parties, F.col("party_name").like("Dept%"), {"party_name": F.lit("Dept")}, NOW, "parties"
     ).select("party_id", "party_name", "modified")
     assert rows(renamed) == [
         ("Dept of Revenue", "Dept", NOW),
@@ -60,7 +69,23 @@ def test_upsert_ignores_unknown_keys_and_nulls(spark):
         [("a", 1, "x", None), ("b", 2, "y", None)], "id string, n int, s string, modified timestamp"
     )
     new = spark.createDataFrame([("b", 5, None), ("c", 7, "z")], "id string, n int, s string")
-    assert rows(snapshots.apply_updates(old, new, ["id"], NOW)) == [("a", 1, "x", None), ("b", 5, "y", NOW)]
+    assert rows(snapshots.apply_updates(old, new, ["id"], NOW, "phones")) == [("a", 1, "x", None), ("b", 5, "y", NOW)]
+    assert rows(snapshots.apply_updates(old, new, ["id"], NOW, "emails")) == [("a", 1, "x", None), ("b", 5, "y", None)]
+    cleared = snapshots.apply_updates(old, new, ["id"], nulls=["s"])
+    assert rows(cleared) == [("a", 1, "x", None), ("b", 5, None, None)]
+
+
+def test_repeated_updates_add_no_rows(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    new = spark.createDataFrame([("a", 7, 1), ("a", 5, 2), ("a", 6, 2)], "id string, n int, at int")
+    assert rows(snapshots.apply_updates(old, new, ["id"], order=["at"])) == [("a", 6), ("b", 2)]
+
+
+def test_only_touched_tables_get_a_new_time(spark):
+    emails = spark.createDataFrame([("a", "w", None)], "party_id string, email_type string, modified timestamp")
+    everyone = F.lit(True)
+    assert rows(snapshots.apply_update(emails, everyone, {"email_type": F.lit("b")}, NOW, "emails")) == [("a", "b", None)]
+    assert rows(snapshots.apply_update(emails, everyone, {"email_type": F.lit("b")}, NOW, "phones")) == [("a", "b", NOW)]
 
 
 def test_tables_round_trip_and_prune(spark, bakery, tmp_path):
