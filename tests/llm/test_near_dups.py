@@ -1,0 +1,123 @@
+"""Order MinHash, banded alignment and classes against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+from helpers import as_tuples, awkward, documents, nothing
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ovenplan.llm import near_dups
+from ovenplan.llm.components import components
+
+WORDS = st.lists(st.sampled_from("abcd"), max_size=14)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=400, deadline=None)
+@given(WORDS, WORDS, st.integers(0, 9))
+def test_banded_distance(a, b, limit):
+    wanted = distance(a, b)
+    assert near_dups.distance_within(a, b, limit) == (wanted if wanted <= limit else None)
+
+
+def test_edits_allowed_is_exact():
+    assert [near_dups.edits_allowed(n, 0.8) for n in (0, 4, 5, 9, 10, 15, 100, 1005)] == [0, 0, 1, 1, 2, 3, 20, 201]
+
+
+def test_sketches():
+    assert not len(near_dups.sketches(None)) and not len(near_dups.sketches(" \n"))
+    assert len(near_dups.sketches("one two")) == near_dups.SKETCHES
+    text = " ".join(f"w{i}" for i in range(300))
+    assert (near_dups.sketches(text) == near_dups.sketches(text.replace(" ", "\n\t"))).all()
+    swapped = " ".join(f"w{i}" for i in [*range(150, 300), *range(150)])
+    agree = (near_dups.sketches(text) == near_dups.sketches(swapped)).mean()
+    assert agree < 0.5  # the same runs in another order: a set of runs would agree in nearly all
+    repeated = "again and again it says so " * 50
+    assert (near_dups.sketches(repeated) == near_dups.sketches("again and again it says so " * 10)).mean() < 0.5
+
+
+def test_sketches_of_long_texts_in_parts(monkeypatch):
+    text = " ".join(f"w{i * i % 7919}" for i in range(3000))
+    whole = near_dups.sketches(text)
+    words = near_dups.word_hashes(text)
+    assert len(set(words.tolist())) == len(set(text.split()))
+    assert (whole == near_dups.sketches(text)).all() and len(np.unique(whole)) > 40
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        place = rng.randrange(len(out))
+        kind = rng.randrange(3)
+        if kind == 0:
+            out[place] = f"e{rng.randrange(10**6)}"
+        elif kind == 1:
+            out.insert(place, f"e{rng.randrange(10**6)}")
+        else:
+            out.pop(place)
+    return out
+
+
+def collection():
+    rng = random.Random(7)
+    texts = []
+    for base in range(25):
+        words = [f"v{rng.randrange(4000)}" for _ in range(rng.randrange(60, 160))]
+        texts.append(" ".join(words))
+        texts += [" ".join(edited(rng, words, rng.randrange(1, 5))) for _ in range(base % 4)]
+        if base % 5 == 0:
+            texts.append(texts[-1])
+    boiler = [f"b{i}" for i in range(60)]
+    texts += [" ".join(boiler + [f"u{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(20)]
+    rng.shuffle(texts)
+    return texts
+
+
+def brute_classes(texts):
+    label = list(range(len(texts)))
+    words = [t.split() for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            n = max(len(words[i]), len(words[j]))
+            if label[i] != label[j] and near_dups.distance_within(words[i], words[j], n // 5) is not None:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_classes_match_brute_force(spark):
+    texts = collection()
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    assert as_tuples(near_dups.near_duplicates(docs), "doc_id", "class_id") == sorted(enumerate(brute_classes(texts)), key=repr)
+    kept = near_dups.one_per_class(docs)
+    assert as_tuples(kept, "doc_id") == sorted({(c,) for c in brute_classes(texts)}, key=repr)
+    assert kept.columns == docs.columns
+
+
+def test_awkward_rows(spark):
+    found = near_dups.near_duplicates(awkward(spark))
+    assert found.count() == 9
+    classes = {(r["doc_id"], r["class_id"]) for r in found.collect()}
+    assert {(1, 1), (None, 1), (2, 2), (3, 2), (4, 4), (5, 4)} <= classes
+    kept = near_dups.one_per_class(awkward(spark))
+    assert as_tuples(kept, "doc_id") == [(1,), (2,), (4,), (6,), (7,)]
+    assert near_dups.near_duplicates(nothing(spark)).count() == near_dups.one_per_class(nothing(spark)).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, 100 + i) for i in range(1, 30)]
+    found = dict(as_tuples(components(spark.createDataFrame(chain + star, "a long, b long")), "node", "comp"))
+    assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}

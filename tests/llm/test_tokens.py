@@ -1,0 +1,134 @@
+"""Encoding, decoding and packed files against the libraries."""
+
+from __future__ import annotations
+
+import os
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from helpers import as_tuples, awkward, documents, nothing
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from ovenplan.llm import packing, pieces
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+ODD = ["  a  b\n c ", "\x00é", "a▁b ,.. .,,x.y", " ", "\n\n  \n", "Ж​x　y\ta<s><0x41>", "a.)b,(c).d", "x².y", "😀é́", "<|endoftext|>x", "İstanbul"]
+
+
+@pytest.fixture(scope="module")
+def code():
+    return pieces.PieceCoder(MODEL)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_agenda_equals_the_library(text):
+    code = pieces.coder(MODEL)
+    ids = code.encode(text)
+    assert ids == code.library.encode(text)
+    assert code.decode(ids) == code.library.decode(ids)
+
+
+def test_agenda_on_odd_and_long_texts(code):
+    for text in [*ODD, "x" * 3000, "ab" * 2000, "a,b." * 500]:
+        assert code.encode(text) == code.library.encode(text), text[:20]
+    assert not code.disputed
+
+
+def test_equal_scores_go_left_first(code):
+    assert code.merge("▁" * 7) == code.library.encode(" " * 6, out_type=str)
+
+
+def test_forgetting_changes_nothing(code, monkeypatch):
+    monkeypatch.setattr(pieces, "MEMORY", 5)
+    texts = [" ".join(random.Random(k).choices(["alpha", "beta.", "gamma,", "x" * 70], k=30)) for k in range(40)]
+    for i in range(0, 40, 7):
+        assert code.encode_batch(texts[i : i + 7])[0] == code.library.encode(texts[i : i + 7])
+
+
+def test_a_difference_shows(code):
+    other = pieces.PieceCoder(MODEL)
+    other.joins["▁t"] = {right: pair for right, pair in other.joins["▁t"].items() if right != "he"}
+    other.joins["▁"] = {right: pair for right, pair in other.joins["▁"].items() if right not in ("the", "th")}
+    ids, agrees = other.encode_batch(["the cat", "zebra"])
+    assert ids[0] == code.library.encode("the cat") and agrees == [False, True]
+
+
+def test_encoded_rows(spark):
+    docs = awkward(spark)
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = pieces.encode_texts(docs, MODEL).collect()
+    assert len(rows) == 9 and all(r["agrees"] for r in rows)
+    assert all(r["ids"] == lib.encode(r["text"] or "") and r["decoded"] == lib.decode(r["ids"]) for r in rows)
+    assert pieces.encode_digests(nothing(spark), MODEL).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 40), st.lists(st.integers(0, 2**40 - 1), max_size=200))
+def test_bits_round_trip(bits, ids):
+    ids = np.array([i % (1 << bits) for i in ids], np.uint64)
+    data = packing.pack(ids, bits)
+    assert len(data) == (len(ids) * bits + 7) // 8
+    assert packing.unpack(data, len(ids), bits).tolist() == ids.tolist()
+
+
+def test_least_bits():
+    assert [packing.bits_for(n) for n in (1, 2, 3, 256, 257, 49408)] == [1, 1, 2, 8, 9, 16]
+
+
+def test_file_random_access(tmp_path):
+    path = str(tmp_path / "ids.bits")
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 5000, n).astype(np.uint32) for n in (0, 1, 9000, 30, 20000, 0, 5)]
+    writer = packing.BitWriter(path, 13)
+    for k, ids in enumerate(docs):
+        writer.add(None if k == 3 else k, ids)
+    writer.close()
+    assert os.path.getsize(path) < sum(map(len, docs)) * 13 / 8 + 400
+    reader = packing.BitReader(path)
+    assert all(reader.document(k).tolist() == ids.tolist() for k, ids in enumerate(docs))
+    whole = np.concatenate(docs)
+    for begin, end in ((0, 0), (0, 1), (8191, 8193), (9000, 29000), (29030, 29036)):
+        assert reader.read(begin, end).tolist() == whole[begin:end].tolist()
+    assert [(d, len(ids)) for d, _, ids in reader.documents(1)] == [(None if k == 3 else k, len(x)) for k, x in enumerate(docs)]
+    with pytest.raises(ValueError, match="more bits"):
+        packing.BitWriter(str(tmp_path / "x.bits"), 4).add(1, np.array([16]))
+
+
+def test_packed_documents(spark, monkeypatch):
+    docs = awkward(spark).unionByName(documents(spark, [(30 - i, t, "en", "a") for i, t in enumerate(ODD)]))
+    found = packing.read_packed(packing.write_packed(docs, WORDS, end_id=1)).collect()
+    library = Tokenizer.from_file(WORDS)
+    wanted = {r["doc_id"]: len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    found.sort(key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == sorted((r["doc_id"] for r in docs.collect()), key=lambda i: (i is not None, i or 0))
+    assert all(r["n_tokens"] == wanted[r["doc_id"]] for r in found)
+    ends = [r["start"] + r["n_tokens"] for r in found]
+    assert [0, *ends[:-1]] == [r["start"] for r in found]
+    assert packing.read_packed(packing.write_packed(nothing(spark), WORDS)).count() == 0
+
+
+def test_words_equal_whole_texts():
+    code, library = packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    for text in [*ODD, "Don't I'LL. a, b.c. D., É. É, 1. x1, ...", "don't I'LL  a", "ÀÉ ΣΑΣ Σ", "a　b c\x0bd", "\x1c a\r\nb"]:
+        assert code.by_word and code.encode_batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 4)
+    code, library = packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    for k in range(30):
+        texts = [" ".join(random.Random(k * 10 + i).choices(["Alpha", "alpha.", "beta,", "Gamma", "x1.", "é."], k=8)) for i in range(3)]
+        assert [x.tolist() for x in code.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_manifest_names_every_file(spark):
+    manifest = packing.write_packed(awkward(spark), WORDS)
+    assert as_tuples(manifest, "part", "seq") == sorted(set(as_tuples(manifest, "part", "seq")), key=repr)
+    assert manifest.agg({"n_docs": "sum"}).first()[0] == 9
