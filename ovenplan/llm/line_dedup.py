@@ -32,12 +32,12 @@ def line_key(line: F.Column) -> F.Column:
 def _numbered_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """id, hash of the text, position and 128-bit hash of the key of every line long enough to be dropped."""
     lines = docs.select(
-        F.col(id_col).alias("_id"),
-        F.xxhash64(text_col).alias("_text"),
+        F.col(id_col).alias("__id"),
+        F.xxhash64(text_col).alias("__text"),
         F.posexplode(_lines(F.col(text_col))).alias("_pos", "_line"),
-    ).select("_id", "_text", "_pos", line_key(F.col("_line")).alias("_key"))
+    ).select("__id", "__text", "_pos", line_key(F.col("_line")).alias("_key"))
     return lines.filter(F.length("_key") >= min_chars).select(
-        "_id", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2")
+        "__id", "__text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2")
     )
 
 
@@ -45,7 +45,7 @@ def shared_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, id_col: str
     """Hashes of the line keys found in at least ``min_docs`` documents, with the count. Combined before each shuffle."""
     keys = _numbered_keys(docs, id_col, text_col, min_chars)
     return (
-        keys.groupBy("_h1", "_h2", "_id")
+        keys.groupBy("_h1", "_h2", "__id")
         .agg(F.lit(1).alias("_one"))
         .groupBy("_h1", "_h2")
         .agg(F.count(F.lit(1)).alias("_docs"))
@@ -65,18 +65,18 @@ def drop_shared_lines(
     dropped = (
         _numbered_keys(docs, id_col, text_col, min_chars)
         .join(shared, ["_h1", "_h2"], "left_semi")
-        .groupBy("_id", "_text")
-        .agg(F.collect_set("_pos").alias("_gone"))
+        .groupBy("__id", "__text")
+        .agg(F.collect_set("_pos").alias("__gone"))
     )
-    rows = docs.withColumns({"_id": F.col(id_col), "_text": F.xxhash64(text_col)})
+    rows = docs.withColumns({"__id": F.col(id_col), "__text": F.xxhash64(text_col)})
     joined = rows.alias("d").join(
         dropped.alias("x"),
-        F.col("d._id").eqNullSafe(F.col("x._id")) & (F.col("d._text") == F.col("x._text")),
+        F.col("d.__id").eqNullSafe(F.col("x.__id")) & (F.col("d.__text") == F.col("x.__text")),
         "left",
     )
     lines = _lines(F.col(f"d.{text_col}"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.coalesce(F.col(f"d.{text_col}"), F.lit(""))).otherwise(
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.coalesce(F.col(f"d.{text_col}"), F.lit(""))).otherwise(
         F.array_join(F.transform(F.array_sort(stay), lambda i: F.get(lines, i)), "\n")
     )
     kept = [F.col(f"d.{c}") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
@@ -84,7 +84,7 @@ def drop_shared_lines(
         *kept,
         text.alias(text_col),
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -147,24 +147,24 @@ def mixed_documents(
     The plan is made without the texts and joined back by id, source and a hash of the text. Rows that agree in all of these are
     interchangeable; if there are any, both sides number them.
     """
-    marked = docs.withColumn("_hash", F.xxhash64(text_col))
-    keys = ["doc_id", "source", "_keep__hash"]
-    plan = settled(plan_mix(marked, weights, max_repeats=max_repeats, id_col=id_col, text_col=text_col, source_col=source_col, keep=("_hash",)), "mix-plan")
+    marked = docs.withColumn("__hash", F.xxhash64(text_col))
+    keys = ["doc_id", "source", "_keep___hash"]
+    plan = settled(plan_mix(marked, weights, max_repeats=max_repeats, id_col=id_col, text_col=text_col, source_col=source_col, keep=("__hash",)), "mix-plan")
     repeated = not plan.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(by[0])) if repeated else F.lit(1)
-    copies = plan.withColumn("_number", number(*keys)).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_keep__hash").alias("_plan_hash"), F.col("_number").alias("_plan_number"),
+    copies = plan.withColumn("__number", number(*keys)).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_keep___hash").alias("_plan_hash"), F.col("__number").alias("_plan_number"),
         F.explode("positions").alias("_position"),
     )
-    rows = marked.withColumn("_number", number(id_col, source_col, "_hash"))
+    rows = marked.withColumn("__number", number(id_col, source_col, "__hash"))
     joined = rows.join(
         copies,
         rows[id_col].eqNullSafe(F.col("_id"))
         & rows[source_col].eqNullSafe(F.col("_source"))
-        & (F.col("_hash") == F.col("_plan_hash"))
-        & (F.col("_number") == F.col("_plan_number")),
+        & (F.col("__hash") == F.col("_plan_hash"))
+        & (F.col("__number") == F.col("_plan_number")),
     )
-    return range_sorted(joined, "_position", "_hash").select(*[docs[c] for c in docs.columns])
+    return range_sorted(joined, "_position", "__hash").select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = r"""

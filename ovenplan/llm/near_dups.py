@@ -268,9 +268,9 @@ def one_per_class(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     """The rows of ``docs``, all columns, whose text and id lead their class; of repeated rows one."""
     _, named = _classes(docs, similarity, id_col, text_col)
     leading = named.filter("node = leader").select(F.col("copy_of").alias("_id"), F.col("node").alias("_node"))
-    keyed = docs.withColumn("_text_hash", _node(text_col))
-    kept = keyed.join(leading, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_node")), "left_semi")
+    keyed = docs.withColumn("__text_hash", _node(text_col))
+    kept = keyed.join(leading, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("__text_hash") == F.col("_node")), "left_semi")
     repeated = docs.groupBy(id_col, _node(text_col).alias("_node")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates([id_col, "_text_hash"])
-    return kept.drop("_text_hash")
+        kept = kept.dropDuplicates([id_col, "__text_hash"])
+    return kept.drop("__text_hash")

@@ -166,21 +166,21 @@ def _align(own: list[int], other: list[int]) -> list[int]:
 
 def _signatures(pages: DataFrame, html_col: str) -> DataFrame:
     """Key columns and, for each page, the hashes of its blocks and their zones."""
-    schema = "_id string, _key long, _host string, _path string, _lines array<long>, _open array<int>"
+    schema = "__id string, __key long, __host string, __path string, __lines array<long>, __open array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, open_ = [], []
-            for html in batch.column("_html").to_pylist():
+            for html in batch.column("__html").to_pylist():
                 found = blocks(html)
                 lines.append([xxhash.xxh64_intdigest(text) - (1 << 63) for text, _ in found])
                 open_.append([i for i, (_, zone) in enumerate(found) if zone == IN_QUESTION])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("_id", "_key", "_host", "_path")), pa.array(lines, pa.list_(pa.int64())), pa.array(open_, pa.list_(pa.int32()))],
-                names=["_id", "_key", "_host", "_path", "_lines", "_open"],
+                [*(batch.column(c) for c in ("__id", "__key", "__host", "__path")), pa.array(lines, pa.list_(pa.int64())), pa.array(open_, pa.list_(pa.int32()))],
+                names=["__id", "__key", "__host", "__path", "__lines", "__open"],
             )
 
-    return pages.select("_id", "_key", "_host", "_path", F.col(html_col).alias("_html")).mapInArrow(work, schema)
+    return pages.select("__id", "__key", "__host", "__path", F.col(html_col).alias("__html")).mapInArrow(work, schema)
 
 
 def _alike(a: str, b: str) -> int:
@@ -209,33 +209,33 @@ def shared_blocks(pages: DataFrame, html_col: str) -> DataFrame:
     """_id, _key, _gone: places of the blocks that a page shares with its nearest neighbour. Pages without any are left out."""
     signed = settled(_signatures(pages, html_col), "page-blocks")
     # Equal rows differ in nothing, so one of them stands for all; the order of a host's pages is cut into ranges, never one task.
-    distinct = signed.dropDuplicates(["_id", "_key"])
+    distinct = signed.dropDuplicates(["__id", "__key"])
     ranked = settled(
-        running_total(distinct.withColumn("_one", F.lit(1).cast("long")), ["_host", "_path", "_id", "_key"], "_one", "_rank"), "page-order"
+        running_total(distinct.withColumn("_one", F.lit(1).cast("long")), ["__host", "__path", "__id", "__key"], "_one", "_rank"), "page-order"
     )
-    other = ranked.select("_host", "_path", "_lines", "_rank")
+    other = ranked.select("__host", "__path", "__lines", "_rank")
     before, after = other.withColumn("_rank", F.col("_rank") + 1), other.withColumn("_rank", F.col("_rank") - 1)
     named = lambda rows, tag: rows.select(
-        "_rank", F.col("_host").alias(f"{tag}_host"), F.col("_path").alias(f"{tag}_path"), F.col("_lines").alias(f"{tag}_lines")
+        "_rank", F.col("__host").alias(f"{tag}_host"), F.col("__path").alias(f"{tag}_path"), F.col("__lines").alias(f"{tag}_lines")
     )
     paired = (
-        ranked.filter(F.size("_open") > 0).join(named(before, "b"), "_rank", "left").join(named(after, "a"), "_rank", "left")
+        ranked.filter(F.size("__open") > 0).join(named(before, "b"), "_rank", "left").join(named(after, "a"), "_rank", "left")
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                near = [(row[f"{t}_path"], row[f"{t}_lines"]) for t in "ba" if row[f"{t}_lines"] is not None and row[f"{t}_host"] == row["_host"]]
-                gone = _deletions(row["_lines"], row["_open"], row["_path"], near)
+                near = [(row[f"{t}_path"], row[f"{t}_lines"]) for t in "ba" if row[f"{t}_lines"] is not None and row[f"{t}_host"] == row["__host"]]
+                gone = _deletions(row["__lines"], row["__open"], row["__path"], near)
                 if gone:
-                    out.append((row["_id"], row["_key"], gone))
+                    out.append((row["__id"], row["__key"], gone))
             columns = list(zip(*out, strict=True)) or [[], [], []]
             kinds = [pa.string(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_id", "_key", "_gone"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["__id", "__key", "__gone"])
 
-    columns = ["_id", "_key", "_host", "_path", "_lines", "_open", "b_host", "b_path", "b_lines", "a_host", "a_path", "a_lines"]
-    return paired.select(*columns).mapInArrow(work, "_id string, _key long, _gone array<int>")
+    columns = ["__id", "__key", "__host", "__path", "__lines", "__open", "b_host", "b_path", "b_lines", "a_host", "a_path", "a_lines"]
+    return paired.select(*columns).mapInArrow(work, "__id string, __key long, __gone array<int>")
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -245,21 +245,21 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", id
     importable(pages.sparkSession)
     keyed = pages.withColumns(
         {
-            "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-            "_key": F.xxhash64(url_col, html_col),
-            "_host": F.lower(F.regexp_extract(address, parts, 1)),
-            "_path": F.regexp_replace(F.regexp_extract(address, parts, 2), r"(?:index)?(?:\.html?)?/*$", ""),
+            "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+            "__key": F.xxhash64(url_col, html_col),
+            "__host": F.lower(F.regexp_extract(address, parts, 1)),
+            "__path": F.regexp_replace(F.regexp_extract(address, parts, 2), r"(?:index)?(?:\.html?)?/*$", ""),
         }
     )
     gone = settled(shared_blocks(keyed, html_col), "page-shared")
-    joined = keyed.join(gone, ["_id", "_key"], "left")
+    joined = keyed.join(gone, ["__id", "__key"], "left")
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     schema = StructType([pages.schema[c] for c in kept] + [StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, out in zip(batch.column("_html").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+            for html, out in zip(batch.column("__html").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
                 found, out = blocks(html), set(out or ())
                 article = any(zone == ARTICLE for _, zone in found)
                 texts.append(
@@ -270,4 +270,4 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", id
                 names=schema.fieldNames(),
             )
 
-    return joined.select(*[F.col(c) for c in kept], F.col(html_col).alias("_html"), "_gone").mapInArrow(work, schema)
+    return joined.select(*[F.col(c) for c in kept], F.col(html_col).alias("__html"), "__gone").mapInArrow(work, schema)

@@ -35,35 +35,35 @@ def count_signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.drop(*added) if text_col not in added else docs
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
-    split = rows.withColumns({"_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), "_lines": lines})
+    split = rows.withColumns({"__words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), "__lines": lines})
     # A window's hash and place, sorted by hash: windows found twice stand side by side, and no count needs a shuffle.
     windows = F.when(
-        F.size("_words") >= 3,
+        F.size("__words") >= 3,
         F.sort_array(
             F.transform(
-                F.sequence(F.lit(0), F.size("_words") - 3),
+                F.sequence(F.lit(0), F.size("__words") - 3),
                 lambda i: F.struct(
-                    F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i")
+                    F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)).alias("h"), i.alias("i")
                 ),
             )
         ),
     )
-    sorted_rows = split.withColumn("_windows", windows)
+    sorted_rows = split.withColumn("__windows", windows)
     twice = F.filter(
-        "_windows",
-        lambda w, k: (w["h"] == F.get("_windows", k - 1)["h"]) | (w["h"] == F.get("_windows", k + 1)["h"]),
+        "__windows",
+        lambda w, k: (w["h"] == F.get("__windows", k - 1)["h"]) | (w["h"] == F.get("__windows", k + 1)["h"]),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda w: F.array(w["i"], w["i"] + 1, w["i"] + 2)))))
     return sorted_rows.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size("__words").cast("long"),
+            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-            "n_lines_worded": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.size("_words") >= 3, covered).otherwise(0).cast("long"),
+            "n_lines_worded": F.size("__lines").cast("long"),
+            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+            "n_repeat_words": F.when(F.size("__words") >= 3, covered).otherwise(0).cast("long"),
         }
-    ).drop("_words", "_lines", "_windows")
+    ).drop("__words", "__lines", "__windows")
 
 
 def _thousandths(part: str, whole: str) -> Column:
@@ -165,11 +165,11 @@ def judge(
     within = F.lit(True)
     for s, value in signal_values().items():
         within = within & (value <= F.coalesce(F.col(f"{s}_fence"), value))
-    flags = fence.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"{s}_fence" for s in LEAST_SPREAD])
+    flags = fence.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"{s}_fence" for s in LEAST_SPREAD])
     joined = counted.join(
-        flags, F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source")), "left"
+        flags, F.col(lang_col).eqNullSafe(F.col("__lang")) & F.col(source_col).eqNullSafe(F.col("__source")), "left"
     )
-    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("_lang", "_source", *[f"{s}_fence" for s in LEAST_SPREAD])
+    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("__lang", "__source", *[f"{s}_fence" for s in LEAST_SPREAD])
 
 
 ORACLE = r"""
