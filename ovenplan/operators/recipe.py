@@ -17,7 +17,6 @@ from ovenplan.functions.numbers import gram_share, round_div, whole
 from ovenplan.functions.predicates import like_ci
 from ovenplan.operators.cost import cost_list
 from ovenplan.operators.demand import batch_weight
-from ovenplan.operators.skew import skew_join
 
 Tables = Mapping[str, DataFrame]
 PARTS = ["percent_in_sour", "percent_in_poolish", "percent_in_soaker"]
@@ -63,10 +62,6 @@ def _grams_columns(weight: Column, total: Column) -> list[Column]:
     ]
 
 
-def _row_counts(tables: Tables) -> DataFrame:
-    return tables["product_ingredients"].groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 def formula(
     tables: Tables,
     as_of: dt.date,
@@ -80,7 +75,8 @@ def formula(
     appears once for each, as costs are found by ingredient name. ``weights`` (``product_id, batch_weight``) replaces today's.
 
     Everything known per product is joined together before it meets the recipe rows, and so is everything known per
-    ingredient: the rows are moved once for either key.
+    ingredient: the rows are moved once for either key. A product has one row per ingredient, so only an ingredient can be hot;
+    the rows meet ingredients first, straight from a shuffle on both sides, where adaptive execution splits it.
     """
     products = tables["products"].select("product_id", "product_name")
     if pattern is not None:
@@ -97,7 +93,7 @@ def formula(
     weight = F.coalesce("batch_weight", F.lit(0).cast("bigint"))
     recipe = tables["product_ingredients"].join(named, "ingredient_id")
     rows = (
-        skew_join(recipe, per_product, ["product_id"], _row_counts(tables))
+        recipe.join(per_product, "product_id")
         .select(
             F.col("product_name").alias("product"),
             F.col("bakers_percent").alias("%"),
@@ -191,7 +187,7 @@ def modded_formula(
     )
     recipe = modded_recipe(tables, product, mod, scope)
     return (
-        skew_join(recipe, per_product, ["product_id"], _row_counts(tables))
+        recipe.join(per_product, "product_id")
         .select(
             F.col("product_name").alias("dough"),
             F.col("bakers_percent").alias("%"),

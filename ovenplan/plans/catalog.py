@@ -389,7 +389,8 @@ def join_anti_global(t: Bakery) -> DataFrame:
 
 @on_tables("join_semi")
 def join_semi(t: Bakery) -> DataFrame:
-    return cost.cost_list_for(costs(t), recipe.formula(t, AS_OF))
+    """Which ingredients occur follows from the recipes alone; no weights are needed."""
+    return cost.cost_list_for(costs(t), recipe.product_info(t))
 
 
 @on_tables("join_self_pk")

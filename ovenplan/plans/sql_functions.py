@@ -68,7 +68,7 @@ def register_functions(spark: SparkSession, tables: Mapping[str, DataFrame], as_
             "CAST(sign(new_value - old_value) * sign(old_value) * (("
             "2 * abs(CAST((new_value - old_value) * 1000000 AS DECIMAL(18,0))) * 100 * CAST(power(10, places) AS DECIMAL(7,0)) "
             "+ abs(CAST(old_value * 1000000 AS DECIMAL(18,0)))) DIV (2 * abs(CAST(old_value * 1000000 AS DECIMAL(18,0))))) "
-            "/ power(10, places) AS DECIMAL(18,6))",
+            "* CAST(power(10, -places) AS DECIMAL(7,6)) AS DECIMAL(18,6))",
         ),
     }
     for name, (table, name_column, key) in KEY_LOOKUPS.items():
