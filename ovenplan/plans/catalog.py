@@ -634,13 +634,23 @@ def cdc_feed(spark: SparkSession, folder: str) -> DataFrame:
     return history.changes_from_feed(read_sources(spark, folder)["events"], FEED_KEYS, FEED_ORDER, FEED_WATCHED)
 
 
+STREAM_SLICES = 5
+
+
 @query("cdc_stream")
 def cdc_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The feed as it would arrive: a slice of time at a time, rows of a slice in any order, each slice a micro-batch or more."""
     events = read_sources(spark, folder)["events"]
-    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/event[s].parquet")  # a pattern may name one file
-    out = shared_folder(spark, "changes")
-    writer = stream_changes(stream, FEED_KEYS, FEED_ORDER, FEED_WATCHED, out)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    arrivals, out = shared_folder(spark, "arrivals"), shared_folder(spark, "changes")
+    shares = [k / STREAM_SLICES for k in range(1, STREAM_SLICES)]
+    cuts = [None, *events.select(F.percentile_approx("ts", shares)).first()[0], None]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        after = F.lit(True) if low is None else F.col("ts") > F.lit(low)
+        until = F.lit(True) if high is None else F.col("ts") <= F.lit(high)
+        events.filter(after & until).repartition("event_id").write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(events.schema).parquet(arrivals)
+        writer = stream_changes(stream, FEED_KEYS, FEED_ORDER, FEED_WATCHED, out)
+        writer.trigger(availableNow=True).start().awaitTermination()
     return read_log(out, events)
 
 

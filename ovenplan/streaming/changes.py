@@ -27,20 +27,27 @@ def stream_changes(
 ) -> DataStreamWriter:
     """A writer that logs the changes of ``stream`` below ``folder``; start it with the trigger of choice.
 
-    Versions are ordered within a micro-batch; a version that arrives in a later micro-batch counts as later.
+    Versions are ordered within a micro-batch, whatever their order of arrival in it. A version that arrives after a micro-batch
+    with a later one of its key can't be logged any more: it goes to ``late`` below ``folder`` (see ``read_late``) and changes
+    neither log nor state.
     """
 
     def log_epoch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*keys, *order, *watched).persist()
-        version = F.struct(*order, *watched)
-        place = F.struct(*order)
-        ends = rows.groupBy(*keys).agg(
-            F.min_by(version, place).alias("first"), F.max_by(version, place).alias("last")
-        )
-        log = changes_from_feed(rows, keys, order, watched, chunk)
+        version, place = F.struct(*order, *watched), F.struct(*order)
+        rows = batch.select(*keys, *order, *watched)
         if epoch > 0:
             state = spark.read.parquet(_state(folder, epoch - 1))
+            known = state.select(*keys, F.struct(*[F.col(f"version.{c}") for c in order]).alias("_seen"))
+            rows = rows.join(known, list(keys), "left").withColumn("_late", F.coalesce(place <= F.col("_seen"), F.lit(False)))
+            rows = rows.persist()
+            rows.filter("_late").select(*keys, *order, *watched).write.mode("overwrite").parquet(f"{folder}/late/epoch={epoch}")
+            fresh = rows.filter("NOT _late").select(*keys, *order, *watched)
+        else:
+            fresh = rows = rows.persist()
+        ends = fresh.groupBy(*keys).agg(F.min_by(version, place).alias("first"), F.max_by(version, place).alias("last"))
+        log = changes_from_feed(fresh, keys, order, watched, chunk)
+        if epoch > 0:
             across = ends.join(state.withColumnRenamed("version", "_old"), list(keys)).select(
                 *keys, *[F.col(f"first.{c}").alias(c) for c in order], "_old", F.col("first").alias("_new")
             )
@@ -64,3 +71,8 @@ def _state(folder: str, epoch: int) -> str:
 def read_log(stream_folder: str, like: DataFrame) -> DataFrame:
     """The change log written below a stream's folder."""
     return like.sparkSession.read.parquet(f"{stream_folder}/log").drop("epoch")
+
+
+def read_late(stream_folder: str, like: DataFrame) -> DataFrame:
+    """The versions that came too late for the log. Call it after the second micro-batch; before, none can be late."""
+    return like.sparkSession.read.parquet(f"{stream_folder}/late").drop("epoch")

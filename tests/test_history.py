@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ovenplan.operators import cost, history
-from ovenplan.streaming.changes import read_log, stream_changes
+from ovenplan.streaming.changes import read_late, read_log, stream_changes
 from tests.conftest import make, recipe_row, rows
 
 NOW = dt.datetime(2019, 12, 9, 12)
@@ -134,3 +134,22 @@ def test_stream_in_several_batches_agrees_with_the_feed(spark, tmp_path):
     assert rows(stream_log) == brute_force(versions)
     run()
     assert stream_log.count() == len(brute_force(versions))
+
+
+def test_late_versions_go_apart_and_change_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    source = tmp_path / "in"
+
+    def arrive(*found):
+        moment = dt.datetime(2024, 1, 1)
+        batch = [("k", moment + dt.timedelta(hours=h), i, a, 0) for h, i, a in found]
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(source))
+        stream_changes(stream, ["key"], ["ts", "i"], ["a", "b"], out).trigger(availableNow=True).start().awaitTermination()
+
+    arrive((1, 1, 10), (5, 2, 20))
+    arrive((3, 3, 15), (6, 4, 30))
+    arrive((5, 2, 20), (7, 5, 30), (8, 6, 40))
+    like = spark.createDataFrame([], SCHEMA)
+    assert [(r["old_a"], r["new_a"]) for r in read_log(out, like).orderBy("ts").collect()] == [(10, 20), (20, 30), (30, 40)]
+    assert sorted((r["i"], r["a"]) for r in read_late(out, like).collect()) == [(2, 20), (3, 15)]
