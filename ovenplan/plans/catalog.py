@@ -16,6 +16,7 @@ from ovenplan.functions.labels import EMAIL_TYPES, PHONE_TYPES, decode
 from ovenplan.functions.numbers import per_gram, percent_change
 from ovenplan.functions.predicates import like_ci, recent, weekday_of
 from ovenplan.operators import cost, demand, directory, history, lookup, quality, recipe, snapshots
+from ovenplan.plans.sql_functions import register_functions
 from ovenplan.plans.views import VIEWS, register_views
 from ovenplan.schemas import TABLES, Reference
 from ovenplan.session import shared_folder, tune
@@ -555,6 +556,29 @@ def staff_list_v1(t: Bakery) -> DataFrame:
     )
 
 
+@query("sql_scalar_functions")
+def sql_scalar_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """The scalar SQL functions over the registered views."""
+    t = logged(spark, folder)
+    register_views(spark, t, AS_OF)
+    register_functions(spark, t, AS_OF)
+    return spark.sql(
+        "SELECT get_batch_weight('RED%') AS weight, bak_per('red%') AS percent, pid('%#%7') AS party, prid('% 1_') AS product, "
+        "iid('supplier%') AS ingredient, sid('SHAPE _') AS shape, pid('nobody') AS nobody, percent_change(6.00, 5.20) AS up, "
+        "percent_change(4.11, 5.20, 3) AS down"
+    )
+
+
+@query("sql_table_functions")
+def sql_table_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """The table SQL functions over the registered views."""
+    t = logged(spark, folder)
+    register_views(spark, t, AS_OF)
+    register_functions(spark, t, AS_OF)
+    lines = spark.sql("SELECT product AS name, ingredient AS detail, CAST(overall AS STRING) AS value FROM formula('RED%')")
+    return lines.unionByName(spark.sql("SELECT name, phone_type AS detail, phone_no AS value FROM phone_search('%supplier#%7')"))
+
+
 @on_tables("ingredient_list")
 def ingredient_list(t: Bakery) -> DataFrame:
     return directory.ingredient_list(t["ingredients"], t["parties"])
@@ -615,12 +639,16 @@ def cdc_cost(t: Bakery) -> DataFrame:
     return cost_log(t)
 
 
-@on_tables("cdc_recipe")
-def cdc_recipe(t: Bakery) -> DataFrame:
+def cdc_recipe_log(t: Mapping[str, DataFrame]) -> DataFrame:
     before = recipe_rows(t)
     return history.recipe_changes(before, recipe_after(before), "row_id", noon())
 
 
+@on_tables("cdc_recipe")
+def cdc_recipe(t: Bakery) -> DataFrame:
+    return cdc_recipe_log(t)
+
+
 @on_tables("cdc_standing")
 def cdc_standing(t: Bakery) -> DataFrame:
     return standing_log(t)
@@ -657,14 +685,17 @@ def cdc_stream(spark: SparkSession, folder: str) -> DataFrame:
 # Data quality
 
 
-@on_tables("dq_check")
-def dq_check(t: Bakery) -> DataFrame:
+@query("dq_check")
+def dq_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Every rule of every declared table, change logs included. A table that isn't bound is an error, not a gap."""
+    before = logged(spark, folder)
+    t = before.with_tables({"product_ingredients_changes": lambda _: cdc_recipe_log(before)})
     reports = [
         quality.check_rules(t[name], declared.rules, declared.key or declared.names, AS_OF).select(
             F.lit(name).alias("table_name"), "rule", "key", "value"
         )
         for name, declared in TABLES.items()
-        if declared.rules and name in t
+        if declared.rules
     ]
     return reduce(DataFrame.unionByName, reports)
 

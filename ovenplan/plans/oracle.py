@@ -61,6 +61,8 @@ RECIPE = """
 
 WEEKLY = "dayofweek(o_orderdate) AS day_of_week, o_custkey AS customer_id, l_partkey AS product_id, CAST(l_linenumber AS BIGINT) AS shape_id"
 
+CHANGED = f"'{AS_OF.isoformat()} 12:00:00'"
+
 # Codes and what they stand for.
 PHONE_KIND = "MAP {'b': 'business', 'e': 'emergency', 'f': 'fax', 'h': 'home', 'm': 'mobile', 'w': 'work'}[phone_type]"
 EMAIL_KIND = "MAP {'b': 'business', 'p': 'personal', 'w': 'work'}[email_type]"
@@ -219,10 +221,18 @@ CTES = {
     "costs_after": """SELECT * REPLACE (CASE WHEN cost < 500 THEN grams * 2 ELSE grams END AS grams) FROM (
         SELECT * REPLACE (CAST(CASE WHEN grams >= 200 THEN cost + 0.80 ELSE cost END AS DECIMAL(10,5)) AS cost)
         FROM ingredient_costs)""",
-    "cost_log": """SELECT o.ingredient_id, o.maker_id, o.mio, o.seller_id, o.sio, o.cost AS old_cost, n.cost AS new_cost,
-        o.grams AS old_grams, n.grams AS new_grams FROM ingredient_costs o JOIN costs_after n
+    "cost_log": f"""SELECT o.ingredient_id, o.maker_id, o.mio, o.seller_id, o.sio, o.cost AS old_cost, n.cost AS new_cost,
+        o.grams AS old_grams, n.grams AS new_grams, {CHANGED} AS change_time FROM ingredient_costs o JOIN costs_after n
         ON o.ingredient_id = n.ingredient_id AND o.maker_id = n.maker_id AND o.seller_id = n.seller_id
         WHERE o.cost <> n.cost OR o.grams <> n.grams""",
+    "recipe_log": f"""SELECT * FROM (SELECT product_id, CAST(percent_in_sour AS DOUBLE) AS percent_in_sour,
+        CAST(percent_in_poolish AS DOUBLE) AS percent_in_poolish, CAST(percent_in_soaker AS DOUBLE) AS percent_in_soaker,
+        ingredient_id AS old_ingredient_id,
+        CASE WHEN percent_in_soaker = 2 THEN ingredient_id + 1 ELSE ingredient_id END AS new_ingredient_id,
+        CAST(bakers_percent AS DOUBLE) AS old_bakers_percent,
+        CAST(CASE WHEN bakers_percent > 45 THEN bakers_percent - 1 ELSE bakers_percent END AS DOUBLE) AS new_bakers_percent,
+        '{AS_OF.isoformat()} 12:00:00' AS created, '{AS_OF.isoformat()} 12:00:00' AS modified FROM product_ingredients)
+        WHERE old_ingredient_id <> new_ingredient_id OR old_bakers_percent <> new_bakers_percent""",
     "cost_history": f"""SELECT party_name AS maker, ingredient_name AS item, CAST(round(old_cost, 2) AS DOUBLE) AS old_cost,
         CAST(round(new_cost, 2) AS DOUBLE) AS new_cost,
         CAST({unit_cost('old_cost', 'old_grams')} AS BIGINT) / 100000.0::DOUBLE AS old_cost_per_g,
@@ -312,10 +322,19 @@ def _checks() -> str:
             ("resume_after_start", "resume_date > start_date", "resume_date"),
             ("multiplier_not_negative", "percent_multiplier >= 0", "percent_multiplier")]),
     }
+    logs = {
+        "cost_change_log": ("cost_log", "ingredient_id || '|' || maker_id || '|' || seller_id || '|' || change_time", tables["ingredient_costs"][1]),
+        "standing_change_log": (
+            "standing_log",
+            "new_day_of_week || '|' || customer_id || '|' || product_id || '|' || shape_id || '|' || change_time",
+            [("dow_in_0_thru_6", "new_day_of_week IN (0, 1, 2, 3, 4, 5, 6)", "new_day_of_week"), io]),
+        "product_ingredients_changes": ("recipe_log", "product_id || '|' || new_ingredient_id || '|' || created", 
+                                        [("bp_positive", "new_bakers_percent > 0", "new_bakers_percent"), *part_rules]),
+    }
     return " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, '{rule}' AS rule, CAST({key} AS VARCHAR) AS key, CAST({value} AS VARCHAR) AS value "
-        f"FROM {name} WHERE NOT ({condition})"
-        for name, (key, rules) in tables.items()
+        f"FROM {source} WHERE NOT ({condition})"
+        for name, (source, key, rules) in ({name: (name, *rest) for name, rest in tables.items()} | logs).items()
         for rule, condition, value in rules
     )
 
@@ -448,6 +467,17 @@ ORACLE = {
     "cost_list": "SELECT * FROM cost_list",
     "cost_change_list": "SELECT * FROM cost_history",
     "standing_change_history": "SELECT * FROM standing_history",
+    "sql_scalar_functions": """SELECT
+        (SELECT CAST(coalesce(sum(batch_weight), 0) AS BIGINT) FROM weights WHERE lower(product_name) LIKE 'red%') AS weight,
+        (SELECT CAST(min(t) AS DOUBLE) FROM totals JOIN products USING (product_id) WHERE lower(product_name) LIKE 'red%') AS percent,
+        (SELECT min(party_id) FROM parties WHERE party_name LIKE '%#%7') AS party,
+        (SELECT min(product_id) FROM products WHERE product_name LIKE '% 1_') AS product,
+        (SELECT min(ingredient_id) FROM ingredients WHERE ingredient_name LIKE 'Supplier%') AS ingredient,
+        (SELECT min(shape_id) FROM shapes WHERE shape_name LIKE 'shape _') AS shape,
+        CAST(NULL AS BIGINT) AS nobody, 15.4::DOUBLE AS up, -20.962::DOUBLE AS down""",
+    "sql_table_functions": """SELECT product AS name, ingredient AS detail, CAST(overall AS VARCHAR) AS value FROM formula
+        WHERE lower(product) LIKE 'red%' UNION ALL
+        SELECT name, type, phone_no FROM phone_book WHERE lower(name) LIKE '%supplier#%7'""",
     "phone_search": """SELECT name, type AS phone_type, phone_no FROM phone_book
         WHERE lower(name) LIKE lower('%SUPPLIER#%7')""",
     "staff_list_v1": "SELECT staff_addresses.*, mobile FROM mobiles JOIN staff_addresses USING (party_id)",
@@ -465,14 +495,7 @@ ORACLE = {
     "cdc_cost": f"""SELECT {SNAPSHOT_COLUMNS}, CAST(old_cost AS DOUBLE) AS old_cost, CAST(new_cost AS DOUBLE) AS new_cost,
         CAST(old_grams AS DOUBLE) AS old_grams, CAST(new_grams AS DOUBLE) AS new_grams,
         '{AS_OF.isoformat()} 12:00:00' AS change_time FROM cost_log""",
-    "cdc_recipe": f"""SELECT * FROM (SELECT product_id, CAST(percent_in_sour AS DOUBLE) AS percent_in_sour,
-        CAST(percent_in_poolish AS DOUBLE) AS percent_in_poolish, CAST(percent_in_soaker AS DOUBLE) AS percent_in_soaker,
-        ingredient_id AS old_ingredient_id,
-        CASE WHEN percent_in_soaker = 2 THEN ingredient_id + 1 ELSE ingredient_id END AS new_ingredient_id,
-        CAST(bakers_percent AS DOUBLE) AS old_bakers_percent,
-        CAST(CASE WHEN bakers_percent > 45 THEN bakers_percent - 1 ELSE bakers_percent END AS DOUBLE) AS new_bakers_percent,
-        '{AS_OF.isoformat()} 12:00:00' AS created, '{AS_OF.isoformat()} 12:00:00' AS modified FROM product_ingredients)
-        WHERE old_ingredient_id <> new_ingredient_id OR old_bakers_percent <> new_bakers_percent""",
+    "cdc_recipe": "SELECT * FROM recipe_log",
     "cdc_standing": "SELECT * FROM standing_log",
     "cdc_feed": """SELECT user_id, event_type, CAST(ts AS VARCHAR) AS ts, event_id, old_value, new_value FROM (
         SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS old_value, value AS new_value
