@@ -15,7 +15,7 @@ from ovenplan.llm import mixing, quality_rules
 
 
 def test_stages_one_by_one(spark):
-    lines = [" ".join(f"{chr(97 + i % 26)}{i * j % 997}" for j in range(1, 30)) for i in range(60)]
+    lines = [" ".join(f"{chr(97 + i % 26)}{(i + 1) * j % 997}" for j in range(1, 30)) for i in range(60)]
     rows = [(i, "\n".join([lines[i], "the shared footer line", lines[(i * 7 + 1) % 60]]), "en", f"s{i % 3}") for i in range(60)]
     rows += [(100, rows[3][1], "en", "s0"), (101, rows[4][1] + " more", "en", "s1"), (102, "too short", "en", "s1"), (103, "x y " * 60, "en", "s2")]
     docs = documents(spark, rows)
@@ -57,7 +57,7 @@ def test_awkward_and_empty_tables(spark):
 
 
 def test_run_reads_and_writes(spark, tmp_path):
-    rows = [(i, " ".join(f"w{i * j % 991}" for j in range(1, 80)), "en", "s") for i in range(20)]
+    rows = [(i, " ".join(f"w{(i + 1) * j % 991}" for j in range(1, 80)), "en", "s") for i in range(20)]
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert found.count() == 20 and found.filter("round_trip and agrees").count() == 20
