@@ -235,12 +235,14 @@ def _cross_pairs(star: DataFrame, members: DataFrame, comps: DataFrame, wanted:
     labelled = _labelled(members, comps, "node", "comp").join(wanted.select("node", "n_words"), "node")
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("bucket")
     open_ = settled(labelled.join(mixed, "bucket", "left_semi").select("bucket", "node", "comp", "n_words"), "open-buckets")
+    # A pair is made in the first bucket that it shares and in no other.
+    open_ = settled(open_.join(open_.groupBy("node").agg(F.collect_set("bucket").alias("places")), "node"), "open-places")
     x, y = open_.alias("x"), open_.alias("y")
     near = (F.col("x.n_words") >= F.col("y.n_words") * similarity) & (F.col("y.n_words") >= F.col("x.n_words") * similarity)
-    return (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & near)
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    first = F.array_min(F.array_intersect("x.places", "y.places")) == F.col("x.bucket")
+    return x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & near & first).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b")
     )
 
 
