@@ -14,6 +14,7 @@ other in the order of their texts' hash; an empty table gives no file. Only the
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -32,7 +33,7 @@ BLOCK = 8192
 #: A task begins a new file after this many ids.
 FILE_IDS = 1 << 26
 #: Distinct words whose ids a worker remembers; the generation before is kept until as many new ones have come.
-MEMORY = 300_000
+MEMORY = 600_000
 TAIL = struct.Struct("<8sIIQQQQ")  # magic, bits, block, ids, documents, blocks, offset of the tables
 NO_ID = -(1 << 63)  # stands for a null document id in the files
 
@@ -147,38 +148,73 @@ class BitReader:
 class WordIds:
     """Ids of texts from a tokenizers file. The words between blanks are encoded by the library, each once while remembered.
 
-    Normalisation and splitting of such a vocabulary never reach over a blank, so the ids of a text are those of its words; the
-    class refuses vocabularies for which a probe shows otherwise.
+    Normalisation and splitting of such a vocabulary never reach over a blank, between letters and a full stop or comma after them,
+    or see the case of ASCII letters, so the ids of a text are those of its words. A probe tests this; if it fails, whole texts
+    are encoded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives out the cores
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, np.ndarray] = {}
-        self.older: dict[str, np.ndarray] = {}
-        self.by_word = self._whole("Ab, c1\n\td  é.") == [i for w in "Ab, c1 d é.".split() for i in self._whole(w)]
+        self.closes = np.zeros(self.size, bool)
+        self.closes[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        probe = "Ab, c1\n\td  é."
+        self.by_word = self._whole(probe) == [i for part in ("ab", ",", "c1", "d", "é", ".") for i in self._whole(part)]
 
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        if not self.by_word:
-            return [x.ids for x in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words as bytes. What differs by case or by a stop at the end goes to the library once."""
         if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
+        cut: dict[str, tuple[str, str]] = {}
+        needed: set[str] = set()
+        for word in words:
+            ids = self.older.get(word)
+            if ids is not None:
+                self.known[word] = ids
+                continue
+            stem, stop = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[:-1].isalpha() else (word, "")
+            if stem.isascii():
+                stem = stem.lower()
+            cut[word] = stem, stop
+            needed.update(x for x in (stem, stop) if x not in self.known)
+        # Words of letters alone end in one marked id each, so many can be encoded as one text and cut at the marks.
+        letters = [x for x in needed if x.isalpha()]
+        ids = np.array(self._whole(" ".join(letters)), np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(letters):
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(letters, (4 * ends).tolist(), strict=True):
+                self.known[word] = data[begin:end]
+                begin = end
+        else:
+            letters = []
+        fresh = list(needed.difference(letters))
+        for word, x in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(x.ids, np.uint32).tobytes()
+        for word, (stem, stop) in cut.items():
+            self.known[word] = self.known[stem] + self.known[stop] if stop else self.known[stem]
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.array(x.ids, np.uint32) for x in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         # Blank, tab, line feed and carriage return only: what else counts as white space stays inside a word for the library.
         split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        fresh = [w for w in new if w not in self.older]
-        for word, x in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = x.ids
-        for word in new:
-            if word not in self.known:
-                self.known[word] = self.older[word]
+        words = {w for found in split for w in found}
+        if not self.known.keys() >= words:
+            missing = words - self.known.keys()
+            if len(self.known) > MEMORY:
+                missing = words  # the words at hand must outlive the change of generations
+            self._learn(missing)
         known = self.known.__getitem__
-        return [[i for ids in map(known, words) for i in ids] for words in split]
+        return [np.frombuffer(b"".join(map(known, found)), np.uint32) for found in split]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -223,8 +259,7 @@ def write_packed(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str
                 for doc, ids in zip(rows.column("doc").to_pylist(), code.encode_batch(rows.column("text").to_pylist()), strict=True):
                     if writer is None:
                         writer = BitWriter(f"{folder}/ids-{part:06d}-{len(done):05d}-{uuid.uuid4().hex}.bits", bits)
-                    ids.append(end_id)
-                    writer.add(doc, np.array(ids, np.uint32))
+                    writer.add(doc, np.append(ids, np.uint32(end_id)))
                     if writer.ids >= FILE_IDS:
                         finish()
                         writer = None
