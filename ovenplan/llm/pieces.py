@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ LETTER = r"[^\W\d_]"
 PLACE_BITS = 40
 PLACES = (1 << PLACE_BITS) - 1
 #: Stretches remembered per worker; the generation before is kept until as many new ones have come.
-MEMORY = 300_000
+MEMORY = 600_000
 #: Rows encoded at a time, so that a batch of very long texts is not split all at once.
 ROWS_AT_ONCE = 64
 
@@ -63,7 +65,13 @@ class PieceCoder:
         # Equal scores share a rank, so that the leftmost pair goes first among them.
         levels = sorted({-lib.get_score(i) for i in self.ids.values()})
         place = {level: rank for rank, level in enumerate(levels)}
-        self.ranks = {piece: place[-lib.get_score(i)] for piece, i in self.ids.items()}
+        self.joins: dict[str, dict[str, tuple[int, str]]] = {}
+        for piece, i in self.ids.items():
+            entry = (place[-lib.get_score(i)] << PLACE_BITS, piece)
+            for cut in range(1, len(piece)):
+                left, right = piece[:cut], piece[cut:]
+                if all(len(half) == 1 or half in self.ids for half in (left, right)):
+                    self.joins.setdefault(sys.intern(left), {})[sys.intern(right)] = entry
         if any(re.search(f"[^{SPACE}]{SPACE}", p) or len(p) > 1 and "\n" in p for p in self.ids):
             raise ValueError("a piece crosses a word start or a line feed")
         if any(re.search(rf"{LETTER}[.,]|[.,]{LETTER}", p) for p in self.ids):
@@ -73,52 +81,55 @@ class PieceCoder:
             self.stretches = re.compile(
                 f"{SPACE}*{LETTER}++(?=[.,{SPACE}\n]|$)|[.,]++(?={LETTER}|[{SPACE}\n]|$)|\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
             )
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.decimals = [str(i) for i in range(len(self.pieces))]
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}
         self.disputed: set[str] = set()
 
     def merge(self, text: str) -> list[str]:
-        """Pieces of ``text`` by the agenda of adjacent pairs. An entry is a piece's rank and the place of its left symbol."""
-        rank_of = self.ranks.get
+        """Pieces of ``text`` by the agenda of adjacent pairs. An entry is a pair's rank and the place of its left symbol."""
+        joins = self.joins.get
         symbols = list(text)
-        n = len(symbols)
         agenda = []
         left = symbols[0]
-        for i in range(1, n):
-            right = symbols[i]
-            rank = rank_of(left + right)
-            if rank is not None:
-                agenda.append(rank << PLACE_BITS | i - 1)
+        for i, right in enumerate(symbols[1:]):
+            found = joins(left)
+            if found is not None and right in found:
+                agenda.append(found[right][0] | i)
             left = right
         if not agenda:
             return symbols
         heapq.heapify(agenda)
+        n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
             entry = heapq.heappop(agenda)
             i = entry & PLACES
-            left, j = symbols[i], after[i]
-            if not left or j == n:
+            j = after[i]
+            if j == n:
                 continue
-            pair = left + symbols[j]
-            if rank_of(pair) != entry >> PLACE_BITS:
+            # The pair may have changed since it was put down; then its rank is another, or it is no pair any more.
+            found = joins(symbols[i])
+            pair = found.get(symbols[j]) if found is not None else None
+            if pair is None or pair[0] != entry - i:
                 continue
-            symbols[i], symbols[j] = pair, ""
+            piece = symbols[i] = pair[1]
+            symbols[j] = ""
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                rank = rank_of(pair + symbols[k])
-                if rank is not None:
-                    heapq.heappush(agenda, rank << PLACE_BITS | i)
+                found = joins(piece)
+                if found is not None and symbols[k] in found:
+                    heapq.heappush(agenda, found[symbols[k]][0] | i)
             h = before[i]
             if h >= 0:
-                rank = rank_of(symbols[h] + pair)
-                if rank is not None:
-                    heapq.heappush(agenda, rank << PLACE_BITS | h)
+                found = joins(symbols[h])
+                if found is not None and piece in found:
+                    heapq.heappush(agenda, found[piece][0] | h)
         return [s for s in symbols if s]
 
-    def _ids(self, stretch: str) -> tuple[int, ...]:
-        out: list[int] = []
+    def _ids(self, stretch: str) -> bytes:
+        out = array("i")
         for piece in self.merge(stretch):
             known = self.ids.get(piece)
             if known is not None:
@@ -127,7 +138,7 @@ class PieceCoder:
                 out.extend(self.bytes[b] for b in piece.encode())
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return out.tobytes()
 
     def split(self, text: str | None) -> list[str]:
         return self.stretches.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -144,15 +155,15 @@ class PieceCoder:
         # The library puts a word start before a text; a line feed keeps it away from stretches that begin without one.
         marked = [s for s in fresh if s[0] == SPACE]
         plain = [s for s in fresh if s[0] != SPACE]
-        lead = self._ids(SPACE) + self._ids("\n")
+        lead = len(self._ids(SPACE) + self._ids("\n"))
         for stretch, ids in zip(marked, self.library.encode([s[1:] if len(s) > 1 else " " for s in marked], num_threads=1), strict=True):
             if stretch == SPACE:
                 continue  # the library gives no ids for an empty text; this one is the start itself
-            self._compare(stretch, tuple(ids))
+            self._compare(stretch, array("i", ids).tobytes())
         for stretch, ids in zip(plain, self.library.encode(["\n" + s for s in plain], num_threads=1), strict=True):
-            self._compare(stretch, tuple(ids[len(lead) :]))
+            self._compare(stretch, array("i", ids).tobytes()[lead:])
 
-    def _compare(self, stretch: str, ids: tuple[int, ...]) -> None:
+    def _compare(self, stretch: str, ids: bytes) -> None:
         if ids != self.known[stretch]:
             self.known[stretch] = ids
             self.disputed.add(stretch)
@@ -164,7 +175,7 @@ class PieceCoder:
         split = [self.split(text) for text in texts]
         self.learn({s for stretches in split for s in stretches if s not in self.known})
         known = self.known.__getitem__
-        ids = [list(chain.from_iterable(map(known, stretches))) for stretches in split]
+        ids = [np.frombuffer(b"".join(map(known, stretches)), np.int32).tolist() for stretches in split]
         return ids, [self.disputed.isdisjoint(s) if self.disputed else True for s in split]
 
     def encode(self, text: str | None) -> list[int]:
@@ -221,7 +232,7 @@ def encode_rows(docs: DataFrame, model: str, text_col: str = "text", digest: boo
                 if digest:
                     columns += [
                         pa.array([len(x) for x in ids], pa.int32()),
-                        pa.array([sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids], pa.string()),
+                        pa.array([sha256(",".join([code.decimals[i] for i in x]).encode()).hexdigest() for x in ids], pa.string()),
                         pa.array([sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
                     ]
                 else:
