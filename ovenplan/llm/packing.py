@@ -207,14 +207,14 @@ class WordIds:
             return [np.array(x.ids, np.uint32) for x in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         # Blank, tab, line feed and carriage return only: what else counts as white space stays inside a word for the library.
         split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        words = {w for found in split for w in found}
-        if not self.known.keys() >= words:
-            missing = words - self.known.keys()
-            if len(self.known) > MEMORY:
-                missing = words  # the words at hand must outlive the change of generations
+        known = self.known
+        missing = {w for words in split for w in words if w not in known}
+        if missing and len(known) > MEMORY:
+            missing = {w for words in split for w in words}  # the words at hand must outlive the change of generations
+        if missing:
             self._learn(missing)
         known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, found)), np.uint32) for found in split]
+        return [np.frombuffer(b"".join(map(known, words)), np.uint32) for words in split]
 
 
 _WORDS: dict[str, WordIds] = {}
