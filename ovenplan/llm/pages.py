@@ -4,11 +4,15 @@ A page becomes blocks of text in page order. Pages of a host are ordered by URL
 agrees with its own the longest, the two lists of blocks are aligned by longest common subsequence, and the blocks they share go:
 what pages of a site repeat is the site's, not the article's. Only hashes of blocks travel for this.
 
-Differencing alone gives wrong results where a host has one page, where two URLs show one article (all of it would go), and for
-adverts that change from page to page. So markup has a say as well: blocks inside ``article`` or ``main`` are never deleted as
-shared, a neighbour that shares ``COPY`` of the page's remaining blocks is taken for a copy and the neighbour on the other side is
-used instead, and menus, headers, footers, sidebars, notices, adverts, forms and comments that are marked as such always go.
-If a page has an article or main element, blocks outside it go too.
+Differencing alone gives wrong results where a host has one page, where two URLs show one article (all of it would go), where
+articles quote one passage, and for adverts that change from page to page. So markup has a say beside it: menus, headers, footers,
+sidebars, notices, adverts, forms and comments that are marked as such always go, and a shared block inside ``article`` or ``main``
+goes only if an exact count says that it is the site's: it stands on at least ``NOTICE_PAGES`` different pages of the host and on
+more than half of them. All other blocks, in an article or not, are decided by the alignment. Where no neighbour can be compared,
+blocks outside article and main go if those hold most of the text.
+
+Pages of a host with equal blocks are one page for this and share its result. A neighbour that shares ``COPY`` of the page's
+blocks is a copy as well and is passed over for the one on the other side.
 
 Defined results: null, empty or broken html gives what text there is, or an empty text; a null or odd URL is a path on a host of
 its own kind; repeated rows are copies of each other and don't delete each other's text; an empty table gives an empty result.
@@ -30,8 +34,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ovenplan.llm.common import importable, running_total, settled
 
-#: A neighbour that shares this part of the blocks that markup leaves in question is a copy of the page.
+#: A neighbour that shares this part of the page's blocks is a copy of the page.
 COPY = 0.8
+#: A shared block of an article is the site's if it is on so many different pages of the host, and on more than half of them.
+NOTICE_PAGES = 5
 #: Cells of an alignment kept at once; larger ones are halved.
 CELLS = 1 << 28
 
@@ -165,20 +171,20 @@ def _align(own: list[int], other: list[int]) -> list[int]:
 
 
 def _signatures(pages: DataFrame, html_col: str) -> DataFrame:
-    """Key columns and, for each page, the hashes of its blocks and their zones."""
-    schema = "__id string, __key long, __host string, __path string, __lines array<long>, __open array<int>"
+    """Key columns and, for each page, the hashes, lengths and zones of its blocks."""
+    schema = "__id string, __key long, __host string, __path string, __lines array<long>, __sizes array<int>, __zones array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, open_ = [], []
+            lines, sizes, zones = [], [], []
             for html in batch.column("__html").to_pylist():
                 found = blocks(html)
                 lines.append([xxhash.xxh64_intdigest(text) - (1 << 63) for text, _ in found])
-                open_.append([i for i, (_, zone) in enumerate(found) if zone == IN_QUESTION])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("__id", "__key", "__host", "__path")), pa.array(lines, pa.list_(pa.int64())), pa.array(open_, pa.list_(pa.int32()))],
-                names=["__id", "__key", "__host", "__path", "__lines", "__open"],
-            )
+                sizes.append([len(text) for text, _ in found])
+                zones.append([zone for _, zone in found])
+            arrays = [pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(zones, pa.list_(pa.int32()))]
+            names = ["__id", "__key", "__host", "__path"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *arrays], names=[*names, "__lines", "__sizes", "__zones"])
 
     return pages.select("__id", "__key", "__host", "__path", F.col(html_col).alias("__html")).mapInArrow(work, schema)
 
@@ -192,50 +198,78 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
-def _deletions(own: list[int], open_: list[int], path: str, neighbours: list[tuple[str, list[int]]]) -> list[int]:
-    """Blocks in question that the nearest neighbour which isn't a copy shares."""
-    if not open_:
-        return []
-    near = sorted(neighbours, key=lambda x: -_alike(path, x[0]))
-    for _, other in near:
-        covered = set(shared_places(own, other))
-        gone = [i for i in open_ if i in covered]
-        if len(covered) < COPY * len(own):
-            return gone
-    return []
+def _deletions(
+    own: list[int], sizes: list[int], zones: list[int], notices: set[int], path: str, neighbours: list[tuple[str, list[int]] | None]
+) -> tuple[list[int] | None, list[bool]]:
+    """Blocks that go because the nearest neighbour which isn't a copy shares them, None without such a neighbour; and which are copies."""
+    open_ = [i for i, zone in enumerate(zones) if zone != OUT]
+    copies = [False] * len(neighbours)
+    gone: list[int] | None = None
+    for at in sorted((k for k, x in enumerate(neighbours) if x), key=lambda k: -_alike(path, neighbours[k][0])):
+        covered = set(shared_places(own, neighbours[at][1]))
+        copies[at] = len(covered) >= COPY * len(own)
+        if gone is None and not copies[at]:
+            gone = [i for i in open_ if i in covered and (zones[i] != ARTICLE or own[i] in notices)]
+    return gone, copies
 
 
-def shared_blocks(pages: DataFrame, html_col: str) -> DataFrame:
-    """_id, _key, _gone: places of the blocks that a page shares with its nearest neighbour. Pages without any are left out."""
-    signed = settled(_signatures(pages, html_col), "page-blocks")
-    # Equal rows differ in nothing, so one of them stands for all; the order of a host's pages is cut into ranges, never one task.
-    distinct = signed.dropDuplicates(["__id", "__key"])
-    ranked = settled(
-        running_total(distinct.withColumn("_one", F.lit(1).cast("long")), ["__host", "__path", "__id", "__key"], "_one", "_rank"), "page-order"
-    )
-    other = ranked.select("__host", "__path", "__lines", "_rank")
-    before, after = other.withColumn("_rank", F.col("_rank") + 1), other.withColumn("_rank", F.col("_rank") - 1)
-    named = lambda rows, tag: rows.select(
-        "_rank", F.col("__host").alias(f"{tag}_host"), F.col("__path").alias(f"{tag}_path"), F.col("__lines").alias(f"{tag}_lines")
-    )
-    paired = (
-        ranked.filter(F.size("__open") > 0).join(named(before, "b"), "_rank", "left").join(named(after, "a"), "_rank", "left")
-    )
+def _unaided(sizes: list[int], zones: list[int]) -> list[int]:
+    """Blocks that go where no neighbour can be compared: those outside article and main, if these hold most of the text."""
+    article, beside = (sum(n for n, zone in zip(sizes, zones, strict=True) if zone == z) for z in (ARTICLE, IN_QUESTION))
+    return [i for i, zone in enumerate(zones) if zone == IN_QUESTION] if article > beside else []
+
+
+def _notices(ranked: DataFrame) -> DataFrame:
+    """(__host, __notices): blocks on ``NOTICE_PAGES`` or more different pages of a host and on more than half of them."""
+    on = ranked.select("__host", F.explode(F.array_distinct("__lines")).alias("_line")).groupBy("__host", "_line").agg(F.count(F.lit(1)).alias("_n"))
+    hosts = ranked.groupBy("__host").agg(F.count(F.lit(1)).alias("_pages"))
+    often = on.filter(F.col("_n") >= NOTICE_PAGES).join(hosts, "__host").filter("_n * 2 > _pages")
+    return often.groupBy("__host").agg(F.collect_list("_line").alias("__notices"))
+
+
+def _compared(pages: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``pages`` have the ranks b and a of two neighbours. Adds ``__gone``, null without a comparison, and whether b and a are copies."""
+    for tag in "ba":
+        named = ranked.select(F.col("_rank").alias(tag), *[F.col(f"__{c}").alias(f"{tag}_{c}") for c in ("host", "path", "lines")])
+        pages = pages.join(named, tag, "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            gone, copies = [], []
             for row in batch.to_pylist():
-                near = [(row[f"{t}_path"], row[f"{t}_lines"]) for t in "ba" if row[f"{t}_lines"] is not None and row[f"{t}_host"] == row["__host"]]
-                gone = _deletions(row["__lines"], row["__open"], row["__path"], near)
-                if gone:
-                    out.append((row["__id"], row["__key"], gone))
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            kinds = [pa.string(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["__id", "__key", "__gone"])
+                near = [(row[f"{t}_path"], row[f"{t}_lines"]) if row[f"{t}_host"] == row["__host"] else None for t in "ba"]
+                notices = set(row["__notices"] or ())
+                out, alike = _deletions(row["__lines"], row["__sizes"], row["__zones"], notices, row["__path"], near)
+                gone.append(out)
+                copies.append(alike)
+            before, after = ([x[k] for x in copies] for k in (0, 1))
+            arrays = [pa.array(gone, pa.list_(pa.int32())), pa.array(before, pa.bool_()), pa.array(after, pa.bool_())]
+            names = ["_rank", "__host", "__sig"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *arrays], names=[*names, "__gone", "_b_copy", "_a_copy"])
+
+    columns = ["_rank", "__host", "__sig", "__path", "__lines", "__sizes", "__zones", "__notices"]
+    columns += [f"{t}_{c}" for t in "ba" for c in ("host", "path", "lines")]
+    schema = "_rank long, __host string, __sig long, __gone array<int>, _b_copy boolean, _a_copy boolean"
+    return pages.select(*columns).mapInArrow(work, schema)
 
-    columns = ["__id", "__key", "__host", "__path", "__lines", "__open", "b_host", "b_path", "b_lines", "a_host", "a_path", "a_lines"]
-    return paired.select(*columns).mapInArrow(work, "__id string, __key long, __gone array<int>")
+
+def shared_blocks(pages: DataFrame, html_col: str) -> DataFrame:
+    """_id, _key, _gone: places of the blocks that a page shares with its nearest neighbour; null if there was none to compare."""
+    signed = _signatures(pages, html_col).withColumn("__sig", F.xxhash64("__lines", "__zones"))
+    signed = settled(signed, "page-blocks")
+    # Pages of a host with equal blocks differ in nothing, so the first of them stands for all; the order of a host's pages is cut
+    # into ranges, never one task.
+    place = F.struct("__path", "__id", "__key")
+    firsts = signed.groupBy("__host", "__sig").agg(F.min(place).alias("_first")).select("__host", "__sig", "_first.*")
+    names = ["__host", "__sig", "__path", "__id", "__key"]
+    distinct = signed.join(firsts, names, "left_semi").dropDuplicates(["__id", "__key"])
+    ranked = settled(running_total(distinct.withColumn("_one", F.lit(1).cast("long")), ["__host", "__path", "__id", "__key"], "_one", "_rank"), "page-order")
+    asking = ranked.filter(F.exists("__zones", lambda z: z != OUT)).join(_notices(ranked), "__host", "left")
+    asking = settled(asking, "page-asking")
+    first = settled(_compared(asking.withColumns({"b": F.col("_rank") - 1, "a": F.col("_rank") + 1}), ranked), "page-compared")
+    result = first.select("_rank", "__host", "__sig", "__gone")
+    result = settled(result.select("__host", "__sig", "__gone"), "page-results")
+    return signed.select("__id", "__key", "__host", "__sig").distinct().join(result, ["__host", "__sig"]).select("__id", "__key", "__gone")
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -259,12 +293,10 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", id
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, out in zip(batch.column("__html").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-                found, out = blocks(html), set(out or ())
-                article = any(zone == ARTICLE for _, zone in found)
-                texts.append(
-                    "\n".join(t for i, (t, zone) in enumerate(found) if zone == ARTICLE or zone == IN_QUESTION and not article and i not in out)
-                )
+            for html, gone in zip(batch.column("__html").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+                found = blocks(html)
+                out = set(_unaided([len(t) for t, _ in found], [zone for _, zone in found]) if gone is None else gone)
+                texts.append("\n".join(t for i, (t, zone) in enumerate(found) if zone != OUT and i not in out))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=schema.fieldNames(),

@@ -93,3 +93,16 @@ def test_articles_keep_lines_that_neighbours_share(spark):
     got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {k: f"a passage that both quote\nown {k}" for k in range(3)}
     assert pages.main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def found_texts(spark, pages_):
+    rows = [(k, u, h, 0, 0) for k, (u, h) in enumerate(pages_)]
+    return {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_differencing_decides_beside_article_marks(spark):
+    html = "<body><div>Site</div><div>the story of {0} in a div</div><article>teaser {0}</article><article><p>we use all your data</p></article></body>"
+    got = found_texts(spark, [(f"http://a.example.org/{k}", html.format(f"page {k}")) for k in range(6)])
+    assert got == {k: f"the story of page {k} in a div\nteaser page {k}" for k in range(6)}
+    alone = "<body><div>Site</div><article>a long enough story</article></body>"
+    assert found_texts(spark, [("http://b.example.org/1", alone)]) == {0: "a long enough story"}
