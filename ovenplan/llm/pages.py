@@ -11,8 +11,9 @@ goes only if an exact count says that it is the site's: it stands on at least ``
 more than half of them. All other blocks, in an article or not, are decided by the alignment. Where no neighbour can be compared,
 blocks outside article and main go if those hold most of the text.
 
-Pages of a host with equal blocks are one page for this and share its result. A neighbour that shares ``COPY`` of the page's
-blocks is a copy as well and is passed over for the one on the other side.
+Pages of a host with equal blocks are one page for this and share its result. A neighbour that shares ``COPY`` of the characters
+in question is a copy as well and is passed over for the one on the other side; if both are, the nearest pages beyond the run of
+copies are used.
 
 Defined results: null, empty or broken html gives what text there is, or an empty text; a null or odd URL is a path on a host of
 its own kind; repeated rows are copies of each other and don't delete each other's text; an empty table gives an empty result.
@@ -34,7 +35,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ovenplan.llm.common import importable, running_total, settled
 
-#: A neighbour that shares this part of the page's blocks is a copy of the page.
+#: A neighbour that shares this part of the characters that markup doesn't drop is a copy of the page.
 COPY = 0.8
 #: A shared block of an article is the site's if it is on so many different pages of the host, and on more than half of them.
 NOTICE_PAGES = 5
@@ -203,11 +204,12 @@ def _deletions(
 ) -> tuple[list[int] | None, list[bool]]:
     """Blocks that go because the nearest neighbour which isn't a copy shares them, None without such a neighbour; and which are copies."""
     open_ = [i for i, zone in enumerate(zones) if zone != OUT]
+    whole = sum(sizes[i] for i in open_)
     copies = [False] * len(neighbours)
     gone: list[int] | None = None
     for at in sorted((k for k, x in enumerate(neighbours) if x), key=lambda k: -_alike(path, neighbours[k][0])):
         covered = set(shared_places(own, neighbours[at][1]))
-        copies[at] = len(covered) >= COPY * len(own)
+        copies[at] = sum(sizes[i] for i in open_ if i in covered) >= COPY * whole
         if gone is None and not copies[at]:
             gone = [i for i in open_ if i in covered and (zones[i] != ARTICLE or own[i] in notices)]
     return gone, copies
@@ -253,6 +255,19 @@ def _compared(pages: DataFrame, ranked: DataFrame) -> DataFrame:
     return pages.select(*columns).mapInArrow(work, schema)
 
 
+def _beyond_copies(first: DataFrame) -> DataFrame:
+    """_rank, b, a: for pages between copies, the last page before and the first page after the run of copies."""
+    linked = first.select((F.col("_rank") - 1).alias("_rank"), F.col("_b_copy").alias("_back"))
+    # A page ends its run unless it or the next one takes the other for a copy.
+    ends = first.join(linked, "_rank", "left").select(
+        "_rank", F.when(F.col("_a_copy") | F.coalesce("_back", F.lit(False)), 0).otherwise(1).cast("long").alias("_end"),
+        (F.isnull("__gone") & (F.col("_a_copy") | F.col("_b_copy"))).alias("_between"),
+    )
+    runs = settled(running_total(ends, ["_rank"], "_end", "_run"), "page-runs")
+    bounds = runs.groupBy("_run").agg((F.min("_rank") - 1).alias("b"), (F.max("_rank") + 1).alias("a"))
+    return runs.filter("_between").select("_run", "_rank").join(bounds, "_run").select("_rank", "b", "a")
+
+
 def shared_blocks(pages: DataFrame, html_col: str) -> DataFrame:
     """_id, _key, _gone: places of the blocks that a page shares with its nearest neighbour; null if there was none to compare."""
     signed = _signatures(pages, html_col).withColumn("__sig", F.xxhash64("__lines", "__zones"))
@@ -268,6 +283,9 @@ def shared_blocks(pages: DataFrame, html_col: str) -> DataFrame:
     asking = settled(asking, "page-asking")
     first = settled(_compared(asking.withColumns({"b": F.col("_rank") - 1, "a": F.col("_rank") + 1}), ranked), "page-compared")
     result = first.select("_rank", "__host", "__sig", "__gone")
+    if not first.filter("__gone is null and (_a_copy or _b_copy)").isEmpty():
+        again = _compared(asking.join(_beyond_copies(first), "_rank"), ranked).select("_rank", F.col("__gone").alias("_later"))
+        result = result.join(again, "_rank", "left").withColumn("__gone", F.coalesce("__gone", "_later"))
     result = settled(result.select("__host", "__sig", "__gone"), "page-results")
     return signed.select("__id", "__key", "__host", "__sig").distinct().join(result, ["__host", "__sig"]).select("__id", "__key", "__gone")
 

@@ -106,3 +106,16 @@ def test_differencing_decides_beside_article_marks(spark):
     assert got == {k: f"the story of page {k} in a div\nteaser page {k}" for k in range(6)}
     alone = "<body><div>Site</div><article>a long enough story</article></body>"
     assert found_texts(spark, [("http://b.example.org/1", alone)]) == {0: "a long enough story"}
+
+
+def test_copies_in_a_row_and_long_menus(spark):
+    menu = "".join(f"<li>entry {k}</li>" for k in range(40))
+    html = "<body><nav>" + menu + "</nav><div>Site line</div><p>{} one</p><p>two {}</p></body>"
+    pages_ = [(f"http://a.example.org/{k}", html.format(k, k)) for k in "abc"]
+    assert found_texts(spark, pages_) == {k: f"{x} one\ntwo {x}" for k, x in enumerate("abc")}
+    story = "<body><div>Site line</div><p>the only story {0} that all of these repeat at length</p><p>seen {1}</p></body>"
+    equal = [(f"http://b.example.org/x{k}", story.format("x", 1)) for k in range(3)]
+    close = [(f"http://b.example.org/y{k}", story.format("y", k + 5)) for k in range(4)]
+    got = found_texts(spark, [*equal, *close])
+    assert {got[k] for k in range(3)} == {"the only story x that all of these repeat at length\nseen 1"}
+    assert [got[k] for k in range(3, 7)] == [f"the only story y that all of these repeat at length\nseen {k + 5}" for k in range(4)]
