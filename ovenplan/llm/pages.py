@@ -50,10 +50,11 @@ BLOCKS = set(
     "header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-# Words in class, id or role that mark a part which is not the article.
+# Words in class, id or role that mark a part which is not the article: the whole word, or with one of the usual suffixes.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|"
-    r"cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|replies|disqus|search)(?:$|[\s_-])",
+    r"(?<!\S)(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|"
+    r"cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|replies|disqus|search)"
+    r"(?:[_-](?:area|bar|block|body|box|container|inner|item|items|links?|list|section|slot|unit|widget|wrap|wrapper|\d+))*(?!\S)",
     re.I,
 )
 TOKEN = re.compile(
@@ -67,18 +68,39 @@ IN_QUESTION, ARTICLE, OUT = 0, 1, 2
 
 
 def blocks(html: str | None) -> list[tuple[str, int]]:
-    """(text, zone) of the blocks of a page in page order. A zone says whether markup keeps a block, drops it or leaves it open."""
+    """(text, zone) of the blocks of a page in page order. A zone says whether markup keeps a block, drops it or leaves it open.
+
+    An element isn't dropped for a word in its class if an unmarked article or main is inside it or, on a page without text in
+    an article or main, if it holds most of the page's text.
+    """
+    spared: set[int] = set()
+    while True:
+        found, marked = _parse(html, spared)
+        half = sum(len(text) for text, _ in found) / 2
+        article = any(zone == ARTICLE for _, zone in found)
+        wrong = {at for at, (holds, chars) in marked.items() if holds or not article and chars > half}
+        if not wrong:
+            return found
+        spared |= wrong
+
+
+def _parse(html: str | None, spared: set[int]) -> tuple[list[tuple[str, int]], dict[int, tuple[bool, int]]]:
+    """Blocks, and by place the elements dropped for a class word: whether an article is inside, and their characters."""
     found: list[tuple[str, int]] = []
     held: list[str] = []
     dropped: list[str] = []  # open elements that are dropped, innermost last
     depth: dict[str, int] = {}  # open elements of the same name inside the innermost of them
     inside = 0  # open article and main elements
+    marked: dict[int, tuple[bool, int]] = {}
+    why = None  # place of the element that is dropped for a class word
 
     def flush() -> None:
         text = SPACES.sub(" ", unescape("".join(held))).strip()
         held.clear()
         if text:
             found.append((text, OUT if dropped else ARTICLE if inside else IN_QUESTION))
+            if dropped and why is not None:
+                marked[why] = (marked[why][0], marked[why][1] + len(text))
 
     for token in TOKEN.finditer(html or ""):
         name = token[3]
@@ -102,17 +124,24 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
                 continue
         elif known:
             flush()
+        by_word = any(MARKS.search(m.strip("\"'")) for m in NAMED.findall(token[4])) if token[4] and not closing else False
+        if dropped and why is not None and name in ("article", "main") and not closing and not by_word:
+            marked[why] = (True, marked[why][1])
         if name in ("article", "main") and not dropped:
             inside = max(0, inside - 1) if closing else inside + 1
         if closing or name in VOID or dropped:
             continue
-        marked = any(MARKS.search(m.strip("\"'")) for m in NAMED.findall(token[4])) if token[4] else False
-        if name in DROPPED or name == "header" and not inside or marked and name not in ("html", "body", "article", "main"):
+        by_word = by_word and name not in ("html", "body", "article", "main") and token.start() not in spared
+        by_name = name in DROPPED or name == "header" and not inside
+        if by_name or by_word:
             flush()
+            why = None if by_name else token.start()
+            if why is not None:
+                marked[why] = (False, 0)
             dropped.append(name)
             depth[name] = 1
     flush()
-    return found
+    return found, marked
 
 
 def shared_places(own: list[int], other: list[int]) -> list[int]:

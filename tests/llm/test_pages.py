@@ -119,3 +119,15 @@ def test_copies_in_a_row_and_long_menus(spark):
     got = found_texts(spark, [*equal, *close])
     assert {got[k] for k in range(3)} == {"the only story x that all of these repeat at length\nseen 1"}
     assert [got[k] for k in range(3, 7)] == [f"the only story y that all of these repeat at length\nseen {k + 5}" for k in range(4)]
+
+
+def test_class_words_never_drop_the_article():
+    def kept(html):
+        return [t for t, zone in pages.blocks(html) if zone != pages.OUT]
+
+    for word in ("content has-sidebar", "search-page", "social-science", "no-comments", "notice-board", "search", "site sidebar"):
+        assert kept(f'<div class="{word}"><article><p>the story</article></div>') == ["the story"], word
+        assert kept(f'<div class="{word}"><p>the whole of the story</div><p>more') == ["the whole of the story", "more"], word
+    assert kept('<div id="comments"><article class="comment">first!</article></div><main>the story</main>') == ["the story"]
+    assert kept('<p>the story as it is<div class="ad-box">buy</div><div class="top sidebar">menu</div>') == ["the story as it is"]
+    assert kept('<div class="search"><div class="menu">entries of the menu</div><main>the story</main></div>') == ["the story"]
