@@ -10,9 +10,14 @@ compared with the smallest text of its buckets, in rounds, and only texts of one
 are compared with each other. No pair of candidates is left out: what isn't compared is connected already. Exact copies are one
 text from the start.
 
-Two texts with a share J of common runs miss each other in all sketches with probability (1 - J**PICKED) ** SKETCHES: under 1e-6 at
-J = 0.65, 0.2 % at 0.5, 12 % at 0.35 (runs of five words; an edit similarity of 0.95 or more with scattered edits). Texts are told
-apart by a 64-bit hash.
+Sketches alone miss pairs near the limit: two texts with a share J of common runs miss each other in all of them with probability
+(1 - J**PICKED) ** SKETCHES, which is 0.2 % at J = 0.5, 12 % at 0.35 (edit similarity of about 0.88 with scattered edits) and over
+half at 0.25 (about 0.83). So a text is also in a bucket for each of its rarest labelled runs of q words, q the longest of up to
+``GRAM`` with q * (1 - similarity) < 1. An edit spoils at most q of the n + q - 1 runs of a text padded at both ends, so near
+duplicates of n words or more share over n - n * q * (1 - similarity) + q - 2 of them, and two texts that do share one among the
+floor(n * q * (1 - similarity)) + 1 that come first in any common order. No pair within the limit is missed. The order is by how
+common a run is (counts by hash, ``BINS`` bins), which only decides how many pairs are compared. Texts are told apart by a 64-bit
+hash.
 
 Defined results: null and empty texts are copies of one another; texts of fewer than ``K`` words count as one run; a class is named
 by the smallest id in it, null ids last; repeated rows are copies; an empty table gives an empty result. Only id and text are read.
@@ -35,6 +40,8 @@ K = 5
 SKETCHES = 48
 PICKED = 3
 SIMILARITY = 0.8
+GRAM = 3
+BINS = 1 << 20
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ONE, TWO = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -63,6 +70,43 @@ def word_hashes(text: str | None) -> np.ndarray:
     return mix(np.add.reduceat(mix((place.astype(np.uint64) << np.uint64(8) | data[inside]) * ODD), begins))
 
 
+def _with_occurrence(runs: np.ndarray) -> np.ndarray:
+    """Hashes of runs and of how often each occurred before."""
+    n = len(runs)
+    order = np.argsort(runs, kind="stable")
+    fresh = np.concatenate([[True], runs[order][1:] != runs[order][:-1]])
+    begins = np.flatnonzero(fresh)
+    earlier = np.empty(n, np.uint64)
+    earlier[order] = np.arange(n) - np.repeat(begins, np.diff(begins, append=n))
+    return mix(runs + earlier * ODD)
+
+
+def padded_runs(text: str | None, q: int) -> tuple[np.ndarray, int]:
+    """Labelled runs of ``q`` words of a text padded at both ends, and its number of words."""
+    words = word_hashes(text)
+    n = len(words)
+    if not n:
+        return words, 0
+    pad = np.arange(1, q, dtype=np.uint64)
+    padded = np.concatenate([pad, words, pad])
+    runs = np.zeros(n + q - 1, np.uint64)
+    for j in range(q):
+        runs = mix(runs * ODD + padded[j : j + n + q - 1])
+    return _with_occurrence(runs), n
+
+
+def run_length(similarity: float) -> int:
+    return max(q for q in range(1, GRAM + 1) if q == 1 or q * (1 - similarity) < 1 - 1e-9)
+
+
+def rarest_runs(text: str | None, similarity: float, common: np.ndarray) -> np.ndarray:
+    """Buckets of which two texts within ``similarity`` share at least one."""
+    q = run_length(similarity)
+    runs, n = padded_runs(text, q)
+    wanted = min(len(runs), int(n * q * (1 - similarity) + 1e-9) + 1) if n else 0
+    return runs[np.lexsort((runs, common[runs >> np.uint64(44)]))[:wanted]].view(np.int64)
+
+
 def sketches(text: str | None) -> np.ndarray:
     """The bucket of a text under each hash function; none for a text without words."""
     words = word_hashes(text)
@@ -72,12 +116,7 @@ def sketches(text: str | None) -> np.ndarray:
     runs = np.zeros(n, np.uint64)
     for j in range(min(K, len(words))):
         runs = mix(runs * ODD + words[j : j + n])
-    order = np.argsort(runs, kind="stable")
-    fresh = np.concatenate([[True], runs[order][1:] != runs[order][:-1]])
-    begins = np.flatnonzero(fresh)
-    earlier = np.empty(n, np.uint64)
-    earlier[order] = np.arange(n) - np.repeat(begins, np.diff(begins, append=n))
-    labelled = mix(runs + earlier * ODD)
+    labelled = _with_occurrence(runs)
     out = np.empty(SKETCHES, np.uint64)
     picked, step = min(PICKED, n), max(1, (1 << 22) // n)
     for s in range(0, SKETCHES, step):  # a few functions at a time for very long texts
@@ -149,12 +188,35 @@ def edits_allowed(longer: int, similarity: float) -> int:
     return int(longer * (1 - similarity) + 1e-9)
 
 
-def _sketched(texts: DataFrame) -> DataFrame:
-    """(node, text) -> (node, n_words, buckets)."""
+def common_runs(texts: DataFrame, similarity: float) -> np.ndarray:
+    """How often runs of each bin occur, for the bins with over four times the mean; 0 for the others."""
+    q = run_length(similarity)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                np.add.at(counts, (padded_runs(t, q)[0] >> np.uint64(44)).astype(np.int64), 1)
+        bins = np.flatnonzero(counts)
+        for k in range(0, len(bins), 1 << 16):
+            part = bins[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], names=["bin", "n"])
+
+    found = settled(texts.select("text").mapInArrow(work, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")), "run-counts")
+    mean = (found.agg(F.sum("n")).first()[0] or 0) / BINS
+    common = np.zeros(BINS, np.int64)
+    for row in found.filter(F.col("n") > max(1.0, 4 * mean)).toLocalIterator():  # fewer than a quarter of the bins
+        common[row["bin"]] = row["n"]
+    return common
+
+
+def _sketched(texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, text) -> (node, buckets)."""
+    common = texts.sparkSession.sparkContext.broadcast(common_runs(texts, similarity))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketches(t) for t in batch.column("text").to_pylist()]
+            found = [np.concatenate([sketches(t), rarest_runs(t, similarity, common.value)]) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "buckets"])
 
     return texts.mapInArrow(work, "node long, buckets array<long>")
@@ -193,7 +255,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     spark = docs.sparkSession
     importable(spark)
     texts = docs.select(_node(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = settled(_sketched(texts).select("node", F.explode("buckets").alias("bucket")), "sketches")
+    placed = settled(_sketched(texts, similarity).select("node", F.explode("buckets").alias("bucket")), "sketches")
     # Buckets with more than one text, and the smallest text of each. Copies of a text combine before the shuffle.
     heads = placed.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("bucket", "head")
     members = settled(placed.join(settled(heads, "bucket-heads"), "bucket").select("bucket", "head", "node").distinct(), "bucket-members")

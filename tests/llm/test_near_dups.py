@@ -121,3 +121,23 @@ def test_components_of_chains_and_stars(spark):
     star = [(100, 100 + i) for i in range(1, 30)]
     found = dict(as_tuples(components(spark.createDataFrame(chain + star, "a long, b long")), "node", "comp"))
     assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+
+
+def test_recall_near_the_limit(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(120):
+        words = [f"v{rng.randrange(4000)}" for _ in range(rng.randrange(5, 160))]
+        share = 0.05 + 0.15 * (k % 7) / 6
+        texts += [" ".join(words), " ".join(edited(rng, words, int(len(words) * share)))]
+    found = near_dups.near_duplicates(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]))
+    assert as_tuples(found, "doc_id", "class_id") == sorted(enumerate(brute_classes(texts)), key=repr)
+
+
+@settings(max_examples=400, deadline=None)
+@given(WORDS, WORDS, st.sampled_from([0.3, 0.6, 0.8, 0.9]))
+def test_rarest_runs_miss_nothing(a, b, similarity):
+    if a and b and near_dups.distance_within(a, b, near_dups.edits_allowed(max(len(a), len(b)), similarity)) is not None:
+        common = np.arange(near_dups.BINS) % 7
+        x, y = (set(near_dups.rarest_runs(" ".join(t), similarity, common).tolist()) for t in (a, b))
+        assert x & y
