@@ -25,6 +25,7 @@ by the smallest id in it, null ids last; repeated rows are copies; an empty tabl
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ovenplan.llm.common import importable, settled
+from ovenplan.llm.common import WORD, importable, settled, word_count
 from ovenplan.llm.components import components
 
 K = 5
@@ -184,6 +185,10 @@ def distance_within(a: list[str], b: list[str], limit: int) -> int | None:
         band = min(limit, 2 * band)
 
 
+def words_of(text: str) -> list[str]:
+    return re.findall(WORD, text)
+
+
 def edits_allowed(longer: int, similarity: float) -> int:
     return int(longer * (1 - similarity) + 1e-9)
 
@@ -233,8 +238,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                 part = batch.slice(begin, 256)
                 for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
                     if a != before:
-                        before, words = a, x.split()
-                    other = y.split()
+                        before, words = a, words_of(x)
+                    other = words_of(y)
                     found = distance_within(words, other, edits_allowed(max(len(words), len(other)), similarity))
                     if found is not None:
                         out.append((a, b, found))
@@ -261,7 +266,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     members = settled(placed.join(settled(heads, "bucket-heads"), "bucket").select("bucket", "head", "node").distinct(), "bucket-members")
     found = members.select("node").distinct()
     wanted = settled(
-        texts.join(found, "node", "left_semi").dropDuplicates(["node"]).withColumn("n_words", F.regexp_count("text", F.lit(r"\S+"))), "candidate-texts"
+        texts.join(found, "node", "left_semi").dropDuplicates(["node"]).withColumn("n_words", word_count(F.col("text"))), "candidate-texts"
     )
     star = settled(
         members.filter("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("agreed")), "star-pairs"

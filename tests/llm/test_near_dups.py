@@ -141,3 +141,9 @@ def test_rarest_runs_miss_nothing(a, b, similarity):
         common = np.arange(near_dups.BINS) % 7
         x, y = (set(near_dups.rarest_runs(" ".join(t), similarity, common).tolist()) for t in (a, b))
         assert x & y
+
+
+def test_words_are_the_same_everywhere():
+    text = "one\u00a0two three\u3000four\tfive"
+    assert near_dups.words_of(text) == ["one\u00a0two", "three\u3000four", "five"]
+    assert len(near_dups.words_of(text)) == len(near_dups.word_hashes(text))
