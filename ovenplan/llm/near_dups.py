@@ -328,7 +328,7 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) ->
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``copy_of`` (smallest id with the same text), ``class_id`` (smallest id in its class)
-    and ``n_links`` (verified links of its text to other texts)."""
+    and ``n_links`` (links of its text that were used to connect the class; which ones depends on the order of comparing)."""
     ids, named = _classes(docs, similarity, id_col, text_col)
     return ids.join(named, "node").select("doc_id", "copy_of", "class_id", "n_links")
 
