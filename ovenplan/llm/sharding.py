@@ -1,13 +1,15 @@
 """Sharding by balanced label propagation.
 
 Documents with equal texts are linked. Linked documents start spread evenly over the shards; in each round every block of linked
-documents that share a shard looks, by a join, at the shards its neighbours are in and asks to move to the one that holds most of
-them; quotas admit movers, largest gain first, as long as the shard has room. Rounds end when nothing moves. Documents without
-links are then poured into the room that is left, so sizes come out near equal while few links are cut.
+documents of a group that share a shard asks to move to the open shard that holds more of its group than its own does, the one
+with most of it first (ties by hash, so that two parts don't swap); quotas admit movers as long as the shard has room. Rounds end
+when nothing moves, or when ``max_rounds`` rounds in a row leave no fewer groups cut. Documents without links are then poured into
+the room that is left, so sizes come out near equal while few links are cut.
 
 Rounds work on one row per block (group and shard), made before any shuffle of rows, so a group with a third of all documents is
-a few rows. Such a group can't fit in one shard: it is split by a hash into pieces of at most an eighth of a shard, which travel
-apart and are drawn to the shards of their siblings.
+a few rows. A group that can't fit in one shard is split by a hash into pieces of at most an eighth of a shard, which are drawn to
+the shards of their siblings. A group of an eighth of a shard or more also asks for shards that have room for all of it. There are
+at most eight such groups per shard; they settle first, largest first.
 
 Law ``bytes``: sizes near equal (UTF-8 bytes of the text plus ``overhead``). Defined results: a null text counts as empty; rows
 with the same id and text are separate documents of one group; with fewer documents than shards some shards stay empty; an empty
@@ -32,45 +34,44 @@ def _deal(rows: DataFrame, order: list[str], total: int, shards: int) -> DataFra
     return placed.withColumn("shard", F.least(F.floor(middle), F.lit(shards - 1)).cast("int")).drop("_before")
 
 
-def _one_round(blocks: DataFrame, shards: DataFrame, capacity: float, lanes: int) -> DataFrame:
-    """(grp, piece, origin, shard, mass) -> the same with ``wish`` and ``moves``.
+def _one_round(blocks: DataFrame, shards: DataFrame, capacity: float, lanes: int, big_from: float, big: bool) -> DataFrame:
+    """(grp, piece, origin, shard, mass) -> the same with ``moves``. Only ``big`` groups, or only the others, move.
 
     ``lanes`` shares out each shard's room over that many hash buckets of pieces, so no window holds all blocks of a shard.
     """
-    mass = blocks.groupBy("grp", "piece", "shard").agg(F.sum("mass").alias("here"))
-    siblings = blocks.groupBy("grp", "shard").agg(F.sum("mass").alias("kin"))
     load = blocks.groupBy("shard").agg(F.sum("mass").alias("load"))
-    room = shards.join(load, "shard", "left").select(
-        "shard", (F.lit(capacity) - F.coalesce("load", F.lit(0))).alias("room")
+    room = shards.join(load, "shard", "left").select("shard", (F.lit(capacity) - F.coalesce("load", F.lit(0))).alias("room"))
+    kin = blocks.groupBy("grp", "shard").agg(F.sum("mass").alias("kin"))
+    sizes = kin.groupBy("grp").agg(F.sum("kin").alias("all"), F.count(F.lit(1)).alias("_parts"))
+    torn = sizes.filter("_parts > 1").filter((F.col("all") >= big_from) if big else (F.col("all") < big_from)).select("grp", "all")
+    # Where a group could be: the shards that hold a part of it; a big one anywhere.
+    places = torn.crossJoin(F.broadcast(room)) if big else torn.join(kin.select("grp", "shard"), "grp").join(F.broadcast(room), "shard")
+    placed = places.join(kin, ["grp", "shard"], "left").withColumn("kin", F.coalesce("kin", F.lit(0)))
+    rank = F.struct(
+        ((F.col("room") + F.col("kin")) >= F.col("all")).alias("fits"), "kin", F.xxhash64("grp", "shard").alias("tie"), "shard", "room"
     )
-    # Where a piece could go: the shards that hold a part of it, or of its group.
-    drawn = (
-        siblings.join(mass.groupBy("grp", "piece").agg(F.max("here").alias("_most"), F.sum("here").alias("_all")), "grp")
-        .join(mass, ["grp", "piece", "shard"], "left")
-        .join(F.broadcast(room), "shard")  # one row per shard
-        .withColumn("here", F.coalesce("here", F.lit(0)))
-        .filter((F.col("here") > 0) | (F.col("room") > 0))
-    )
-    best = drawn.groupBy("grp", "piece").agg(
-        F.max_by(
-            F.col("shard"),
-            F.struct(F.col("here"), F.col("kin"), F.xxhash64("grp", "piece", "shard")),
-        ).alias("wish")
-    )
-    asked = blocks.join(best, ["grp", "piece"]).join(
-        F.broadcast(room.select(F.col("shard").alias("wish"), "room")), "wish"
+    options = placed.groupBy("grp", "all").agg(F.collect_list(rank).alias("_options"))  # one entry per shard at most
+    asked = blocks.join(options, "grp", "left")
+    here = F.element_at(F.filter("_options", lambda x: x["shard"] == F.col("shard")), 1)
+    better = F.filter(
+        "_options",
+        lambda x: (x["room"] / lanes >= F.col("mass")) & (F.struct(x["fits"], x["kin"], x["tie"]) > F.struct(F.col("_here.fits"), F.col("_here.kin"), F.col("_here.tie"))),
     )
+    asked = asked.withColumn("_here", F.when(F.size("_options") > 0, here)).withColumn("_to", F.array_max(F.transform(better, lambda x: x)))
     lane = F.pmod(F.xxhash64("grp", "piece"), F.lit(lanes))
     queue = (
-        Window.partitionBy("wish", "_lane", "_stays")
-        .orderBy(F.col("mass").desc(), F.xxhash64("grp", "piece", "origin"), "origin")
+        Window.partitionBy("_wish", "_lane")
+        .orderBy(F.col("all").desc() if big else F.col("mass").desc(), F.xxhash64("grp"), F.col("mass").desc(), F.xxhash64("grp", "piece", "origin"), "origin")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        asked.withColumns({"_lane": lane, "_stays": F.col("wish") == F.col("shard")})
-        .withColumn("_sum", F.sum("mass").over(queue))
-        .withColumn("moves", ~F.col("_stays") & (F.col("_sum") <= F.col("room") / lanes))
-        .select("grp", "piece", "origin", F.when(F.col("moves"), F.col("wish")).otherwise(F.col("shard")).alias("shard"), "mass", "moves")
+    asking = asked.filter("_to is not null").withColumns({"_wish": F.col("_to.shard"), "_lane": lane})
+    moving = (
+        asking.withColumn("_sum", F.sum("mass").over(queue))
+        .filter(F.col("_sum") <= F.col("_to.room") / lanes)
+        .select("grp", "piece", "origin", "_wish")
+    )
+    return blocks.select("grp", "piece", "origin", "shard", "mass").join(moving, ["grp", "piece", "origin"], "left").select(
+        "grp", "piece", "origin", F.coalesce("_wish", "shard").alias("shard"), "mass", F.isnotnull("_wish").alias("moves")
     )
 
 
@@ -97,8 +98,9 @@ def assign_shards(
     total = base.agg(F.sum("size")).first()[0] or 0
     share = total / shards
     groups = settled(base.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).filter("n > 1"), "shard-groups")
-    # A piece holds at most about an eighth of a shard; its key follows the document, so the split needs no order.
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("all") / F.lit(max(share / 8, 1.0))))
+    # Only a group that no shard can hold is split; a piece holds at most about an eighth of a shard. Its key follows the document,
+    # so the split needs no order.
+    pieces = F.when(F.col("all") <= share, 1).otherwise(F.ceil(F.col("all") / F.lit(max(share / 8, 1.0))))
     linked = base.join(groups.select("grp", pieces.alias("_pieces")), "grp").select(
         base["*"], F.pmod(F.xxhash64("spread"), F.col("_pieces")).cast("int").alias("piece")
     )
@@ -111,10 +113,14 @@ def assign_shards(
     blocks = settled(start.groupBy("grp", "piece", F.col("shard").alias("origin")).agg(F.sum("size").alias("mass")).withColumn("shard", F.col("origin")), "blocks")
     lanes = max(1, blocks.count() // (shards * BLOCKS_PER_QUOTA))
     # Linked documents alone may fill a shard up to its share and a little over; the others fill up what is left.
-    for _ in range(max_rounds):
-        blocks = settled(_one_round(blocks, all_shards, share * (1 + slack), lanes), "blocks")
-        if blocks.filter("moves").isEmpty():
-            break
+    for big in (True, False):
+        least, idle = None, 0
+        while idle < max_rounds:
+            blocks = settled(_one_round(blocks, all_shards, share * (1 + slack), 1 if big else lanes, share / 8, big), "blocks")
+            if blocks.filter("moves").isEmpty():
+                break
+            cut = blocks.select("grp", "shard").distinct().count()
+            least, idle = (cut, 0) if least is None or cut < least else (least, idle + 1)
     homes = blocks.select("grp", "piece", F.col("origin").alias("shard"), F.col("shard").alias("home"))
     settled_linked = start.join(homes, ["grp", "piece", "shard"]).select("doc_id", "size", "text_crc32", "grp", "spread", F.col("home").alias("shard"))
 

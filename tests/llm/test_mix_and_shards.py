@@ -108,3 +108,17 @@ def test_shards_of_awkward_rows(spark):
     rows = sharding.assign_shards(awkward(spark), shards=40).collect()
     assert len(rows) == 9 and all(0 <= r["shard"] < 40 for r in rows)
     assert sharding.assign_shards(nothing(spark), shards=40).count() == 0
+
+
+@pytest.mark.parametrize("part", [0.15, 0.5, 0.9])
+def test_groups_that_fit_a_shard_stay_whole(spark, part):
+    share, size = 6000, 84 + 16
+    groups = 6
+    n = int(part * share / size)
+    texts = [f"group {g} ".ljust(84, "x") for g in range(groups) for _ in range(n)]
+    texts += [f"single {i} ".ljust(84, "y") for i in range(10 * share // size - len(texts))]
+    rows = sharding.assign_shards(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), shards=10).collect()
+    where = [{r["shard"] for r in rows if r["doc_id"] // n == g} for g in range(groups)]
+    assert [len(s) for s in where] == [1] * groups
+    load = Counter(r["shard"] for r in rows)
+    assert max(load.values()) <= 1.05 * share / size and min(load.values()) >= 0.95 * share / size
