@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ovenplan.llm import line_dedup, line_quality, mixing, near_dups, packing, pages, pieces, quality_rules, sharding, topk
+from ovenplan.llm import (
+    divergence,
+    fim,
+    line_dedup,
+    line_quality,
+    mixing,
+    near_dups,
+    neighbours,
+    packing,
+    pages,
+    pieces,
+    quality_rules,
+    sharding,
+    topk,
+)
 from ovenplan.llm.common import table
 
 
@@ -84,6 +98,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of a language, and the terms that set a source apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top_terms=50)
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors found for every vector whose id is divisible by 100."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the texts rearranged for infilling, and each text rebuilt, as digests."""
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"), seed=42, keep_index=False)
+    back = fim.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_sentencepiece": op2_sentencepiece,
@@ -95,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packed_ids": op8_packed_ids,
     "op9_source_mix": op9_source_mix,
     "op10_sharding": op10_sharding,
+    "op11_divergence": op11_divergence,
+    "op12_neighbours": op12_neighbours,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
@@ -102,4 +137,6 @@ ORACLE: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op9_source_mix": mixing.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }
