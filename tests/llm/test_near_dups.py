@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from helpers import as_tuples, awkward, documents, nothing
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ovenplan.llm import near_dups
 from ovenplan.llm.components import components
@@ -123,6 +125,24 @@ def test_components_of_chains_and_stars(spark):
     assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
+def pairs_at(rng, similarity, count, least, most):
+    """Texts and edited copies whose edit similarity is ``similarity`` or a little more."""
+    out = []
+    while len(out) < count:
+        words = [f"v{rng.randrange(4000)}" for _ in range(rng.randrange(least, most))]
+        other = edited(rng, words, int(len(words) * (1 - similarity)))
+        if near_dups.distance_within(words, other, near_dups.edits_allowed(max(len(words), len(other)), 0.8)) is not None:
+            out.append((" ".join(words), " ".join(other)))
+    return out
+
+
+@pytest.mark.parametrize(("similarity", "least"), [(0.80, 0.9), (0.82, 0.93), (0.85, 0.97), (0.88, 0.99), (0.95, 1.0)])
+def test_recall_of_sketches_by_similarity(similarity, least):
+    pairs = pairs_at(random.Random(round(similarity * 100)), similarity, 300, 60, 300)
+    found = sum(bool((near_dups.sketches(a) == near_dups.sketches(b)).any()) for a, b in pairs)
+    assert found >= least * len(pairs)
+
+
 def test_recall_near_the_limit(spark):
     rng = random.Random(11)
     texts = []
@@ -130,10 +150,50 @@ def test_recall_near_the_limit(spark):
         words = [f"v{rng.randrange(4000)}" for _ in range(rng.randrange(5, 160))]
         share = 0.05 + 0.15 * (k % 7) / 6
         texts += [" ".join(words), " ".join(edited(rng, words, int(len(words) * share)))]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    wanted = sorted(enumerate(brute_classes(texts)), key=repr)
+    assert as_tuples(near_dups.near_duplicates(docs, exact=True), "doc_id", "class_id") == wanted
+    found = as_tuples(near_dups.near_duplicates(docs), "doc_id", "class_id")
+    linked = {(i, c) for i, c in wanted if i != c}
+    assert len(linked & set(found)) >= 0.95 * len(linked) and {(i, c) for i, c in found if i != c} <= linked
+
+
+def test_short_texts_are_never_missed(spark):
+    texts = [t for k in range(5) for pair in pairs_at(random.Random(k), 0.8, 12, 5, 8 + 10 * k) for t in pair]
     found = near_dups.near_duplicates(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]))
     assert as_tuples(found, "doc_id", "class_id") == sorted(enumerate(brute_classes(texts)), key=repr)
 
 
+def test_texts_that_share_much_meet_in_blocks(spark):
+    """A third of each text is its own, so every pair is a candidate by its sketches and none is a near duplicate but the planted ones."""
+    rng = random.Random(3)
+    common = [f"c{k % 2}" for k in range(80)]
+    texts = [" ".join(common + [f"u{rng.randrange(10**6)}" for _ in range(40)]) for _ in range(60)]
+    texts += [" ".join(edited(rng, t.split(), 6)) for t in texts[::9]]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    nodes = docs.select(F.xxhash64("text").alias("node"), "text", F.lit(120).cast("long").alias("n_words"), F.lit(1).cast("long").alias("bucket"))
+    comps = nodes.select("node", F.col("node").alias("comp")).limit(0)
+    pairs = near_dups.cross_pairs(nodes, comps, nodes, 0.8, block=7)
+    assert pairs.count() == pairs.distinct().count() == sum(i != c for i, c in enumerate(brute_classes(texts)))
+    assert as_tuples(near_dups.near_duplicates(docs), "doc_id", "class_id") == sorted(enumerate(brute_classes(texts)), key=repr)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(WORDS.filter(bool), min_size=2, max_size=8), st.integers(0, 2))
+def test_bags_never_part_near_duplicates(texts, sides):
+    texts = [" ".join(t) for t in texts]
+    names, side = np.arange(len(texts)), np.arange(len(texts)) % max(1, sides)
+    sizes = np.array([len(t.split()) for t in texts])
+    kept = set(near_dups.open_pairs(names, names, sizes, side, [near_dups.word_bag(t) for t in texts], 0.8))
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            x, y = texts[i].split(), texts[j].split()
+            if side.min() != side.max() and side[i] == side[j]:
+                assert (i, j) not in kept
+            elif near_dups.distance_within(x, y, near_dups.edits_allowed(max(len(x), len(y)), 0.8)) is not None:
+                assert (i, j) in kept
+
+
 @settings(max_examples=400, deadline=None)
 @given(WORDS, WORDS, st.sampled_from([0.3, 0.6, 0.8, 0.9]))
 def test_rarest_runs_miss_nothing(a, b, similarity):
