@@ -2,7 +2,8 @@
 
 Lines are exploded with the hash of their key, documents are counted per hash, and lines over the threshold are dropped where
 they stand. The lines' text never leaves its document: only hashes and positions are shuffled, and each document gets back the
-positions that it loses.
+positions that it loses. Its lines are split once and a mark per line says which go, so a document costs time in proportion to its
+lines, however many there are and go.
 
 Defined results: a null or empty text is one empty line. A line's key has blanks stripped at both ends and A-Z lower-cased;
 a key shorter than ``min_chars`` never goes. Rows with the same id count as one document, but each row is edited by itself, so
@@ -15,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ovenplan.llm.common import BLANKS, settled
+from ovenplan.llm.common import settled
 
+BLANK_CHARS = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,9 +26,12 @@ def _lines(text: F.Column) -> F.Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def stripped(line: F.Column) -> F.Column:
+    return F.btrim(line, F.lit(BLANK_CHARS))
+
+
 def line_key(line: F.Column) -> F.Column:
-    stripped = F.regexp_replace(line, f"^{BLANKS}+|{BLANKS}+$", "")
-    return F.translate(stripped, UPPER, UPPER.lower())
+    return F.translate(stripped(line), UPPER, UPPER.lower())
 
 
 def _numbered_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -35,9 +40,10 @@ def _numbered_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
         F.col(id_col).alias("__id"),
         F.xxhash64(text_col).alias("__text"),
         F.posexplode(_lines(F.col(text_col))).alias("_pos", "_line"),
-    ).select("__id", "__text", "_pos", line_key(F.col("_line")).alias("_key"))
-    return lines.filter(F.length("_key") >= min_chars).select(
-        "__id", "__text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2")
+    )
+    key = line_key(F.col("_line"))
+    return lines.filter(F.length(stripped(F.col("_line"))) >= min_chars).select(
+        "__id", "__text", "_pos", F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit(1), key).alias("_h2")
     )
 
 
@@ -74,17 +80,24 @@ def drop_shared_lines(
         F.col("d.__id").eqNullSafe(F.col("x.__id")) & (F.col("d.__text") == F.col("x.__text")),
         "left",
     )
-    lines = _lines(F.col(f"d.{text_col}"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.coalesce(F.col(f"d.{text_col}"), F.lit(""))).otherwise(
-        F.array_join(F.transform(F.array_sort(stay), lambda i: F.get(lines, i)), "\n")
+    kept = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    # What is used several times in the step after is computed once per row: the arrays here, then a byte per line up to the last lost one.
+    split = joined.select(
+        *[F.col(f"d.{c}") for c in kept],
+        F.col(f"d.{text_col}").alias("__text"),
+        _lines(F.col(f"d.{text_col}")).alias("__lines"),
+        F.array_sort("__gone").alias("__gone"),
     )
-    kept = [F.col(f"d.{c}") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return joined.select(
+    lines, gone, marks = F.col("__lines"), F.col("__gone"), F.col("__marks")
+    stretch = lambda at, k: F.concat(F.repeat(F.lit("0"), at - F.coalesce(F.get(gone, k - 1), F.lit(-1)) - 1), F.lit("1"))
+    split = split.withColumn("__marks", F.array_join(F.transform(gone, stretch), "").cast("binary"))
+    stay = F.filter(lines, lambda line, k: F.substring(marks, k + 1, F.lit(1)) != F.lit(b"1"))
+    text = F.when(marks.isNull(), F.coalesce("__text", F.lit(""))).otherwise(F.array_join(stay, "\n"))
+    return split.select(
         *kept,
         text.alias(text_col),
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

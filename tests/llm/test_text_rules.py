@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import duckdb
 import pytest
@@ -108,3 +109,14 @@ def test_line_dedup_keeps_columns_and_takes_nothing(spark):
     empty = line_dedup.drop_shared_lines(documents(spark, [(1, "", "en", "a")]), 1).first()
     assert (empty["n_lines"], empty["n_dropped"], empty["text"]) == (1, 0, "")
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_a_document_of_many_lines_takes_time_in_proportion(spark):
+    n = 100_000
+    shared = "\n".join(f"common {k}" if k % 2 else f"own {k} %d" for k in range(n))
+    docs = documents(spark, [(i, shared.replace("%d", str(i)), "en", "a") for i in range(4)])
+    began = time.monotonic()
+    kept = line_dedup.drop_shared_lines(docs, 4).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert time.monotonic() - began < 60
+    assert [(r["doc_id"], r["n_lines"], r["n_dropped"]) for r in sorted(kept)] == [(i, n, n // 2) for i in range(4)]
+    assert all(r["text"].split("\n") == [f"own {k} {r['doc_id']}" for k in range(0, n, 2)] for r in kept)
