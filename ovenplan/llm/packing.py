@@ -15,6 +15,7 @@ other in the order of their texts' hash; an empty table gives no file. Only the
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +36,11 @@ FILE_IDS = 1 << 26
 #: Distinct words whose ids a worker remembers; the generation before is kept until as many new ones have come.
 MEMORY = 600_000
 TAIL = struct.Struct("<8sIIQQQQ")  # magic, bits, block, ids, documents, blocks, offset of the tables
+#: Widths that are whole machine numbers.
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
+#: Letters that are one token of the splitter, then ASCII signs that are the next: letters of the Latin blocks without the dotted
+#: capital I, whose lower case is a letter and a combining mark that the splitter takes from it.
+STEM_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+)([!-/:-@\[-`{-~]+)")
 NO_ID = -(1 << 63)  # stands for a null document id in the files
 
 
@@ -43,17 +49,38 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids as ``bits`` bits each, lowest bit first; the last byte is filled with zeros."""
-    spread = (ids.astype(np.uint64)[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(spread.astype(np.uint8), bitorder="little").tobytes()
+    """Ids as ``bits`` bits each, lowest bit first; the last byte is filled with zeros.
+
+    64 ids fill ``bits`` words of 64 bits, so the k-th ids of all groups of 64 go to the same place of the same word and are
+    shifted there together.
+    """
+    if bits in WHOLE:
+        return ids.astype(WHOLE[bits]).tobytes()
+    groups = -(-len(ids) // 64)
+    table = np.zeros((groups, 64), np.uint64)
+    table.ravel()[: len(ids)] = ids
+    words = np.zeros((groups, bits), "<u8")
+    for k in range(64):
+        word, shift = divmod(k * bits, 64)
+        words[:, word] |= table[:, k] << np.uint64(shift)
+        if shift + bits > 64:
+            words[:, word + 1] |= table[:, k] >> np.uint64(64 - shift)
+    return words.tobytes()[: (len(ids) * bits + 7) // 8]
 
 
 def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
-    flat = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits, bitorder="little").reshape(count, bits)
-    # Eight bits make a byte; the bytes of an id are put side by side and read as one number.
-    wide = np.zeros((count, 32 if bits <= 32 else 64), np.uint8)
-    wide[:, :bits] = flat
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4" if bits <= 32 else "<u8").ravel()
+    if bits in WHOLE:
+        return np.frombuffer(data, WHOLE[bits], count).astype("<u4")
+    groups = -(-count // 64)
+    words = np.frombuffer(data.ljust(groups * bits * 8, b"\0"), "<u8").reshape(groups, bits)
+    table = np.empty((groups, 64), np.uint64)
+    for k in range(64):
+        word, shift = divmod(k * bits, 64)
+        table[:, k] = words[:, word] >> np.uint64(shift)
+        if shift + bits > 64:
+            table[:, k] |= words[:, word + 1] << np.uint64(64 - shift)
+    ids = (table & np.uint64((1 << bits) - 1)).ravel()[:count]
+    return ids.astype("<u4") if bits <= 32 else ids
 
 
 def _opened(path: str):
@@ -148,9 +175,9 @@ class BitReader:
 class WordIds:
     """Ids of texts from a tokenizers file. The words between blanks are encoded by the library, each once while remembered.
 
-    Normalisation and splitting of such a vocabulary never reach over a blank, between letters and a full stop or comma after them,
-    or see the case of ASCII letters, so the ids of a text are those of its words. A probe tests this; if it fails, whole texts
-    are encoded.
+    Normalisation and splitting of such a vocabulary never reach over a blank, or between letters and ASCII signs after them, so the
+    ids of a text are those of its words. Words are never changed: the library's added tokens are matched in the text as it is. No
+    added token holds a blank or is a run of letters, or of letters and signs. A probe tests this; if it fails, whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -161,60 +188,65 @@ class WordIds:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.closes = np.zeros(self.size, bool)
         self.closes[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
+        added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        probe = "Ab, c1\n\td  é."
-        self.by_word = self._whole(probe) == [i for part in ("ab", ",", "c1", "d", "é", ".") for i in self._whole(part)]
+        probe = "Ab, c1\n\td  é.!"
+        parts = [i for part in ("ab", ",", "c1", "d", "é", ".!") for i in self._whole(part)]
+        apart = not any(t.isalpha() or STEM_AND_SIGNS.fullmatch(t) or t[:1].isalpha() or any(x.isspace() for x in t) for t in added)
+        self.by_word = self._whole(probe) == parts and apart
 
     def _whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, words: set[str]) -> None:
-        """Ids of words as bytes. What differs by case or by a stop at the end goes to the library once."""
+        """Ids of words as bytes. A stem that many words have before their signs goes to the library once."""
         if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
-        cut: dict[str, tuple[str, str]] = {}
-        needed: set[str] = set()
-        for word in words:
-            ids = self.older.get(word)
-            if ids is not None:
-                self.known[word] = ids
-                continue
-            stem, stop = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[:-1].isalpha() else (word, "")
-            if stem.isascii():
-                stem = stem.lower()
-            cut[word] = stem, stop
-            needed.update(x for x in (stem, stop) if x not in self.known)
+        known, older = self.known, self.older
+        if older:
+            again = words.intersection(older)
+            known.update(zip(again, map(older.__getitem__, again), strict=True))
+            words = words.difference(again)
+        letters = [w for w in words if w.isalpha()]
+        cut, odd = [], []
+        for word in words.difference(letters):
+            parts = STEM_AND_SIGNS.fullmatch(word)
+            if parts is None:
+                odd.append(word)
+            else:
+                cut.append((word, *parts.groups()))
+        stems = {stem for _, stem, _ in cut}.difference(known, letters)
+        letters += stems
+        odd += {signs for _, _, signs in cut}.difference(known, odd)
         # Words of letters alone end in one marked id each, so many can be encoded as one text and cut at the marks.
-        letters = [x for x in needed if x.isalpha()]
         ids = np.array(self._whole(" ".join(letters)), np.uint32)
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) == len(letters):
-            data, begin = ids.tobytes(), 0
-            for word, end in zip(letters, (4 * ends).tolist(), strict=True):
-                self.known[word] = data[begin:end]
-                begin = end
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            known.update(zip(letters, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         else:
-            letters = []
-        fresh = list(needed.difference(letters))
-        for word, x in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(x.ids, np.uint32).tobytes()
-        for word, (stem, stop) in cut.items():
-            self.known[word] = self.known[stem] + self.known[stop] if stop else self.known[stem]
-
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+            odd += letters
+        for word, x in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            known[word] = np.array(x.ids, np.uint32).tobytes()
+        for word, stem, signs in cut:
+            known[word] = known[stem] + known[signs]
+
+    def encode_batch(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
+        """Ids of each text, with the id ``end`` after them if there is one."""
+        last = b"" if end is None else np.uint32(end).tobytes()
         if not self.by_word:
-            return [np.array(x.ids, np.uint32) for x in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            found = self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.frombuffer(np.array(x.ids, np.uint32).tobytes() + last, np.uint32) for x in found]
         # Blank, tab, line feed and carriage return only: what else counts as white space stays inside a word for the library.
         split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        known = self.known
-        missing = {w for words in split for w in words if w not in known}
-        if missing and len(known) > MEMORY:
-            missing = {w for words in split for w in words}  # the words at hand must outlive the change of generations
+        used = set().union(*split)
+        missing = used.difference(self.known)
         if missing:
-            self._learn(missing)
+            # The words at hand must outlive a change of generations.
+            self._learn(used if len(self.known) > MEMORY else missing)
         known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)), np.uint32) for words in split]
+        return [np.frombuffer(b"".join(map(known, words)) + last, np.uint32) for words in split]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -256,10 +288,10 @@ def write_packed(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 rows = batch.slice(begin, 64)
-                for doc, ids in zip(rows.column("doc").to_pylist(), code.encode_batch(rows.column("text").to_pylist()), strict=True):
+                for doc, ids in zip(rows.column("doc").to_pylist(), code.encode_batch(rows.column("text").to_pylist(), end_id), strict=True):
                     if writer is None:
                         writer = BitWriter(f"{folder}/ids-{part:06d}-{len(done):05d}-{uuid.uuid4().hex}.bits", bits)
-                    writer.add(doc, np.append(ids, np.uint32(end_id)))
+                    writer.add(doc, ids)
                     if writer.ids >= FILE_IDS:
                         finish()
                         writer = None

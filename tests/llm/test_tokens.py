@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -101,14 +102,39 @@ def test_file_random_access(tmp_path):
         packing.BitWriter(str(tmp_path / "x.bits"), 4).add(1, np.array([16]))
 
 
-def test_packed_documents(spark, monkeypatch):
-    docs = awkward(spark).unionByName(documents(spark, [(30 - i, t, "en", "a") for i, t in enumerate(ODD)]))
+PIECES = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|", "|>", "İ", "ı", "ß", "é", "e\u0301", "\u0307", "\u0338", "ǅ", "ﬁ"]
+PIECES += ["A", "Sb", "don't", "'S", "'s", "'", "9", "²", ".", ",", "...", "!?", "<", "&&&", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\u00a0", "\u2028", "😀", "中"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=3)), max_size=14).map("".join))
+def test_words_give_the_ids_of_whole_texts(text):
+    code = packing.word_ids(WORDS)
+    assert code.by_word
+    assert code.encode_batch([text], 1)[0].tolist() == [*code.library.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_words_are_forgotten_by_generations(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 6)
+    code, rng = packing.WordIds(WORDS), random.Random(2)
+    for _ in range(60):
+        texts = [" ".join(rng.choices(["Alpha,", "beta", "İ,", "x9.", "Gamma!!", "<|ENDOFTEXT|>", "é", "", "δ"], k=9)) for _ in range(2)]
+        assert [x.tolist() for x in code.encode_batch(texts)] == [code.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packed_documents(spark):
+    odd = [*ODD, "<|ENDOFTEXT|>", "a <|EndOfText|> b", "İ, Sİ.", "Hello,world!! <|startoftext|>"]
+    docs = awkward(spark).unionByName(documents(spark, [(60 - i, t, "en", "a") for i, t in enumerate(odd)]))
     found = packing.read_packed(packing.write_packed(docs, WORDS, end_id=1)).collect()
     library = Tokenizer.from_file(WORDS)
-    wanted = {r["doc_id"]: len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
+
+    def ids(text):
+        return np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+
+    wanted = sorted(((r["doc_id"], len(ids(r["text"])), zlib.crc32(ids(r["text"]).tobytes())) for r in docs.collect()), key=repr)
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found), key=repr) == wanted
     found.sort(key=lambda r: r["start"])
     assert [r["doc_id"] for r in found] == sorted((r["doc_id"] for r in docs.collect()), key=lambda i: (i is not None, i or 0))
-    assert all(r["n_tokens"] == wanted[r["doc_id"]] for r in found)
     ends = [r["start"] + r["n_tokens"] for r in found]
     assert [0, *ends[:-1]] == [r["start"] for r in found]
     assert packing.read_packed(packing.write_packed(nothing(spark), WORDS)).count() == 0
