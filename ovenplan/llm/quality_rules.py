@@ -3,8 +3,10 @@
 Signals of every text are counted with array and string functions. Each signal is turned into a whole number of thousandths and
 summarised per language and source by a quantile sketch: counts of values rounded down to ``PRECISION`` leading bits. Such
 sketches merge by adding counts, so they are built by partial aggregation, and the sketch of a language (or of everything) is
-the sum of those below it. Groups with few rows take the fence of their language, small languages that of the corpus. The fences
-are joined back and decide.
+the sum of those below it. A fence is the median plus ``REACH`` times the distance from the median to the ninth decile, so it
+follows how far the upper tail of a group's ordinary texts goes. Groups with few rows take the fence of their language, small
+languages that of the corpus. A language's fence is at most half above the corpus's and a group's at most half above its
+language's, so a source of mostly junk can't lift its own. The fences are joined back and decide.
 
 Defined results: a null text has no words and fails the base rules; null languages and sources are groups of their own; repeated
 rows count each; an empty table gives an empty result. Nothing is sampled, and rounding works on whole numbers, so results
@@ -22,8 +24,8 @@ SYMBOLS = r"[#*$%&|<>]"
 PRECISION = 6
 MIN_WORDS = 50
 
-# Signal -> least spread, in thousandths. A fence is the median plus ``REACH`` times the spread below it (median less first
-# decile), or plus REACH times this, so that a group in which nearly all texts agree doesn't reject the slightest difference.
+# Signal -> least spread, in thousandths. Where the ninth decile is nearer to the median than this, this counts, so that a group in
+# which nearly all texts agree doesn't reject the slightest difference.
 LEAST_SPREAD = {"symbols": 5, "dup_lines": 50, "repeats": 40}
 REACH = 8
 MIN_GROUP = 200
@@ -95,7 +97,7 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketches: DataFrame, keys: list[str], reach: int = REACH, least_spread: dict[str, int] | None = None) -> DataFrame:
-    """(keys, signal, rows, fence) from the first decile and the median of each sketch."""
+    """(keys, signal, rows, fence) from the median and the ninth decile of each sketch."""
     least = F.create_map(*[F.lit(x) for pair in (least_spread or LEAST_SPREAD).items() for x in pair])
     one = Window.partitionBy(*keys, "signal")
     upto = one.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -104,31 +106,31 @@ def fences(sketches: DataFrame, keys: list[str], reach: int = REACH, least_sprea
         .groupBy(*keys, "signal")
         .agg(
             F.max("_rows").alias("rows"),
-            F.min(F.when(F.col("_upto") * 10 >= F.col("_rows"), F.col("bucket"))).alias("low"),
             F.min(F.when(F.col("_upto") * 2 >= F.col("_rows"), F.col("bucket"))).alias("mid"),
+            F.min(F.when(F.col("_upto") * 10 >= F.col("_rows") * 9, F.col("bucket"))).alias("high"),
         )
-        .select(*keys, "signal", "rows", (F.col("mid") + reach * F.greatest(F.col("mid") - F.col("low"), least[F.col("signal")])).alias("fence"))
+        .select(*keys, "signal", "rows", (F.col("mid") + reach * F.greatest(F.col("high") - F.col("mid"), least[F.col("signal")])).alias("fence"))
     )
 
 
+def _bounded(fence: Column, above: Column) -> Column:
+    """At most half above the fence of the next wider circle."""
+    return F.least(fence, F.call_function("div", above * 3, F.lit(2)))
+
+
 def group_fences(values: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source) -> one fence per signal, from the smallest of group, language and corpus that has ``min_group`` rows."""
     groups = settled(sketch(values, ["lang", "source"]), "quality-sketch")
     by_lang = merge_sketches(groups, ["lang"])
     per_group, per_lang, overall = fences(groups, ["lang", "source"]), fences(by_lang, ["lang"]), fences(merge_sketches(by_lang, []), [])
+    of_corpus = F.col("o.fence")
+    of_lang = F.when(F.col("l.rows") >= min_group, _bounded(F.col("l.fence"), of_corpus)).otherwise(of_corpus)
     chosen = (
         per_group.alias("g")
         .join(per_lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.signal") == F.col("l.signal")))
         .join(F.broadcast(overall).alias("o"), F.col("g.signal") == F.col("o.signal"))  # one row per signal
-        .select(
-            "g.lang",
-            "g.source",
-            "g.signal",
-            F.when(F.col("g.rows") >= min_group, F.col("g.fence"))
-            .when(F.col("l.rows") >= min_group, F.col("l.fence"))
-            .otherwise(F.col("o.fence"))
-            .alias("fence"),
-        )
+        .select("g.lang", "g.source", "g.signal", F.col("g.rows").alias("rows"), F.col("g.fence").alias("own"), of_lang.alias("above"))
+        .withColumn("fence", F.when(F.col("rows") >= min_group, _bounded(F.col("own"), F.col("above"))).otherwise(F.col("above")))
     )
     return chosen.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("signal") == s, F.col("fence"))).alias(f"{s}_fence") for s in LEAST_SPREAD]
@@ -210,18 +212,20 @@ WITH split AS (
     FROM sketches
 ), marks AS (
     SELECT level, lang_key, source_key, signal, max(rows) AS rows,
-        min(bucket) FILTER (WHERE upto * 10 >= rows) AS low, min(bucket) FILTER (WHERE upto * 2 >= rows) AS mid
+        min(bucket) FILTER (WHERE upto * 2 >= rows) AS mid, min(bucket) FILTER (WHERE upto * 10 >= rows * 9) AS high
     FROM runs GROUP BY ALL
 ), fences AS (
     SELECT level, lang_key, source_key, signal, rows,
-        mid + 8 * greatest(mid - low, CASE signal WHEN 'symbols' THEN 5 WHEN 'dup_lines' THEN 50 ELSE 40 END) AS fence
+        mid + 8 * greatest(high - mid, CASE signal WHEN 'symbols' THEN 5 WHEN 'dup_lines' THEN 50 ELSE 40 END) AS fence
     FROM marks
 ), chosen AS (
     SELECT g.lang_key, g.source_key, g.signal,
-        CASE WHEN g.rows >= 200 THEN g.fence WHEN l.rows >= 200 THEN l.fence ELSE o.fence END AS fence
+        CASE WHEN g.rows >= 200 THEN least(g.fence, w.fence * 3 // 2) ELSE w.fence END AS fence
     FROM fences g
-    JOIN fences l ON l.level = 1 AND l.lang_key = g.lang_key AND l.signal = g.signal
-    JOIN fences o ON o.level = 2 AND o.signal = g.signal
+    JOIN (
+        SELECT l.lang_key, l.signal, CASE WHEN l.rows >= 200 THEN least(l.fence, o.fence * 3 // 2) ELSE o.fence END AS fence
+        FROM fences l JOIN fences o ON o.level = 2 AND o.signal = l.signal WHERE l.level = 1
+    ) w ON w.lang_key = g.lang_key AND w.signal = g.signal
     WHERE g.level = 0
 )
 SELECT b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words, b.base_failed,

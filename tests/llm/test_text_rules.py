@@ -60,6 +60,27 @@ def test_fences_follow_the_group(spark):
     assert all(kept[1000 + i] for i in range(300))  # what is odd in one source is usual in another
 
 
+def test_a_source_of_mostly_junk_cannot_lift_its_fence(spark):
+    prose = " ".join(f"w{k}" for k in range(100))
+    junk = " ".join(f"w{k}#" if k % 4 else f"w{k}" for k in range(100))
+    rows = [(i, prose + f" n{i}", "en", f"s{i % 4}") for i in range(2400)]
+    rows += [(5000 + i, prose + f" n{i}", "en", "bad") for i in range(120)] + [(6000 + i, junk + f" n{i}", "en", "bad") for i in range(180)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(documents(spark, rows)).collect()}
+    assert all(kept[i] for i in (*range(2400), *range(5000, 5120))) and not any(kept[6000 + i] for i in range(180))
+
+
+def test_fences_differ_between_groups(spark):
+    """Texts of one source repeat more than those of the others: its fence is higher, but at most half above its language's."""
+    calm = [("en", f"s{i % 3}", "repeats", i % 40) for i in range(3000)]
+    lively = [("en", "verse", "repeats", 45 + i % 60) for i in range(250)]
+    wild = [("en", "chant", "repeats", 300 + i % 200) for i in range(250)]
+    values = spark.createDataFrame(calm + lively + wild, "lang string, source string, signal string, value long")
+    fence = {r["source"]: r["repeats_fence"] for r in quality_rules.group_fences(values).collect()}
+    assert fence["s0"] == fence["s1"] and fence["s0"] < fence["verse"] < fence["chant"]
+    lang = quality_rules.fences(quality_rules.sketch(values, ["lang"]), ["lang"]).first()["fence"]
+    assert fence["chant"] == lang * 3 // 2
+
+
 def test_sketches_merge(spark):
     values = spark.createDataFrame([(f"l{i % 3}", f"s{i % 5}", "symbols", i * i % 997) for i in range(1000)], "lang string, source string, signal string, value long")
     whole = quality_rules.sketch(values, ["lang"])
