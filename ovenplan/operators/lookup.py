@@ -80,6 +80,29 @@ def lookup_id(
     )
 
 
+def matches(dim: DataFrame, name_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:
+    """``pattern, name`` for each distinct pattern and each distinct lower-cased name that it matches.
+
+    As in ``lookup_id``, a pattern meets only names that hold its rarest piece, or the name that it is. One of wildcards alone meets
+    the names of every length that it allows. NULL patterns and names match nothing.
+    """
+    names = dim.select(F.lower(name_col).alias("name")).distinct().dropna()
+    needle = F.lower("pattern")
+    wanted = patterns.select(F.col(pattern_col).alias("pattern")).distinct().dropna()
+    needles = wanted.select("pattern", needle.alias("needle"), _literal_runs(needle).alias("runs"))
+    has_wildcard = F.col("needle").rlike(r"[%_\\]")
+    plain = needles.filter(~has_wildcard).join(names.withColumnRenamed("name", "needle"), "needle").select("pattern", F.col("needle").alias("name"))
+    wild = needles.filter(has_wildcard)
+    counted = names.withColumns({"id": F.col("name"), "hits": F.lit(1)})
+    by_piece = _by_piece(wild.filter(F.size("runs") > 0), counted, []).select("pattern", F.col("id").alias("name"))
+    longest = names.agg(F.max(F.length("name"))).first()[0] or 0
+    least = F.length(F.regexp_replace("needle", "%", ""))
+    most = F.when(F.contains("needle", F.lit("%")), F.greatest(least, F.lit(longest))).otherwise(least)
+    by_length = wild.filter(F.size("runs") == 0).select("pattern", F.explode(F.sequence(least, most)).alias("_length"))
+    by_length = by_length.join(names.withColumn("_length", F.length("name")), "_length").select("pattern", "name")
+    return plain.unionByName(by_piece).unionByName(by_length).distinct()
+
+
 def find_id(dim: DataFrame, name_col: str, id_col: str, pattern: str) -> DataFrame:
     """``id, hits`` for one pattern given as text: a filter and an aggregate, always one row."""
     return dim.filter(like_ci(F.col(name_col), pattern)).agg(

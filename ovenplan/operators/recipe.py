@@ -17,6 +17,7 @@ from ovenplan.functions.numbers import gram_share, round_div, whole
 from ovenplan.functions.predicates import like_ci
 from ovenplan.operators.cost import cost_list
 from ovenplan.operators.demand import batch_weight
+from ovenplan.operators.lookup import matches
 
 Tables = Mapping[str, DataFrame]
 PARTS = ["percent_in_sour", "percent_in_poolish", "percent_in_soaker"]
@@ -195,3 +196,61 @@ def modded_formula(
             *_grams_columns(F.col("batch_weight"), F.col("total_percent")),
         )
     )
+
+
+def modded_formulas(tables: Tables, as_of: dt.date, requests: DataFrame) -> DataFrame:
+    """``modded_formula`` for a table of requests (columns ``dough`` and ``mod``, LIKE patterns), all in one plan.
+
+    Rows carry their request as ``get_dough`` and ``get_mod``; requests that say the same count once, and one that matches nothing or
+    holds a NULL has no rows. Weights and sums that no pattern changes are made once per product, whatever the number of requests.
+    """
+    asked = requests.select(F.col("dough").alias("get_dough"), F.col("mod").alias("get_mod")).distinct().dropna()
+    request = ["get_dough", "get_mod"]
+    products = tables["products"].select("product_id", "product_name", F.lower("product_name").alias("_name"))
+    doughs = matches(tables["products"], "product_name", asked, "get_dough").select(F.col("pattern").alias("get_dough"), F.col("name").alias("_name"))
+    mods = matches(tables["dough_mods"], "mod_name", asked, "get_mod").select(F.col("pattern").alias("get_mod"), F.col("name").alias("_mod"))
+    chosen = asked.join(doughs, "get_dough").join(products, "_name").drop("_name")
+    named = tables["dough_mods"].withColumn("_mod", F.lower("mod_name")).join(mods, "_mod").join(chosen, ["get_mod", "product_id"])
+    recipe = tables["product_ingredients"].join(chosen, "product_id")
+    kept = recipe.join(named, [*request, "product_id", "ingredient_id"], "left_anti").groupBy(*request, "product_id").agg(
+        F.sum("bakers_percent").alias("kept")
+    )
+    changed = tables["dough_mods"].groupBy("product_id").agg(F.sum("bakers_percent").alias("changed"))
+    total = (F.col("changed") + F.col("kept")).cast("decimal(15,2)").alias("total_percent")
+    totals = kept.join(changed, "product_id").select(*request, "product_id", total)
+    columns = [*request, "product_id", "product_name", "ingredient_id", "bakers_percent", *PARTS]
+    unmodded = recipe.join(tables["dough_mods"].select("ingredient_id"), "ingredient_id", "left_anti")
+    rows = named.select(*columns).unionByName(unmodded.select(*columns))
+    return (
+        rows.join(tables["ingredients"].select("ingredient_id", F.col("ingredient_name").alias("ingredient")), "ingredient_id")
+        .join(batch_weight(tables, as_of).drop("product_name"), "product_id")
+        .join(totals, [*request, "product_id"], "left")
+        .select(
+            *request,
+            F.col("product_name").alias("dough"),
+            F.col("bakers_percent").alias("%"),
+            "ingredient",
+            *_grams_columns(F.col("batch_weight"), F.col("total_percent")),
+        )
+    )
+
+
+def modified_lines(tables: Tables, as_of: dt.date) -> DataFrame:
+    """The rows from which ``modded_formula`` takes its own, with the weight ``w`` of their product: those of all modifications, and
+    with a NULL ``mod_name`` the recipe rows whose ingredient no modification names."""
+    products = batch_weight(tables, as_of).select("product_id", "product_name", F.col("batch_weight").alias("w"))
+    free = tables["product_ingredients"].join(tables["dough_mods"].select("ingredient_id"), "ingredient_id", "left_anti")
+    columns = ["product_id", "ingredient_id", "bakers_percent", *PARTS]
+    rows = tables["dough_mods"].select("mod_name", *columns).unionByName(free.select(*columns), allowMissingColumns=True)
+    names = tables["ingredients"].select("ingredient_id", F.col("ingredient_name").alias("ingredient"))
+    return rows.join(names, "ingredient_id").join(products, "product_id")
+
+
+def modified_counts(tables: Tables) -> DataFrame:
+    """Every recipe row with each modification of it, and ``changed``, the percent of all modifications of its product."""
+    changed = tables["dough_mods"].groupBy("product_id").agg(F.sum("bakers_percent").alias("changed"))
+    mods = tables["dough_mods"].select("product_id", "ingredient_id", "mod_name")
+    recipe = tables["product_ingredients"].select("product_id", "ingredient_id", "bakers_percent")
+    rows = recipe.join(mods, ["product_id", "ingredient_id"], "left")
+    products = tables["products"].select("product_id", "product_name").join(changed, "product_id", "left")
+    return products.join(rows, "product_id", "left")

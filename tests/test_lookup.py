@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+from ovenplan.operators import lookup
 from ovenplan.operators.lookup import complete, find_id, lookup_id, resolve_keys
 from tests.conftest import rows
 
@@ -81,3 +82,14 @@ def test_resolve_keys_and_rejects(spark):
         (None, "k", 3, False),
         (None, None, 4, False),
     ]
+
+
+def test_matches_are_all_pairs_that_like_gives(spark):
+    names = ["Alpha", "alpha", "beta%", "be_ta", "", "ab", "a", "Zürich", None]
+    patterns = ["alpha", "%a%", "%", "_", "__%", "", "be\\_ta", "%\\%", "zü%", "x%", "%_", "a%a", None]
+    dim = spark.createDataFrame([(n,) for n in names], "name string")
+    asked = spark.createDataFrame([(p,) for p in patterns], "p string")
+    found = {tuple(r) for r in lookup.matches(dim, "name", asked, "p").collect()}
+    lower = dim.selectExpr("lower(name) AS name").distinct()
+    pairs = asked.distinct().crossJoin(lower).filter("name LIKE lower(p)").select("p", "name")
+    assert found == {tuple(r) for r in pairs.collect()}

@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 
+from ovenplan.operators import recipe
 from ovenplan.plans.sql_functions import register_functions
 from ovenplan.plans.views import VIEWS, register_views
 from tests.conftest import MONDAY, make, rows
@@ -21,12 +22,17 @@ EMPTY = [
 ]
 
 
+REQUESTS = [("KAM%", "cran%"), ("%", "%"), ("kam%", "no%"), ("%", "_%_"), ("pizza dough", "%"), ("none%", "%"), (None, "%"), ("KAM%", "cran%"), ("___%", "%RAN%")]
+
+
 @pytest.fixture(scope="module")
 def sql(spark, bakery):
     phones = make(spark, "phones", [dict(party_id="mill", phone_type="b", phone_no="608-555-0147")])
     tables = {**bakery, "phones": phones, **{name: make(spark, name, []) for name in EMPTY}}
     assert set(register_views(spark, tables, MONDAY)) == set(VIEWS)
-    register_functions(spark, tables, MONDAY)
+    requests = spark.createDataFrame(REQUESTS, "dough string, mod string")
+    requests.createOrReplaceTempView("requests")
+    register_functions(spark, tables, MONDAY, requests)
     return spark.sql
 
 
@@ -55,3 +61,21 @@ def test_scalar_functions(sql):
         "percent_change(6.00, NULL) AS z"
     ).collect()
     assert tuple(row) == (4800, Decimal("207.20"), "blow", "pizza", "sea salt", "boule", None, Decimal("15.4"), None)
+
+
+def test_two_patterns_equal_the_python_function(sql, spark, bakery):
+    """Each request by the literal function, by the lateral join and by the function of one request."""
+    lateral = rows(sql("SELECT r.dough AS a, r.mod AS b, f.* FROM (SELECT DISTINCT * FROM requests) r, LATERAL requested_formula(r.dough, r.mod) f"))
+    assert {r[:2] for r in lateral} >= {("KAM%", "cran%"), ("%", "%")} and all(None not in r[:2] for r in lateral)
+    for dough, mod in {r for r in REQUESTS if None not in r}:
+        wanted = rows(recipe.modded_formula(bakery, MONDAY, dough, mod))
+        assert [r[2:] for r in lateral if r[:2] == (dough, mod)] == wanted
+        assert rows(sql(f"SELECT * FROM modded_formula('{dough}', '{mod}')")) == wanted
+        totals = [r["total_percent"] for r in recipe.mod_total(bakery, dough, mod).collect()]
+        assert sql(f"SELECT bak_per2('{dough}', '{mod}')").first()[0] == min(totals, default=None)
+
+
+def test_lateral_requests_join_by_equality(sql):
+    found = sql("SELECT r.*, f.* FROM requests r, LATERAL requested_formula(r.dough, r.mod) f")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
