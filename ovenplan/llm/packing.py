@@ -205,7 +205,7 @@ class WordIds:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         if older:
-            again = words.intersection(older)
+            again = [w for w in words if w in older]  # not a set operation, which would go through all of the dictionary
             known.update(zip(again, map(older.__getitem__, again), strict=True))
             words = words.difference(again)
         letters = [w for w in words if w.isalpha()]
@@ -216,9 +216,9 @@ class WordIds:
                 odd.append(word)
             else:
                 cut.append((word, *parts.groups()))
-        stems = {stem for _, stem, _ in cut}.difference(known, letters)
-        letters += stems
-        odd += {signs for _, _, signs in cut}.difference(known, odd)
+        # Each difference has one operand: with a dictionary as one of several, Python would go through all of it.
+        letters += {stem for _, stem, _ in cut}.difference(known).difference(letters)
+        odd += {signs for _, _, signs in cut}.difference(known).difference(odd)
         # Words of letters alone end in one marked id each, so many can be encoded as one text and cut at the marks.
         ids = np.array(self._whole(" ".join(letters)), np.uint32)
         ends = np.flatnonzero(self.closes[ids]) + 1
