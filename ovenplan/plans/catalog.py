@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from ovenplan.functions.labels import EMAIL_TYPES, PHONE_TYPES, decode
 from ovenplan.functions.numbers import per_gram, percent_change
 from ovenplan.functions.predicates import like_ci, recent, weekday_of
-from ovenplan.operators import cost, demand, directory, history, lookup, quality, recipe, snapshots
+from ovenplan.operators import cost, demand, directory, history, intake, lookup, quality, recipe, snapshots
 from ovenplan.plans.sql_functions import register_functions
 from ovenplan.plans.views import VIEWS, register_views
-from ovenplan.schemas import TABLES, Reference
+from ovenplan.schemas import TABLES, TABLES_V1
 from ovenplan.session import shared_folder, tune
-from ovenplan.sources.binding import AS_OF, Bakery, bind, bind_v1, read_sources
+from ovenplan.sources.binding import AS_OF, Bakery, bind, bind_v1, declared_v1, read_sources
 from ovenplan.streaming.changes import read_log, stream_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +173,28 @@ def snk_append(t: Bakery) -> DataFrame:
     return snapshots.append_rows(known, snapshots.fill_defaults(incoming, "special_orders", noon()))
 
 
+@on_tables("snk_checked_append")
+def snk_checked_append(t: Bakery) -> DataFrame:
+    """Orders placed from the planning date on, some spoilt, some sent twice, and some that are stored already."""
+    orders = t["special_orders"]
+    known = orders.filter(F.col("created") < noon())
+    fresh = orders.filter(F.col("created") >= noon())
+    spoilt = fresh.withColumns(
+        {
+            "io": F.when(F.col("customer_id") % 11 == 0, F.lit("x")).otherwise(F.col("io")),
+            "amt": F.when(F.col("product_id") % 13 == 1, 0).when(F.col("product_id") % 13 != 0, F.col("amt")),
+            "shape_id": F.when((F.col("shape_id") == 7) & (F.col("customer_id") % 3 == 0), 99).otherwise(F.col("shape_id")),
+        }
+    )
+    batch = [spoilt, fresh.filter("amt = 50"), known.filter("amt = 49")]
+    incoming = reduce(DataFrame.unionByName, [df.withColumn("seq", F.lit(k)) for k, df in enumerate(batch)])
+    stored = {name: t[name] for name in ("products", "shapes", "parties")} | {"special_orders": known}
+    split = intake.checked_append(stored, "special_orders", incoming, AS_OF, ["seq", "amt", "io"])
+    columns = ["delivery_date", "customer_id", "io", "product_id", "shape_id", "amt", "created"]
+    taken = split.accepted.select(*columns, F.lit("").alias("reasons"))
+    return taken.unionByName(split.rejected.select(*columns, F.array_join("reasons", " ").alias("reasons")))
+
+
 @on_tables("snk_defaults")
 def snk_defaults(t: Bakery) -> DataFrame:
     recipe_in = t["product_ingredients"].drop("percent_in_soaker").withColumns(
@@ -565,10 +587,27 @@ def sql_scalar_functions(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(
         "SELECT get_batch_weight('RED%') AS weight, bak_per('red%') AS percent, pid('%#%7') AS party, prid('% 1_') AS product, "
         "iid('supplier%') AS ingredient, sid('SHAPE _') AS shape, pid('nobody') AS nobody, percent_change(6.00, 5.20) AS up, "
-        "percent_change(4.11, 5.20, 3) AS down"
+        "percent_change(4.11, 5.20, 3) AS down, bak_per2('RED%', 'mod o%') AS modded"
     )
 
 
+def requests(t: Bakery) -> DataFrame:
+    """A pattern of products and one of modifications for every nation."""
+    number = F.col("n_nationkey")
+    mod = F.when(number % 2 == 0, F.lit("mod o%")).otherwise(F.lit("MOD _"))
+    return t.sources["nation"].select(F.concat(F.lit("% "), number, F.lit("_")).alias("dough"), mod.alias("mod"))
+
+
+@query("sql_requests")
+def sql_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """The table function of two patterns, as a lateral join on a table of requests."""
+    t = logged(spark, folder)
+    register_views(spark, t, AS_OF)
+    register_functions(spark, t, AS_OF, requests(t))
+    requests(t).createOrReplaceTempView("requests")
+    return spark.sql("SELECT r.dough AS get_dough, r.mod AS get_mod, f.* FROM requests r, LATERAL requested_formula(r.dough, r.mod) f")
+
+
 @query("sql_table_functions")
 def sql_table_functions(spark: SparkSession, folder: str) -> DataFrame:
     """The table SQL functions over the registered views."""
@@ -576,7 +615,9 @@ def sql_table_functions(spark: SparkSession, folder: str) -> DataFrame:
     register_views(spark, t, AS_OF)
     register_functions(spark, t, AS_OF)
     lines = spark.sql("SELECT product AS name, ingredient AS detail, CAST(overall AS STRING) AS value FROM formula('RED%')")
-    return lines.unionByName(spark.sql("SELECT name, phone_type AS detail, phone_no AS value FROM phone_search('%supplier#%7')"))
+    modded = spark.sql("SELECT dough AS name, ingredient AS detail, CAST(overall AS STRING) AS value FROM modded_formula('RED%', 'mod o%')")
+    phones = spark.sql("SELECT name, phone_type AS detail, phone_no AS value FROM phone_search('%supplier#%7')")
+    return lines.unionByName(modded).unionByName(phones)
 
 
 @on_tables("ingredient_list")
@@ -687,59 +728,68 @@ def cdc_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("dq_check")
 def dq_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Every rule of every declared table, change logs included. A table that isn't bound is an error, not a gap."""
+    """Every rule of every declared table of both generations, change logs included. A table that isn't bound is an error, not a gap."""
     before = logged(spark, folder)
     t = before.with_tables({"product_ingredients_changes": lambda _: cdc_recipe_log(before)})
     reports = [
-        quality.check_rules(t[name], declared.rules, declared.key or declared.names, AS_OF).select(
-            F.lit(name).alias("table_name"), "rule", "key", "value"
+        quality.check_rules(tables[name], declared.rules, declared.key or declared.names, AS_OF).select(
+            F.lit(generation).alias("generation"), F.lit(name).alias("table_name"), "rule", "key", "value"
         )
-        for name, declared in TABLES.items()
+        for generation, tables, schemas in ((2, t, TABLES), (1, declared_v1(t), TABLES_V1))
+        for name, declared in schemas.items()
         if declared.rules
     ]
     return reduce(DataFrame.unionByName, reports)
 
 
-@on_tables("dq_not_null")
-def dq_not_null(t: Bakery) -> DataFrame:
-    """Changes without an end and phones without times, against columns that may not be NULL."""
-    changes = quality.check_not_null(t["tmp_chng"], ["start_date", "resume_date"], TABLES["tmp_chng"].key)
-    phones = quality.check_not_null(
-        t["phones"], ["phone_type", "phone_no", "created", "modified"], TABLES["phones"].key
-    )
-    return changes.unionByName(phones)
+def flawed(spark: SparkSession, folder: str) -> Bakery:
+    """The bound tables and change logs with faults put in: parents cut, keys and names repeated, values taken out."""
+    t = logged(spark, folder)
+    gone = lambda column, test: F.when(~F.expr(test), F.col(column))
+    named = F.when(F.col("product_id") % 50 == 0, F.lit("nameless")).otherwise(F.col("product_name"))
+    faults = {
+        "products": t["products"].filter("is_dough").withColumns({"product_name": named, "lead_time_days": gone("lead_time_days", "product_id % 17 = 0")}),
+        "parties": t["parties"].filter("party_type = 'i' OR party_id % 7 <> 0"),
+        "phones": t["phones"].withColumn("phone_no", F.when(F.col("phone_type") == "m", (F.col("party_id") % 100).cast("string")).otherwise(F.col("phone_no"))),
+        "shapes": t["shapes"].filter("shape_id <> 7").withColumn("shape_name", F.when(F.col("shape_id") == 6, F.lit("shape 5")).otherwise(F.col("shape_name"))),
+        "standing_orders": t["standing_orders"].filter("amt >= 10"),
+        "ingredients": t["ingredients"].filter("ingredient_id % 9 <> 0"),
+        "zip_codes": t["zip_codes"].filter("zip <> '10003'"),
+        "special_orders": t["special_orders"].unionByName(t["special_orders"].filter("amt = 50")),
+        "staff_st": t["staff_st"].withColumn("hire_date", gone("hire_date", "party_id % 13 = 0")),
+        "tmp_chng": t["tmp_chng"].withColumn("percent_multiplier", gone("percent_multiplier", "product_id % 11 = 0")),
+    }
+    late = F.when(F.col("product_id") % 5 == 0, F.col("lead_time_days") + 8).otherwise(F.col("lead_time_days"))
+    faults["products_v1"] = faults["products"].withColumn("lead_time_days", late)
+    day = F.when(F.col("day_of_week") == 0, 7).otherwise(F.col("day_of_week")).cast("smallint")
+    faults["standing_orders_v1"] = faults["standing_orders"].withColumn("day_of_week", day)
+    faults["product_ingredients_changes"] = cdc_recipe_log(t)
+    return t.with_tables({name: lambda _, df=df: df for name, df in faults.items()})
+
+
+def both_generations(spark: SparkSession, folder: str, check: Callable[[Mapping[str, DataFrame], Mapping], DataFrame]) -> DataFrame:
+    """A check over every declared table of the current and of the first generation."""
+    t = flawed(spark, folder)
+    current, first = check(t, TABLES), check(declared_v1(t), TABLES_V1)
+    return current.withColumn("generation", F.lit(2)).unionByName(first.withColumn("generation", F.lit(1)))
+
+
+@query("dq_not_null")
+def dq_not_null(spark: SparkSession, folder: str) -> DataFrame:
+    """Missing values of every declared table, with faults put in."""
+    return both_generations(spark, folder, quality.check_missing)
 
 
 @query("dq_unique")
 def dq_unique(spark: SparkSession, folder: str) -> DataFrame:
-    """Part names alone and line keys repeat; the bound keys do not."""
-    t = bind(spark, folder)
-    reports = [
-        quality.check_unique(t.sources["part"], ["p_name"], "part_name_unique"),
-        quality.check_unique(t.sources["lineitem"], ["l_orderkey", "l_linenumber"], "order_line_unique"),
-        quality.check_unique(t["special_orders"], list(TABLES["special_orders"].key), "special_orders_key"),
-        quality.check_unique(t["products"], ["product_name"], "product_name_unique"),
-    ]
-    return reduce(DataFrame.unionByName, reports)
+    """Repeated keys of every declared table, with faults put in."""
+    return both_generations(spark, folder, quality.check_keys).filter("kind = 'unique'").drop("kind")
 
 
-@on_tables("dq_foreign_key")
-def dq_foreign_key(t: Bakery) -> DataFrame:
-    """Against parents that lack small sizes, customers in debt and small weekly orders."""
-    standing = Reference(
-        ("day_of_week", "customer_id", "product_id", "shape_id"),
-        "standing_orders",
-        ("day_of_week", "customer_id", "product_id", "shape_id"),
-    )
-    product = Reference(("product_id",), "products", ("product_id",))
-    customer = Reference(("customer_id", "io"), "staff_st", ("party_id", "party_type"))
-    doughs = t["products"].filter("is_dough")
-    large = t["standing_orders"].filter("amt >= 10")
-    return (
-        quality.check_fk(t["product_shapes"], doughs, product, "product_shapes_product")
-        .unionByName(quality.check_fk(t["special_orders"], t["staff_st"], customer, "special_orders_customer"))
-        .unionByName(quality.check_fk(t["tmp_chng"], large, standing, "tmp_chng_standing"))
-    )
+@query("dq_foreign_key")
+def dq_foreign_key(spark: SparkSession, folder: str) -> DataFrame:
+    """References without a parent in every declared table, with faults put in."""
+    return both_generations(spark, folder, quality.check_keys).filter("kind = 'reference'").drop("kind")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

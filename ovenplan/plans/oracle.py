@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from ovenplan.schemas import TABLES, TABLES_V1, Table
 from ovenplan.sources.binding import AS_OF
 
 DAY = f"DATE '{AS_OF.isoformat()}'"
@@ -133,6 +134,41 @@ CTES = {
     "standing_v1": """SELECT * REPLACE (CASE day_of_week WHEN 0 THEN 7 ELSE day_of_week END AS day_of_week)
         FROM standing_orders""",
     # Whoever shares an id shares its labels: an organization's row shows the first name of the person with the same id.
+    "doughs_v1": "SELECT product_id AS dough_id, product_name AS dough_name, lead_time_days FROM products_v1",
+    "dough_shapes_v1": "SELECT product_id AS dough_id, shape_id, grams AS ds_grams FROM product_shapes",
+    "dough_ingredients_v1": "SELECT * RENAME (product_id AS dough_id) FROM product_ingredients",
+    "special_v1": """SELECT l_orderkey * 10 + l_linenumber AS special_order_id, o_custkey AS customer_id, 'i' AS customer_type,
+        l_partkey AS dough_id, l_linenumber AS shape_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "days_v1": "SELECT CASE dow_id WHEN 0 THEN 7 ELSE dow_id END AS dow_id, dow_names FROM days_of_week",
+    "orders_v1": "SELECT day_of_week, customer_id, io AS customer_type, product_id AS dough_id, shape_id FROM standing_v1",
+    "holds_v1": """SELECT day_of_week || '-' || customer_id || '-' || product_id || '-' || shape_id AS hold_id, day_of_week, customer_id,
+        product_id AS dough_id, shape_id, decrease_percent FROM holds""",
+    "bad_products": """SELECT * REPLACE (CASE WHEN product_id % 50 = 0 THEN 'nameless' ELSE product_name END AS product_name,
+        CASE WHEN product_id % 17 <> 0 THEN lead_time_days END AS lead_time_days) FROM products WHERE is_dough""",
+    "bad_parties": "SELECT * FROM parties WHERE party_type = 'i' OR party_id % 7 <> 0",
+    "bad_phones": "SELECT * REPLACE (CASE phone_type WHEN 'm' THEN CAST(party_id % 100 AS VARCHAR) ELSE phone_no END AS phone_no) FROM phones",
+    "bad_shapes": "SELECT * REPLACE (CASE shape_id WHEN 6 THEN 'shape 5' ELSE shape_name END AS shape_name) FROM shapes WHERE shape_id <> 7",
+    "bad_standing": "SELECT * FROM standing_orders WHERE amt >= 10",
+    "bad_ingredients": "SELECT * FROM ingredients WHERE ingredient_id % 9 <> 0",
+    "bad_zips": "SELECT * FROM zip_codes WHERE zip <> '10003'",
+    "bad_special": "SELECT * FROM special_orders UNION ALL SELECT * FROM special_orders WHERE amt = 50",
+    "bad_staff": "SELECT * REPLACE (CASE WHEN party_id % 13 <> 0 THEN hire_date END AS hire_date) FROM staff_st",
+    "bad_changes": "SELECT * REPLACE (CASE WHEN product_id % 11 <> 0 THEN percent_multiplier END AS percent_multiplier) FROM tmp_chng",
+    "bad_doughs": "SELECT product_id AS dough_id, product_name AS dough_name, lead_time_days FROM bad_products",
+    "bad_orders": """SELECT CASE day_of_week WHEN 0 THEN 7 ELSE day_of_week END AS day_of_week, customer_id, io AS customer_type,
+        product_id AS dough_id, shape_id FROM bad_standing""",
+    "arrived": f"""SELECT * REPLACE (CASE WHEN customer_id % 11 = 0 THEN 'x' ELSE io END AS io,
+          CASE WHEN product_id % 13 = 1 THEN 0 WHEN product_id % 13 <> 0 THEN amt END AS amt,
+          CASE WHEN shape_id = 7 AND customer_id % 3 = 0 THEN 99 ELSE shape_id END AS shape_id), 0 AS seq FROM special_orders WHERE created >= {NOON}
+        UNION ALL SELECT *, 1 FROM special_orders WHERE created >= {NOON} AND amt = 50
+        UNION ALL SELECT *, 2 FROM special_orders WHERE created < {NOON} AND amt = 49""",
+    "judged": f"""SELECT *, concat_ws(' ', CASE WHEN amt <= 0 THEN 'amt_greater_than_0' END, CASE WHEN amt IS NULL THEN 'amt_not_null' END,
+          CASE WHEN io = 'x' THEN 'customer_id_io_in_parties' END, CASE WHEN created < {NOON} THEN 'delivery_date_customer_id_product_id_shape_id_created_unique' END,
+          CASE WHEN delivery_date >= {DAY} + INTERVAL 6 MONTH THEN 'delivery_date_in_next_6_mons' END,
+          CASE WHEN delivery_date < {DAY} THEN 'delivery_date_present_or_future' END,
+          CASE WHEN io = 'x' THEN 'io_i_or_o' END, CASE WHEN shape_id = 99 THEN 'shape_id_in_shapes' END) AS reasons FROM arrived""",
+    "arranged": """SELECT *, row_number() OVER (PARTITION BY reasons = '', delivery_date, customer_id, product_id, shape_id, created
+        ORDER BY seq, amt, io) AS turn FROM judged""",
     "called": """SELECT holder AS party_id, CASE WHEN given IS NULL THEN family ELSE given || ' ' || family END AS name
         FROM (SELECT party_id AS holder, party_name AS family FROM parties)
         FULL JOIN (SELECT party_id AS person, first_name AS given FROM people_st) ON holder = person""",
@@ -218,6 +254,19 @@ CTES = {
           UNION ALL SELECT product_id, ingredient_id, bakers_percent, {PARTS} FROM product_ingredients
           WHERE ingredient_id NOT IN (SELECT ingredient_id FROM dough_mods)) r
         JOIN products USING (product_id) JOIN ingredients i ON r.ingredient_id = i.ingredient_id""",
+    "requests": """SELECT '% ' || n_nationkey || '_' AS get_dough, CASE WHEN n_nationkey % 2 = 0 THEN 'mod o%' ELSE 'MOD _' END AS get_mod
+        FROM nation""",
+    "asked": """SELECT get_dough, get_mod, product_id, product_name FROM requests JOIN products ON lower(product_name) LIKE lower(get_dough)""",
+    "asked_mods": """SELECT a.get_dough, a.get_mod, a.product_name, m.* FROM asked a JOIN dough_mods m USING (product_id)
+        WHERE lower(m.mod_name) LIKE lower(a.get_mod)""",
+    "asked_totals": """SELECT get_dough, get_mod, product_id, sum(bakers_percent) + (SELECT sum(m.bakers_percent) FROM dough_mods m
+          WHERE m.product_id = a.product_id) AS t
+        FROM asked a JOIN product_ingredients i USING (product_id) WHERE NOT EXISTS (SELECT 1 FROM asked_mods n
+          WHERE n.get_dough = a.get_dough AND n.get_mod = a.get_mod AND n.product_id = i.product_id AND n.ingredient_id = i.ingredient_id)
+        GROUP BY get_dough, get_mod, product_id""",
+    "asked_lines": f"""SELECT get_dough, get_mod, product_id, product_name, ingredient_id, bakers_percent, {PARTS} FROM asked_mods
+        UNION ALL SELECT get_dough, get_mod, product_id, product_name, ingredient_id, bakers_percent, {PARTS}
+        FROM asked JOIN product_ingredients USING (product_id) WHERE ingredient_id NOT IN (SELECT ingredient_id FROM dough_mods)""",
     "costs_after": """SELECT * REPLACE (CASE WHEN cost < 500 THEN grams * 2 ELSE grams END AS grams) FROM (
         SELECT * REPLACE (CAST(CASE WHEN grams >= 200 THEN cost + 0.80 ELSE cost END AS DECIMAL(10,5)) AS cost)
         FROM ingredient_costs)""",
@@ -332,13 +381,77 @@ def _checks() -> str:
                                         [("bp_positive", "new_bakers_percent > 0", "new_bakers_percent"), *part_rules]),
     }
     return " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, '{rule}' AS rule, CAST({key} AS VARCHAR) AS key, CAST({value} AS VARCHAR) AS value "
-        f"FROM {source} WHERE NOT ({condition})"
-        for name, (source, key, rules) in ({name: (name, *rest) for name, rest in tables.items()} | logs).items()
+        f"SELECT {generation} AS generation, '{name}' AS table_name, '{rule}' AS rule, CAST({key} AS VARCHAR) AS key, "
+        f"CAST({value} AS VARCHAR) AS value FROM {source} WHERE NOT ({condition})"
+        for generation, name, (source, key, rules) in [
+            *((2, name, checks) for name, checks in ({name: (name, *rest) for name, rest in tables.items()} | logs).items()),
+            *((1, name, (_FIRST[name], _joined(declared.key), [(r.name, r.condition, r.value) for r in declared.rules]))
+              for name, declared in TABLES_V1.items()),
+        ]
         for rule, condition, value in rules
     )
 
 
+def _joined(columns: tuple[str, ...]) -> str:
+    return " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+
+
+# Expressions that stand for a declared table: in the current generation, in the first, and with faults put in.
+_CURRENT = {name: name for name in TABLES} | {
+    "cost_change_log": "cost_log", "standing_change_log": "standing_log", "product_ingredients_changes": "recipe_log",
+}
+_FIRST = {name: name for name in TABLES_V1} | {
+    "doughs": "doughs_v1", "dough_shapes": "dough_shapes_v1", "dough_ingredients": "dough_ingredients_v1", "special_orders": "special_v1",
+    "days_of_week": "days_v1", "standing_orders": "orders_v1", "holds": "holds_v1",
+}
+_FLAWED = {
+    "products": "bad_products", "parties": "bad_parties", "phones": "bad_phones", "shapes": "bad_shapes", "standing_orders": "bad_standing",
+    "ingredients": "bad_ingredients", "zip_codes": "bad_zips", "special_orders": "bad_special", "staff_st": "bad_staff", "tmp_chng": "bad_changes",
+    "doughs_v1": "bad_doughs", "orders_v1": "bad_orders",
+}
+# Columns that the bound tables lack.
+_ABSENT = {"created", "modified", "change_time"}
+
+
+def _declared() -> list[tuple[int, str, Table, dict[str, str]]]:
+    def faulty(names: dict[str, str]) -> dict[str, str]:
+        return {name: _FLAWED.get(source, source) for name, source in names.items()}
+
+    return [(2, name, table, faulty(_CURRENT)) for name, table in TABLES.items()] + [
+        (1, name, table, faulty(_FIRST)) for name, table in TABLES_V1.items()
+    ]
+
+
+def _missing() -> str:
+    return " UNION ALL ".join(
+        f"SELECT {generation} AS generation, '{name}' AS table_name, '{column}_not_null' AS rule, {_joined(table.key)} AS key "
+        f"FROM {of[name]} WHERE {column} IS NULL"
+        for generation, name, table, of in _declared()
+        for column in ("hire_date", "lead_time_days", "percent_multiplier", *table.key)
+        if column in table.not_null and column not in _ABSENT
+    )
+
+
+def _repeated() -> str:
+    return " UNION ALL ".join(
+        f"SELECT {generation} AS generation, '{name}' AS table_name, '{'_'.join(columns)}_unique' AS rule, {_joined(columns)} AS key, "
+        f"count(*) AS n_rows FROM {of[name]} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)} GROUP BY {', '.join(columns)} HAVING count(*) > 1"
+        for generation, name, table, of in _declared()
+        for columns in [table.key, *table.unique]
+        if columns
+    )
+
+
+def _unreferred() -> str:
+    return " UNION ALL ".join(
+        f"SELECT {generation} AS generation, '{name}' AS table_name, '{'_'.join(r.columns)}_in_{r.parent}' AS rule, {_joined(r.columns)} AS key, "
+        f"count(*) AS n_rows FROM {of[name]} c WHERE {' AND '.join(f'{x} IS NOT NULL' for x in r.columns)} AND NOT EXISTS (SELECT 1 FROM {of[r.parent]} p "
+        f"WHERE {' AND '.join(f'p.{y} = c.{x}' for x, y in zip(r.columns, r.parent_columns, strict=True))}) GROUP BY {', '.join(r.columns)}"
+        for generation, name, table, of in _declared()
+        for r in table.references
+    )
+
+
 def _lookups() -> str:
     patterns = {
         "pid": ("SELECT '%' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS pattern FROM nation",
@@ -368,6 +481,9 @@ ORACLE = {
     "snk_append": f"""SELECT CAST(delivery_date AS VARCHAR) AS delivery_date, customer_id, io, product_id, shape_id, amt,
         CASE WHEN created < {NOON} THEN CAST(created AS VARCHAR) ELSE '{AS_OF.isoformat()} 12:00:00' END AS created,
         CASE WHEN created >= {NOON} THEN '{AS_OF.isoformat()} 12:00:00' END AS modified FROM special_orders""",
+    "snk_checked_append": """SELECT CAST(delivery_date AS VARCHAR) AS delivery_date, customer_id, io, product_id, shape_id, CAST(amt AS BIGINT) AS amt,
+        CAST(created AS VARCHAR) AS created, CASE WHEN reasons = '' AND turn > 1
+          THEN 'delivery_date_customer_id_product_id_shape_id_created_unique' ELSE reasons END AS reasons FROM arranged""",
     "snk_defaults": f"""SELECT product_id, ingredient_id, CAST(bakers_percent AS VARCHAR) AS bakers_percent,
         CAST(percent_in_sour AS VARCHAR) AS percent_in_sour, CAST(percent_in_poolish AS VARCHAR) AS percent_in_poolish,
         CAST(CAST(0 AS DECIMAL(18,6)) AS VARCHAR) AS percent_in_soaker, '{AS_OF.isoformat()} 12:00:00' AS created,
@@ -474,10 +590,16 @@ ORACLE = {
         (SELECT min(product_id) FROM products WHERE product_name LIKE '% 1_') AS product,
         (SELECT min(ingredient_id) FROM ingredients WHERE ingredient_name LIKE 'Supplier%') AS ingredient,
         (SELECT min(shape_id) FROM shapes WHERE shape_name LIKE 'shape _') AS shape,
+        (SELECT min(total_percent) FROM mod_totals JOIN products USING (product_id) WHERE lower(product_name) LIKE 'red%') AS modded,
         CAST(NULL AS BIGINT) AS nobody, 15.4::DOUBLE AS up, -20.962::DOUBLE AS down""",
-    "sql_table_functions": """SELECT product AS name, ingredient AS detail, CAST(overall AS VARCHAR) AS value FROM formula
+    "sql_table_functions": f"""SELECT product AS name, ingredient AS detail, CAST(overall AS VARCHAR) AS value FROM formula
         WHERE lower(product) LIKE 'red%' UNION ALL
+        SELECT product_name, ingredient, CAST(CAST({share('batch_weight')} AS BIGINT) AS VARCHAR) FROM modded_recipe
+        LEFT JOIN mod_totals USING (product_id) JOIN weights USING (product_id, product_name) WHERE lower(product_name) LIKE 'red%' UNION ALL
         SELECT name, type, phone_no FROM phone_book WHERE lower(name) LIKE '%supplier#%7'""",
+    "sql_requests": f"""SELECT get_dough, get_mod, product_name AS dough, CAST(bakers_percent AS DOUBLE) AS "%", ingredient_name AS ingredient,
+        {grams_columns('batch_weight')} FROM asked_lines LEFT JOIN asked_totals USING (get_dough, get_mod, product_id)
+        JOIN weights USING (product_id, product_name) JOIN ingredients USING (ingredient_id)""",
     "phone_search": """SELECT name, type AS phone_type, phone_no FROM phone_book
         WHERE lower(name) LIKE lower('%SUPPLIER#%7')""",
     "staff_list_v1": "SELECT staff_addresses.*, mobile FROM mobiles JOIN staff_addresses USING (party_id)",
@@ -501,26 +623,9 @@ ORACLE = {
         SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS old_value, value AS new_value
         FROM events) WHERE old_value <> new_value""",
     "dq_check": _checks(),
-    "dq_not_null": """SELECT 'resume_date_not_null' AS rule, day_of_week || '|' || customer_id || '|' || product_id || '|' || shape_id
-        || '|' || start_date AS key, CAST(NULL AS VARCHAR) AS value FROM tmp_chng WHERE resume_date IS NULL
-        UNION ALL SELECT 'created_not_null', party_id || '|' || phone_type, NULL FROM phones WHERE created IS NULL
-        UNION ALL SELECT 'modified_not_null', party_id || '|' || phone_type, NULL FROM phones WHERE modified IS NULL""",
-    "dq_unique": """SELECT 'part_name_unique' AS rule, p_name AS key, count(*) AS n_rows FROM part GROUP BY p_name HAVING count(*) > 1
-        UNION ALL SELECT 'order_line_unique', l_orderkey || '|' || l_linenumber, count(*) FROM lineitem
-          GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
-        UNION ALL SELECT 'special_orders_key', delivery_date || '|' || customer_id || '|' || product_id || '|' || shape_id || '|'
-          || created, count(*) FROM special_orders GROUP BY delivery_date, customer_id, product_id, shape_id, created
-          HAVING count(*) > 1
-        UNION ALL SELECT 'product_name_unique', product_name, count(*) FROM products GROUP BY product_name
-          HAVING count(*) > 1""",
-    "dq_foreign_key": """SELECT 'product_shapes_product' AS rule, CAST(product_id AS VARCHAR) AS key, count(*) AS n_rows
-        FROM product_shapes WHERE product_id NOT IN (SELECT product_id FROM products WHERE is_dough) GROUP BY product_id
-        UNION ALL SELECT 'special_orders_customer', customer_id || '|' || io, count(*) FROM special_orders
-          WHERE customer_id NOT IN (SELECT party_id FROM staff_st) GROUP BY customer_id, io
-        UNION ALL SELECT 'tmp_chng_standing', c.day_of_week || '|' || c.customer_id || '|' || c.product_id || '|' || c.shape_id,
-          count(*) FROM tmp_chng c WHERE NOT EXISTS (SELECT 1 FROM standing_orders s WHERE s.amt >= 10
-          AND s.day_of_week = c.day_of_week AND s.customer_id = c.customer_id AND s.product_id = c.product_id
-          AND s.shape_id = c.shape_id) GROUP BY c.day_of_week, c.customer_id, c.product_id, c.shape_id""",
+    "dq_not_null": _missing(),
+    "dq_unique": _repeated(),
+    "dq_foreign_key": _unreferred(),
 }
 ORACLE["cdc_stream"] = ORACLE["cdc_feed"]
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ovenplan.functions.labels import WEEKDAYS, decode
 from ovenplan.functions.predicates import weekday_of
+from ovenplan.schemas import TABLES_V1, V1_COLUMN_NAMES
 
 SOURCES = {
     "region": "r_regionkey int, r_name string",
@@ -85,6 +86,29 @@ def bind_v1(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
+def declared_v1(bakery: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables of the first generation under their own names and columns, from the current ones."""
+    back = {new: old for old, new in V1_COLUMN_NAMES.items()}
+    held = ["day_of_week", "customer_id", "product_id", "shape_id"]
+    sources = {
+        **{name: name for name in TABLES_V1},
+        "doughs": "products_v1",
+        "dough_shapes": "product_shapes",
+        "dough_ingredients": "product_ingredients",
+        "special_orders": "special_orders_v1",
+        "days_of_week": "days_of_week_v1",
+        "standing_orders": "standing_orders_v1",
+    }
+    out = {}
+    for name, source in sources.items():
+        df = bakery[source]
+        if name == "holds":
+            df = df.withColumn("hold_id", F.concat_ws("-", *[F.col(c).cast("string") for c in held]))
+        df = df.withColumnsRenamed({new: old for new, old in back.items() if new in df.columns})
+        out[name] = df.select(*[c for c in TABLES_V1[name].names if c in df.columns])
+    return out
+
+
 def _pick(code: Column, values: Mapping[int, int], kind: str) -> Column:
     return decode(code, values).cast(kind)
 
@@ -306,6 +330,21 @@ def special_orders(src: Sources) -> DataFrame:
     )
 
 
+def special_orders_v1(src: Sources) -> DataFrame:
+    """Orders with a number of their own: that of the order and of the line."""
+    lines = _order_lines(src)
+    return lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("special_order_id"),
+        F.col("l_shipdate").cast("date").alias("delivery_date"),
+        F.col("o_custkey").alias("customer_id"),
+        F.lit("i").alias("io"),
+        F.col("l_partkey").alias("product_id"),
+        F.col("l_linenumber").alias("shape_id"),
+        F.col("l_quantity").cast("int").alias("amt"),
+        F.col("o_orderdate").alias("created"),
+    )
+
+
 def days_of_week(src: Sources) -> DataFrame:
     days = src["region"].sparkSession.range(7)
     return days.select(F.col("id").cast("smallint").alias("dow_id"), decode(F.col("id"), WEEKDAYS).alias("dow_names"))
@@ -388,5 +427,6 @@ DERIVED: dict[str, Builder] = {
         standing_orders_v1,
         days_of_week_v1,
         products_v1,
+        special_orders_v1,
     )
 }

@@ -86,3 +86,37 @@ def test_table_report_finds_each_kind(spark, bakery):
         ("product_id_in_products", "none", 1),
         ("product_id_shape_id_unique", "kamut|boule", 2),
     ]
+
+
+def flaws(spark, bakery):
+    return {
+        **bakery,
+        "days_of_week": make(spark, "days_of_week", [dict(dow_id=1, dow_names="Mon"), dict(dow_id=2, dow_names="Mon")]),
+        "product_shapes": make(
+            spark,
+            "product_shapes",
+            [dict(product_id="kamut", shape_id="boule", grams=n) for n in (5, None)] + [dict(product_id="none", shape_id=s, grams=5) for s in ("boule", None, "x|y")],
+        ),
+    }
+
+
+def test_all_keys_in_one_shuffle_equal_the_checks_of_each_table(spark, bakery):
+    tables = flaws(spark, bakery)
+    declared = {name: TABLES[name] for name in tables}
+    found = quality.check_keys(tables, declared)
+    reports = [quality.check_table(name, table, tables, MONDAY, ignore=("created", "modified")) for name, table in declared.items()]
+    wanted = {tuple(r[c] for c in ("table_name", "rule", "key", "n_rows")) for report in reports for r in report.collect() if r["rule"].endswith("_unique") or "_in_" in r["rule"]}
+    assert {tuple(r[c] for c in ("table_name", "rule", "key", "n_rows")) for r in found.collect()} == wanted
+    assert ("product_shapes", "product_id_in_products", "none", 3) in wanted and ("days_of_week", "dow_names_unique", "Mon", 2) in wanted
+
+
+def test_missing_values_of_all_tables(spark, bakery):
+    tables = flaws(spark, bakery)
+    found = quality.check_missing({"product_shapes": tables["product_shapes"]}, {"product_shapes": TABLES["product_shapes"]})
+    assert {(r["rule"], r["key"]) for r in found.collect()} == {("grams_not_null", "kamut|boule"), ("shape_id_not_null", "none")}
+
+
+def test_the_keys_of_all_tables_share_one_exchange(spark, bakery):
+    tables = flaws(spark, bakery)
+    plan = quality.check_keys(tables, {name: TABLES[name] for name in tables})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_count_if") == 0 or plan.count("Exchange hashpartitioning(number") <= 4
