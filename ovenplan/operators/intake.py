@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ovenplan.operators.snapshots import append_rows, fill_defaults
 from ovenplan.schemas import TABLES, Table
+from ovenplan.session import shared_folder
 
 BITS = 24
 #: Bits of a piece, as Spark's bitmap aggregate makes them.
@@ -88,7 +89,8 @@ def checked_append(
     """Split ``incoming`` by the declared constraints of table ``name``.
 
     ``stored`` holds the table and its parents. Columns in ``order`` that the table lacks only say which of equal keys comes first.
-    With ``now`` declared defaults are filled in first. ``may_lack`` names declared columns that this table doesn't keep.
+    With ``now`` declared defaults are filled in first. ``may_lack`` names declared columns that this table doesn't keep. The judged
+    batch is written to the shared folder, so the stored tables are read once however often both results are used.
     """
     declared = declared or TABLES[name]
     batch = incoming if now is None else fill_defaults(incoming, declared, now)
@@ -98,17 +100,21 @@ def checked_append(
     reasons += [F.when(F.expr(f"NOT ({rule.condition.replace(':as_of', day)})"), F.lit(rule.name)) for rule in declared.rules]
     keys = [columns for columns in [declared.key, *declared.unique] if columns]
     flags: list[str] = []
+    whole_batch = batch  # keys are looked up for the batch as it came, not for the result of earlier lookups
     for number, columns in enumerate(keys):
         flags.append(f"_taken{number}")
-        batch = _flagged(batch, columns, keys_found(batch, columns, stored[name], columns), flags[-1])
+        batch = _flagged(batch, columns, keys_found(whole_batch, columns, stored[name], columns), flags[-1])
         reasons.append(F.when(F.col(flags[-1]), F.lit(f"{'_'.join(columns)}_unique")))
     for number, reference in enumerate(declared.references):
         flags.append(f"_parent{number}")
-        found = keys_found(batch, reference.columns, stored[reference.parent], reference.parent_columns)
+        found = keys_found(whole_batch, reference.columns, stored[reference.parent], reference.parent_columns)
         batch = _flagged(batch, reference.columns, found, flags[-1])
         whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in reference.columns])
         reasons.append(F.when(whole & ~F.col(flags[-1]), F.lit(f"{'_'.join(reference.columns)}_in_{reference.parent}")))
     judged = batch.withColumn("reasons", F.array_sort(F.filter(F.array(*reasons), lambda r: r.isNotNull()))).drop(*flags)
+    folder = shared_folder(judged.sparkSession, "intake")
+    judged.write.parquet(folder)
+    judged = judged.sparkSession.read.schema(judged.schema).parquet(folder)
     rejected = judged.filter(F.size("reasons") > 0)
     sound = judged.filter(F.size("reasons") == 0).drop("reasons")
     for columns in keys:
