@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ovenplan.functions.predicates import like_ci
 from ovenplan.operators.skew import skew_join
+from ovenplan.session import shared_folder
 
 PIECE = 3
 
@@ -154,13 +155,20 @@ def resolve_keys(df: DataFrame, lookups: Mapping[str, tuple[DataFrame, str, str]
     ``lookups`` maps a column to ``(dim, name_col, id_col)``. The key takes the name ``id_col`` unless the mapping key is
     written ``column>key``. A name that is not found gives a NULL key.
     """
+    columns = {target: target.partition(">") for target in lookups}
+    # All name columns are counted in one pass over the rows. The counts are the patterns to look up and tell which are hot.
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("pattern")) for c, _, _ in columns.values()]))
+    folder = shared_folder(df.sparkSession, "patterns")
+    counted = df.select(each.alias("e")).groupBy("e.column", "e.pattern").agg(F.count(F.lit(1)).alias("n"))
+    counted.write.parquet(folder)
+    counted = df.sparkSession.read.schema(counted.schema).parquet(folder)
     resolved = df
     for target, (dim, name_col, id_col) in lookups.items():
-        column, _, key = target.partition(">")
-        found = lookup_id(dim, name_col, id_col, df, column).select(
+        column, _, key = columns[target]
+        counts = counted.filter(F.col("column") == column).select(F.col("pattern").alias(column), "n")
+        found = lookup_id(dim, name_col, id_col, counts, column).select(
             F.col("pattern").alias(column), F.col("id").alias(key or id_col)
         )
-        counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
         resolved = skew_join(resolved, found, [column], counts, "left").drop(column)
     return resolved
 

@@ -219,11 +219,10 @@ def snk_resolve_append(t: Bakery) -> DataFrame:
         F.concat(F.lit("SHAPE"), F.lit("%"), F.col("shape_id")).alias("shape"),
         "amt",
     )
-    customers = t["parties"].filter("party_type = 'i'")
     resolved = lookup.resolve_keys(
         named,
         {
-            "customer>customer_id": (customers, "party_name", "party_id"),
+            "customer>customer_id": (t["parties"], "party_name", "party_id"),
             "product": (t["products"], "product_name", "product_id"),
             "shape": (t["shapes"], "shape_name", "shape_id"),
         },
