@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ovenplan.llm.common import running_total, settled
 
-# Blocks of one shard that meet in one window when quotas are given out.
+# With more blocks per shard than this, quotas are given out by a running total over ranges instead of one window per shard. Both
+# admit the same blocks; the window is quicker where it holds few.
 BLOCKS_PER_QUOTA = 20_000
 
 
@@ -34,10 +35,11 @@ def _deal(rows: DataFrame, order: list[str], total: int, shards: int) -> DataFra
     return placed.withColumn("shard", F.least(F.floor(middle), F.lit(shards - 1)).cast("int")).drop("_before")
 
 
-def _one_round(blocks: DataFrame, shards: DataFrame, capacity: float, lanes: int, big_from: float, big: bool) -> DataFrame:
+def _one_round(blocks: DataFrame, shards: DataFrame, capacity: float, wide: bool, big_from: float, big: bool) -> DataFrame:
     """(grp, piece, origin, shard, mass) -> the same with ``moves``. Only ``big`` groups, or only the others, move.
 
-    ``lanes`` shares out each shard's room over that many hash buckets of pieces, so no window holds all blocks of a shard.
+    A shard's room goes to those that ask for it in order, largest first, as far as their running total goes. With ``wide`` that total
+    runs over a range-sorted table, so that no task holds all blocks that ask for a shard.
     """
     load = blocks.groupBy("shard").agg(F.sum("mass").alias("load"))
     room = shards.join(load, "shard", "left").select("shard", (F.lit(capacity) - F.coalesce("load", F.lit(0))).alias("room"))
@@ -55,21 +57,26 @@ def _one_round(blocks: DataFrame, shards: DataFrame, capacity: float, lanes: int
     here = F.element_at(F.filter("_options", lambda x: x["shard"] == F.col("shard")), 1)
     better = F.filter(
         "_options",
-        lambda x: (x["room"] / lanes >= F.col("mass")) & (F.struct(x["fits"], x["kin"], x["tie"]) > F.struct(F.col("_here.fits"), F.col("_here.kin"), F.col("_here.tie"))),
+        lambda x: (x["room"] >= F.col("mass")) & (F.struct(x["fits"], x["kin"], x["tie"]) > F.struct(F.col("_here.fits"), F.col("_here.kin"), F.col("_here.tie"))),
     )
     asked = asked.withColumn("_here", F.when(F.size("_options") > 0, here)).withColumn("_to", F.array_max(F.transform(better, lambda x: x)))
-    lane = F.pmod(F.xxhash64("grp", "piece"), F.lit(lanes))
-    queue = (
-        Window.partitionBy("_wish", "_lane")
-        .orderBy(F.col("all").desc() if big else F.col("mass").desc(), F.xxhash64("grp"), F.col("mass").desc(), F.xxhash64("grp", "piece", "origin"), "origin")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    asking = asked.filter("_to is not null").withColumns({"_wish": F.col("_to.shard"), "_lane": lane})
-    moving = (
-        asking.withColumn("_sum", F.sum("mass").over(queue))
-        .filter(F.col("_sum") <= F.col("_to.room") / lanes)
-        .select("grp", "piece", "origin", "_wish")
-    )
+    turn = {
+        "_turn": -F.col("all") if big else -F.col("mass"),
+        "_group": F.xxhash64("grp"),
+        "_less": -F.col("mass"),
+        "_tie": F.xxhash64("grp", "piece", "origin"),
+    }
+    asking = asked.filter("_to is not null").withColumns({"_wish": F.col("_to.shard"), "_room": F.col("_to.room"), **turn})
+    asking = asking.select("grp", "piece", "origin", "mass", "_wish", "_room", *turn)
+    order = [*turn, "origin"]
+    if wide:
+        placed = running_total(asking, ["_wish", *order], "mass", "_before")
+        starts = placed.groupBy("_wish").agg(F.min("_before").alias("_start"))  # one row per shard
+        summed = placed.join(F.broadcast(starts), "_wish").withColumn("_sum", F.col("_before") - F.col("_start") + F.col("mass"))
+    else:
+        queue = Window.partitionBy("_wish").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = asking.withColumn("_sum", F.sum("mass").over(queue))
+    moving = summed.filter(F.col("_sum") <= F.col("_room")).select("grp", "piece", "origin", "_wish")
     return blocks.select("grp", "piece", "origin", "shard", "mass").join(moving, ["grp", "piece", "origin"], "left").select(
         "grp", "piece", "origin", F.coalesce("_wish", "shard").alias("shard"), "mass", F.isnotnull("_wish").alias("moves")
     )
@@ -111,12 +118,12 @@ def assign_shards(
 
     all_shards = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
     blocks = settled(start.groupBy("grp", "piece", F.col("shard").alias("origin")).agg(F.sum("size").alias("mass")).withColumn("shard", F.col("origin")), "blocks")
-    lanes = max(1, blocks.count() // (shards * BLOCKS_PER_QUOTA))
+    wide = blocks.count() > shards * BLOCKS_PER_QUOTA
     # Linked documents alone may fill a shard up to its share and a little over; the others fill up what is left.
     for big in (True, False):
         least, idle = None, 0
         while idle < max_rounds:
-            blocks = settled(_one_round(blocks, all_shards, share * (1 + slack), 1 if big else lanes, share / 8, big), "blocks")
+            blocks = settled(_one_round(blocks, all_shards, share * (1 + slack), wide and not big, share / 8, big), "blocks")
             if blocks.filter("moves").isEmpty():
                 break
             cut = blocks.select("grp", "shard").distinct().count()

@@ -122,3 +122,15 @@ def test_groups_that_fit_a_shard_stay_whole(spark, part):
     assert [len(s) for s in where] == [1] * groups
     load = Counter(r["shard"] for r in rows)
     assert max(load.values()) <= 1.05 * share / size and min(load.values()) >= 0.95 * share / size
+
+
+def test_quotas_over_ranges_admit_the_same_blocks(spark, monkeypatch):
+    """Twenty groups of a tenth of a shard and many pairs: with quotas by running total every document goes where the windows put it."""
+    filler = " ".join(f"w{k}" for k in range(30))
+    texts = [f"group {k % 20} {filler}" for k in range(400)] + [f"pair {k % 100} {k % 7}" for k in range(200)] + [f"alone {k} {filler}" for k in range(600)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    narrow = as_tuples(sharding.assign_shards(docs, shards=10), "doc_id", "shard", "slot")
+    monkeypatch.setattr(sharding, "BLOCKS_PER_QUOTA", 1)
+    assert as_tuples(sharding.assign_shards(docs, shards=10), "doc_id", "shard", "slot") == narrow
+    where = [{shard for i, shard, _ in narrow if i < 400 and i % 20 == g} for g in range(20)]
+    assert sum(map(len, where)) <= 22
