@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ovenplan.llm.common import WORD, importable, settled, word_count
 from ovenplan.llm.components import components
+from ovenplan.operators.intake import key_bitmap, possibly_among
 
 K = 5
 SKETCHES = 48
@@ -286,9 +287,11 @@ def near_links(
     # Buckets with more than one text, and the smallest text of each. Copies of a text combine before the shuffle.
     heads = placed.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("bucket", "head")
     members = settled(placed.join(settled(heads, "bucket-heads"), "bucket").select("bucket", "head", "node").distinct(), "bucket-members")
-    found = members.select("node").distinct()
+    found = settled(members.select("node").distinct(), "candidate-nodes")
+    # Most texts share no bucket: a bitmap of the nodes that do, of bounded size, drops them where they are read.
+    near = possibly_among(texts, ["node"], key_bitmap(found, ["node"]))
     wanted = settled(
-        texts.join(found, "node", "left_semi").dropDuplicates(["node"]).withColumn("n_words", word_count(F.col("text"))), "candidate-texts"
+        near.join(found, "node", "left_semi").dropDuplicates(["node"]).withColumn("n_words", word_count(F.col("text"))), "candidate-texts"
     )
     star = settled(
         members.filter("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("agreed")), "star-pairs"
