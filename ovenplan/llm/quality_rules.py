@@ -28,7 +28,7 @@ MIN_WORDS = 50
 # which nearly all texts agree doesn't reject the slightest difference.
 LEAST_SPREAD = {"symbols": 5, "dup_lines": 50, "repeats": 40}
 REACH = 8
-MIN_GROUP = 200
+MIN_GROUP = 40
 
 
 def count_signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -223,10 +223,10 @@ WITH split AS (
     FROM marks
 ), chosen AS (
     SELECT g.lang_key, g.source_key, g.signal,
-        CASE WHEN g.rows >= 200 THEN least(g.fence, w.fence * 3 // 2) ELSE w.fence END AS fence
+        CASE WHEN g.rows >= 40 THEN least(g.fence, w.fence * 3 // 2) ELSE w.fence END AS fence
     FROM fences g
     JOIN (
-        SELECT l.lang_key, l.signal, CASE WHEN l.rows >= 200 THEN least(l.fence, o.fence * 3 // 2) ELSE o.fence END AS fence
+        SELECT l.lang_key, l.signal, CASE WHEN l.rows >= 40 THEN least(l.fence, o.fence * 3 // 2) ELSE o.fence END AS fence
         FROM fences l JOIN fences o ON o.level = 2 AND o.signal = l.signal WHERE l.level = 1
     ) w ON w.lang_key = g.lang_key AND w.signal = g.signal
     WHERE g.level = 0
