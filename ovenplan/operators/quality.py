@@ -69,8 +69,11 @@ def _hashes(columns: Sequence[str]) -> list[Column]:
     return [F.xxhash64(*text).alias("h1"), F.xxhash64(F.lit(1), *text).alias("h2")]
 
 
-def check_keys(tables: Mapping[str, DataFrame], declared: Mapping[str, Table]) -> DataFrame:
-    """``kind, table_name, rule, key, n_rows``: every repeated key and every reference without a parent, of all declared tables.
+def check_keys(
+    tables: Mapping[str, DataFrame], declared: Mapping[str, Table], kinds: Sequence[str] = ("unique", "reference")
+) -> DataFrame:
+    """``kind, table_name, rule, key, n_rows``: every repeated key (kind ``unique``) and every reference without a parent (kind
+    ``reference``) of all declared tables.
 
     Each table is read once and gives a small row (constraint, hash of the key, side) for each key that it has, refers to or is
     referred to by. All of them are counted in one shuffle, combined before it, so a key that many rows share is one row. Only the keys
@@ -81,10 +84,10 @@ def check_keys(tables: Mapping[str, DataFrame], declared: Mapping[str, Table]) -
     entries: dict[str, list[tuple[int, str, tuple[str, ...]]]] = {name: [] for name in declared}
     for name, table in declared.items():
         for columns in [table.key, *table.unique]:
-            if columns:
+            if columns and "unique" in kinds:
                 entries[name].append((len(constraints), "own", columns))
                 constraints.append(("unique", name, f"{'_'.join(columns)}_unique"))
-        for reference in table.references:
+        for reference in table.references if "reference" in kinds else ():
             entries[name].append((len(constraints), "own", reference.columns))
             entries[reference.parent].append((len(constraints), "parent", reference.parent_columns))
             constraints.append(("reference", name, f"{'_'.join(reference.columns)}_in_{reference.parent}"))

@@ -782,13 +782,13 @@ def dq_not_null(spark: SparkSession, folder: str) -> DataFrame:
 @query("dq_unique")
 def dq_unique(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated keys of every declared table, with faults put in."""
-    return both_generations(spark, folder, quality.check_keys).filter("kind = 'unique'").drop("kind")
+    return both_generations(spark, folder, lambda t, declared: quality.check_keys(t, declared, ["unique"])).drop("kind")
 
 
 @query("dq_foreign_key")
 def dq_foreign_key(spark: SparkSession, folder: str) -> DataFrame:
     """References without a parent in every declared table, with faults put in."""
-    return both_generations(spark, folder, quality.check_keys).filter("kind = 'reference'").drop("kind")
+    return both_generations(spark, folder, lambda t, declared: quality.check_keys(t, declared, ["reference"])).drop("kind")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

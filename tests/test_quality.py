@@ -119,4 +119,5 @@ def test_missing_values_of_all_tables(spark, bakery):
 def test_the_keys_of_all_tables_share_one_exchange(spark, bakery):
     tables = flaws(spark, bakery)
     plan = quality.check_keys(tables, {name: TABLES[name] for name in tables})._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("partial_count_if") == 0 or plan.count("Exchange hashpartitioning(number") <= 4
+    # One for the counts, one for the keys that look wrong, one to count those exactly: none per constraint or table.
+    assert 2 <= plan.count("Exchange hashpartitioning(number") <= 3
