@@ -11,13 +11,17 @@ goes only if an exact count says that it is the site's: it stands on at least ``
 more than half of them. All other blocks, in an article or not, are decided by the alignment. Where no neighbour can be compared,
 blocks outside article and main go if those hold most of the text.
 
+All blocks take part in the alignment, those of menus and footers too. ``n_shared`` counts the blocks that went because the
+neighbour has them, whatever markup says of them, ``n_marked`` those that only markup condemns (adverts that change from page to
+page, menus of a host's only page).
+
 Pages of a host with equal blocks are one page for this and share its result. A neighbour that shares ``COPY`` of the characters
 in question is a copy as well and is passed over for the one on the other side; if both are, the nearest pages beyond the run of
 copies are used.
 
 Defined results: null, empty or broken html gives what text there is, or an empty text; a null or odd URL is a path on a host of
 its own kind; repeated rows are copies of each other and don't delete each other's text; an empty table gives an empty result.
-Other columns of the input are kept; those named ``text`` and ``n_chars`` are replaced.
+Other columns of the input are kept; those named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ovenplan.llm.common import importable, running_total, settled
 
@@ -39,6 +43,9 @@ from ovenplan.llm.common import importable, running_total, settled
 COPY = 0.8
 #: A shared block of an article is the site's if it is on so many different pages of the host, and on more than half of them.
 NOTICE_PAGES = 5
+#: Ranks of pages that are compared in one group, and ranks of one key where hosts and their blocks are looked up.
+STRETCH = 4096
+GROUP = 256
 #: Cells of an alignment kept at once; larger ones are halved.
 CELLS = 1 << 28
 
@@ -229,19 +236,22 @@ def _alike(a: str, b: str) -> int:
 
 
 def _deletions(
-    own: list[int], sizes: list[int], zones: list[int], notices: set[int], path: str, neighbours: list[tuple[str, list[int]] | None]
-) -> tuple[list[int] | None, list[bool]]:
-    """Blocks that go because the nearest neighbour which isn't a copy shares them, None without such a neighbour; and which are copies."""
+    own: list[int], sizes: list[int], zones: list[int], path: str, neighbours: list[tuple[str, list[int]] | None]
+) -> tuple[list[int] | None, list[int], list[bool]]:
+    """Places that the nearest neighbour which isn't a copy shares, None without such a neighbour; which of them are in an article,
+    where the host decides; and which neighbours are copies."""
     open_ = [i for i, zone in enumerate(zones) if zone != OUT]
     whole = sum(sizes[i] for i in open_)
     copies = [False] * len(neighbours)
     gone: list[int] | None = None
+    articles: list[int] = []
     for at in sorted((k for k, x in enumerate(neighbours) if x), key=lambda k: -_alike(path, neighbours[k][0])):
         covered = set(shared_places(own, neighbours[at][1]))
-        copies[at] = sum(sizes[i] for i in open_ if i in covered) >= COPY * whole
+        copies[at] = bool(open_) and sum(sizes[i] for i in open_ if i in covered) >= COPY * whole
         if gone is None and not copies[at]:
-            gone = [i for i in open_ if i in covered and (zones[i] != ARTICLE or own[i] in notices)]
-    return gone, copies
+            gone = sorted(i for i in covered if zones[i] != ARTICLE)
+            articles = sorted(i for i in covered if zones[i] == ARTICLE)
+    return gone, articles, copies
 
 
 def _unaided(sizes: list[int], zones: list[int]) -> list[int]:
@@ -250,38 +260,90 @@ def _unaided(sizes: list[int], zones: list[int]) -> list[int]:
     return [i for i, zone in enumerate(zones) if zone == IN_QUESTION] if article > beside else []
 
 
-def _notices(ranked: DataFrame) -> DataFrame:
-    """(__host, __notices): blocks on ``NOTICE_PAGES`` or more different pages of a host and on more than half of them."""
-    on = ranked.select("__host", F.explode(F.array_distinct("__lines")).alias("_line")).groupBy("__host", "_line").agg(F.count(F.lit(1)).alias("_n"))
-    hosts = ranked.groupBy("__host").agg(F.count(F.lit(1)).alias("_pages"))
-    often = on.filter(F.col("_n") >= NOTICE_PAGES).join(hosts, "__host").filter("_n * 2 > _pages")
-    return often.groupBy("__host").agg(F.collect_list("_line").alias("__notices"))
+COMPARED = (
+    "_rank long, __host string, __sig long, __gone array<int>, __asked array<struct<place: int, line: long>>, _b_copy boolean, _a_copy boolean"
+)
+
+
+def _verdict(page: dict, before: dict | None, after: dict | None) -> tuple:
+    """A row of ``COMPARED`` for a page and two pages beside it; one of another host is none."""
+    near = [(x["__path"], x["__lines"]) if x and x["__host"] == page["__host"] else None for x in (before, after)]
+    gone, articles, copies = _deletions(page["__lines"], page["__sizes"], page["__zones"], page["__path"], near)
+    asked = [{"place": i, "line": page["__lines"][i]} for i in articles]
+    return page["_rank"], page["__host"], page["__sig"], gone, asked, *copies
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    asked = pa.list_(pa.struct([("place", pa.int32()), ("line", pa.int64())]))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), asked, pa.bool_(), pa.bool_()]
+    names = ["_rank", "__host", "__sig", "__gone", "__asked", "_b_copy", "_a_copy"]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
+
+
+def _side_by_side(ranked: DataFrame) -> DataFrame:
+    """Every page compared with the pages next to it in the order of addresses.
+
+    Pages are dealt by stretches of ``STRETCH`` ranks, and a stretch has a copy of the page before and after it, so the lists of
+    blocks are shuffled once and a task keeps three pages at a time.
+    """
+    stretch = F.floor(F.col("_rank") / STRETCH)
+    edges = F.array_distinct(F.array(stretch, F.floor((F.col("_rank") - 1) / STRETCH), F.floor((F.col("_rank") + 1) / STRETCH)))
+    dealt = ranked.withColumn("_stretch", F.explode(edges)).repartition("_stretch").sortWithinPartitions("_stretch", "_rank")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = page = None
+
+        def beside(row: dict | None) -> dict | None:
+            return row if row and row["_stretch"] == page["_stretch"] else None
+
+        for batch in batches:
+            out = []
+            for after in batch.to_pylist():
+                if page and page["_rank"] // STRETCH == page["_stretch"]:
+                    out.append(_verdict(page, beside(before), beside(after)))
+                before, page = page, after
+            yield _batch(out)
+        if page and page["_rank"] // STRETCH == page["_stretch"]:
+            yield _batch([_verdict(page, beside(before), None)])
+
+    columns = ["_stretch", "_rank", "__host", "__sig", "__path", "__lines", "__sizes", "__zones"]
+    return dealt.select(*columns).mapInArrow(work, COMPARED)
 
 
 def _compared(pages: DataFrame, ranked: DataFrame) -> DataFrame:
-    """``pages`` have the ranks b and a of two neighbours. Adds ``__gone``, null without a comparison, and whether b and a are copies."""
+    """``pages`` have the ranks b and a of two other pages and are compared with these."""
     for tag in "ba":
-        named = ranked.select(F.col("_rank").alias(tag), *[F.col(f"__{c}").alias(f"{tag}_{c}") for c in ("host", "path", "lines")])
+        named = ranked.select(F.col("_rank").alias(tag), F.struct("__host", "__path", "__lines").alias(f"_{tag}"))
         pages = pages.join(named, tag, "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone, copies = [], []
-            for row in batch.to_pylist():
-                near = [(row[f"{t}_path"], row[f"{t}_lines"]) if row[f"{t}_host"] == row["__host"] else None for t in "ba"]
-                notices = set(row["__notices"] or ())
-                out, alike = _deletions(row["__lines"], row["__sizes"], row["__zones"], notices, row["__path"], near)
-                gone.append(out)
-                copies.append(alike)
-            before, after = ([x[k] for x in copies] for k in (0, 1))
-            arrays = [pa.array(gone, pa.list_(pa.int32())), pa.array(before, pa.bool_()), pa.array(after, pa.bool_())]
-            names = ["_rank", "__host", "__sig"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *arrays], names=[*names, "__gone", "_b_copy", "_a_copy"])
-
-    columns = ["_rank", "__host", "__sig", "__path", "__lines", "__sizes", "__zones", "__notices"]
-    columns += [f"{t}_{c}" for t in "ba" for c in ("host", "path", "lines")]
-    schema = "_rank long, __host string, __sig long, __gone array<int>, _b_copy boolean, _a_copy boolean"
-    return pages.select(*columns).mapInArrow(work, schema)
+            yield _batch([_verdict(row, row["_b"], row["_a"]) for row in batch.to_pylist()])
+
+    columns = ["_rank", "__host", "__sig", "__path", "__lines", "__sizes", "__zones", "_b", "_a"]
+    return pages.select(*columns).mapInArrow(work, COMPARED)
+
+
+def _with_notices(compared: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``compared`` with the shared blocks of articles that are the site's added to ``__gone``: those on ``NOTICE_PAGES`` or more
+    different pages of the host and on more than half of them.
+
+    The ranks of a host's pages follow each other. Both joins take a stretch of ranks into their key, so a host with a third of
+    all pages and a block on all of them are many small groups; a block is repeated once per stretch it may be asked for in, which is
+    less than its number of pages.
+    """
+    stretches = F.explode(F.sequence(F.floor(F.col("_low") / GROUP), F.floor(F.col("_high") / GROUP))).alias("_group")
+    bounds = [F.count(F.lit(1)).alias("_n"), F.min("_rank").alias("_low"), F.max("_rank").alias("_high")]
+    hosts = ranked.select("__host", "_rank").groupBy("__host").agg(*bounds).select("__host", F.col("_n").alias("_pages"), stretches)
+    lines = ranked.select("__host", "_rank", F.explode(F.array_distinct("__lines")).alias("_line")).groupBy("__host", "_line").agg(*bounds)
+    often = lines.filter(F.col("_n") >= NOTICE_PAGES).withColumn("_group", F.floor(F.col("_low") / GROUP))
+    notices = often.join(hosts, ["__host", "_group"]).filter("_n * 2 > _pages").select("__host", "_line", stretches)
+    asked = compared.select("_rank", "__host", F.floor(F.col("_rank") / GROUP).alias("_group"), F.explode("__asked").alias("_at"))
+    asked = asked.select("_rank", "__host", "_group", F.col("_at.place").alias("_place"), F.col("_at.line").alias("_line"))
+    found = asked.join(notices, ["__host", "_line", "_group"]).groupBy("_rank").agg(F.collect_list("_place").alias("_more"))
+    more = F.coalesce("_more", F.array().cast("array<int>"))
+    return compared.join(found, "_rank", "left").withColumn("__gone", F.concat("__gone", more))
 
 
 def _beyond_copies(first: DataFrame) -> DataFrame:
@@ -298,55 +360,74 @@ def _beyond_copies(first: DataFrame) -> DataFrame:
 
 
 def shared_blocks(pages: DataFrame, html_col: str) -> DataFrame:
-    """_id, _key, _gone: places of the blocks that a page shares with its nearest neighbour; null if there was none to compare."""
+    """__id, __key, __gone: places of the blocks that a page shares with its nearest neighbour; null if there was none to compare."""
     signed = _signatures(pages, html_col).withColumn("__sig", F.xxhash64("__lines", "__zones"))
     signed = settled(signed, "page-blocks")
-    # Pages of a host with equal blocks differ in nothing, so the first of them stands for all; the order of a host's pages is cut
-    # into ranges, never one task.
-    place = F.struct("__path", "__id", "__key")
-    firsts = signed.groupBy("__host", "__sig").agg(F.min(place).alias("_first")).select("__host", "__sig", "_first.*")
-    names = ["__host", "__sig", "__path", "__id", "__key"]
-    distinct = signed.join(firsts, names, "left_semi").dropDuplicates(["__id", "__key"])
-    ranked = settled(running_total(distinct.withColumn("_one", F.lit(1).cast("long")), ["__host", "__path", "__id", "__key"], "_one", "_rank"), "page-order")
-    asking = ranked.filter(F.exists("__zones", lambda z: z != OUT)).join(_notices(ranked), "__host", "left")
-    asking = settled(asking, "page-asking")
-    first = settled(_compared(asking.withColumns({"b": F.col("_rank") - 1, "a": F.col("_rank") + 1}), ranked), "page-compared")
-    result = first.select("_rank", "__host", "__sig", "__gone")
+    names = ["__host", "__path", "__id", "__key"]
+    rows = signed.select(*names, "__sig")
+    # Pages of a host with equal blocks differ in nothing, so the first of them stands for all. The order of pages is made from
+    # addresses alone; it is cut into ranges, never one task.
+    firsts = rows.groupBy("__host", "__sig").agg(F.min(F.struct("__path", "__id", "__key")).alias("_first"))
+    firsts = firsts.select("__host", "__sig", "_first.*", F.lit(1).cast("long").alias("_one"))
+    order = settled(running_total(firsts, names, "_one", "_rank").drop("_one"), "page-order")
+    ranked = signed.hint("merge").join(order, [*names, "__sig"]).dropDuplicates([*names, "__sig"])
+    ranked = settled(ranked, "page-ranked")
+    first = settled(_side_by_side(ranked), "page-compared")
+    result = first.select("_rank", "__host", "__sig", "__gone", "__asked")
     if not first.filter("__gone is null and (_a_copy or _b_copy)").isEmpty():
-        again = _compared(asking.join(_beyond_copies(first), "_rank"), ranked).select("_rank", F.col("__gone").alias("_later"))
-        result = result.join(again, "_rank", "left").withColumn("__gone", F.coalesce("__gone", "_later"))
-    result = settled(result.select("__host", "__sig", "__gone"), "page-results")
-    return signed.select("__id", "__key", "__host", "__sig").distinct().join(result, ["__host", "__sig"]).select("__id", "__key", "__gone")
+        beyond = settled(ranked.join(_beyond_copies(first), "_rank"), "page-beyond")
+        again = settled(_compared(beyond, ranked), "page-again").filter("__gone is not null")
+        result = result.join(again.select("_rank"), "_rank", "left_anti").unionByName(again.select(*result.columns))
+    result = settled(_with_notices(result, ranked).select("__host", "__sig", "__gone"), "page-results")
+    return rows.select("__id", "__key", "__host", "__sig").distinct().join(result, ["__host", "__sig"]).select("__id", "__key", "__gone")
+
+
+def _block_texts(pages: DataFrame, html_col: str) -> DataFrame:
+    """``pages`` with, instead of the html, the texts of their blocks, null for those that markup drops, and what goes if no
+    neighbour can be compared."""
+    kept = [c for c in pages.columns if c != html_col]
+    schema = StructType([*(pages.schema[c] for c in kept), *StructType.fromDDL("__texts array<string>, __alone array<int>")])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, alone = [], []
+            for html in batch.column("__html").to_pylist():
+                found = blocks(html)
+                texts.append([text if zone != OUT else None for text, zone in found])
+                alone.append(_unaided([len(text) for text, _ in found], [zone for _, zone in found]))
+            arrays = [pa.array(texts, pa.list_(pa.string())), pa.array(alone, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=schema.fieldNames())
+
+    return pages.select(*kept, F.col(html_col).alias("__html")).mapInArrow(work, schema)
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
-    """``pages`` without the html, with ``text`` and ``n_chars``."""
+    """``pages`` without the html, with ``text``, ``n_chars`` and the blocks by what became of them: ``n_shared`` went because the
+    neighbour has them too, ``n_marked`` by markup alone, ``n_kept`` stayed."""
     address = F.coalesce(F.col(url_col), F.lit(""))
     parts = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)"
     importable(pages.sparkSession)
-    keyed = pages.withColumns(
-        {
-            "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-            "__key": F.xxhash64(url_col, html_col),
-            "__host": F.lower(F.regexp_extract(address, parts, 1)),
-            "__path": F.regexp_replace(F.regexp_extract(address, parts, 2), r"(?:index)?(?:\.html?)?/*$", ""),
-        }
+    added = ["text", "n_chars", "n_shared", "n_marked", "n_kept"]
+    kept = [c for c in pages.columns if c not in (html_col, *added)]
+    key = {"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__key": F.xxhash64(url_col, html_col)}
+    place = {
+        "__host": F.lower(F.regexp_extract(address, parts, 1)),
+        "__path": F.regexp_replace(F.regexp_extract(address, parts, 2), r"(?:index)?(?:\.html?)?/*$", ""),
+    }
+    gone = settled(shared_blocks(pages.withColumns({**key, **place}), html_col), "page-shared")
+    texts = _block_texts(pages.withColumns(key).select(*kept, html_col, *key), html_col)
+    # Texts and what goes meet by a shuffle at every size: the list of deletions has a row per page.
+    joined = texts.hint("merge").join(gone, [*key], "left")
+    places = F.sequence(F.lit(0), F.size("__texts") - 1)
+    left = joined.withColumn("__left", F.when(F.size("__texts") == 0, F.array().cast("array<int>")).otherwise(
+        F.array_except(places, F.coalesce("__gone", "__alone"))
+    ))
+    stay = left.withColumn("__stay", F.filter(F.transform("__left", lambda i: F.get(F.col("__texts"), i)), lambda t: t.isNotNull()))
+    compared = F.col("__gone").isNotNull()
+    shared = F.when(compared, F.size("__gone")).otherwise(0).cast("long")
+    n_kept = F.size("__stay").cast("long")
+    text = F.array_join("__stay", "\n")
+    return stay.select(
+        *kept, text.alias("text"), F.length(text).cast("long").alias("n_chars"), shared.alias("n_shared"),
+        (F.size("__texts") - n_kept - shared).alias("n_marked"), n_kept.alias("n_kept"),
     )
-    gone = settled(shared_blocks(keyed, html_col), "page-shared")
-    joined = keyed.join(gone, ["__id", "__key"], "left")
-    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    schema = StructType([pages.schema[c] for c in kept] + [StructField("text", StringType()), StructField("n_chars", LongType())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for html, gone in zip(batch.column("__html").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-                found = blocks(html)
-                out = set(_unaided([len(t) for t, _ in found], [zone for _, zone in found]) if gone is None else gone)
-                texts.append("\n".join(t for i, (t, zone) in enumerate(found) if zone != OUT and i not in out))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                names=schema.fieldNames(),
-            )
-
-    return joined.select(*[F.col(c) for c in kept], F.col(html_col).alias("__html"), "__gone").mapInArrow(work, schema)

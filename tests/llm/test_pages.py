@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,7 +86,7 @@ def test_unmarked_pages_lose_what_their_neighbour_repeats(spark):
     assert by_id[6] == "Home\nalone\nImprint of the site"  # no neighbour to compare with
     assert (by_id[7], by_id[8], by_id[9]) == ("no address", "", "")
     assert all(r["n_chars"] == len(r["text"]) for r in got)
-    assert got[0].asDict().keys() == {"page_id", "url", "_host", "text", "n_chars"}
+    assert got[0].asDict().keys() == {"page_id", "url", "_host", "text", "n_chars", "n_shared", "n_marked", "n_kept"}
 
 
 def test_articles_keep_lines_that_neighbours_share(spark):
@@ -121,6 +123,62 @@ def test_copies_in_a_row_and_long_menus(spark):
     assert [got[k] for k in range(3, 7)] == [f"the only story y that all of these repeat at length\nseen {k + 5}" for k in range(4)]
 
 
+def plain_text(pages_):
+    """The method without Spark: pages of a host in order of address, nearest different page, blocks of a host counted."""
+    addresses = [re.match(r"http://([^/]*)(.*)", u).groups() for u, _ in pages_]
+    parsed = [pages.blocks(h) for _, h in pages_]
+    texts_ = {}
+    for host in {h for h, _ in addresses}:
+        first = {}
+        for at in sorted((k for k, (h, _) in enumerate(addresses) if h == host), key=lambda k: (addresses[k][1], str(k))):
+            first.setdefault(tuple(parsed[at]), (at, addresses[at][1]))
+        order = sorted(first.values(), key=lambda x: (x[1], str(x[0])))
+        lines = [[t for t, _ in parsed[at]] for at, _ in order]
+        for n, (at, path) in enumerate(order):
+            found = parsed[at]
+            open_ = [i for i, (_, zone) in enumerate(found) if zone != pages.OUT]
+            whole = sum(len(found[i][0]) for i in open_)
+            gone = None
+            for m in sorted((m for m in (n - 1, n + 1) if 0 <= m < len(order)), key=lambda m: -len(os.path.commonprefix([path, order[m][1]]))):
+                covered = set(pages.shared_places(lines[n], lines[m]))
+                if sum(len(found[i][0]) for i in open_ if i in covered) < 0.8 * whole:
+                    gone = covered
+                    break
+            assert gone is not None, "pages of this test have a neighbour that is no copy"
+
+            def notice(text):
+                count = sum(text in x for x in lines)
+                return count >= 5 and 2 * count > len(lines)
+
+            kept = [t for i, (t, zone) in enumerate(found) if zone != pages.OUT and (i not in gone or zone == pages.ARTICLE and not notice(t))]
+            texts_[tuple(found), host] = "\n".join(kept)
+    return {k: texts_[tuple(parsed[k]), addresses[k][0]] for k in range(len(pages_))}
+
+
+def test_main_text_matches_brute_force(spark, monkeypatch):
+    """A host with most of the pages, short stretches, notices inside articles, passages that two articles quote."""
+    monkeypatch.setattr(pages, "STRETCH", 4)
+    monkeypatch.setattr(pages, "GROUP", 3)
+    rng = random.Random(5)
+    found = []
+    for k in range(160):
+        host = "big.example.org" if rng.random() < 0.7 else f"h{rng.randrange(3)}.example.org"
+        own = [" ".join(rng.choices("abcdefgh", k=30)) + f" {k} {j}" for j in range(4)]
+        notice = "<p>we use your data</p>" if rng.random() < 0.8 else ""
+        quote = f"<p>quoted {rng.randrange(6)}</p>"
+        side = f"<div>side {rng.randrange(3)}</div><div>own side {k}</div>"
+        body = f"<nav>menu {host}</nav>{side}<article>{notice}" + "".join(f"<p>{x}</p>" for x in own) + f"{quote}</article><footer>f</footer>"
+        found.append((f"http://{host}/{rng.choice('xyz')}/{rng.randrange(1000)}", f"<body>{body}</body>"))
+    found += [(u + "/again", h) for u, h in found[:9]]
+    rows = [(k, u, h, 0, 0) for k, (u, h) in enumerate(found)]
+    got = pages.main_text(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == plain_text(found)
+    parsed = [pages.blocks(h) for _, h in found]
+    assert all(r["n_shared"] + r["n_marked"] + r["n_kept"] == len(parsed[r["page_id"]]) for r in got)
+    # Menus and footers that the neighbour has too go by the alignment, not by their tags.
+    assert sum(r["n_marked"] for r in got) < sum(r["n_shared"] for r in got) / 10
+
+
 def test_class_words_never_drop_the_article():
     def kept(html):
         return [t for t, zone in pages.blocks(html) if zone != pages.OUT]
