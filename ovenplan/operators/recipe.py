@@ -8,7 +8,7 @@ own weight and total.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,11 +69,13 @@ def formula(
     pattern: str | None = None,
     with_cost: bool = True,
     weights: DataFrame | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Grams and cost of every recipe row for the batch to start on ``as_of``.
 
     A product without orders gives zeros. With costs, ingredients without a cost row drop out and one with several cost rows
-    appears once for each, as costs are found by ingredient name. ``weights`` (``product_id, batch_weight``) replaces today's.
+    appears once for each, as costs are found by ingredient name. ``weights`` (``product_id, batch_weight``) replaces today's; they
+    may have several rows per product, told apart by the columns ``carry``, which the result keeps.
 
     Everything known per product is joined together before it meets the recipe rows, and so is everything known per
     ingredient: the rows are moved once for either key. A product has one row per ingredient, so only an ingredient can be hot;
@@ -85,7 +87,7 @@ def formula(
     if weights is None:
         weights = batch_weight(tables, as_of, pattern)
     per_product = products.join(bak_per(tables["product_ingredients"]), "product_id").join(
-        weights.select("product_id", "batch_weight"), "product_id", "left"
+        weights.select(*carry, "product_id", "batch_weight"), "product_id", "left"
     )
     named = tables["ingredients"].select("ingredient_id", F.col("ingredient_name").alias("ingredient"))
     if with_cost:
@@ -96,6 +98,7 @@ def formula(
     rows = (
         recipe.join(per_product, "product_id")
         .select(
+            *carry,
             F.col("product_name").alias("product"),
             F.col("bakers_percent").alias("%"),
             "ingredient",

@@ -22,28 +22,44 @@ def _moment(now: dt.datetime | Column) -> Column:
     return now if isinstance(now, Column) else F.lit(now)
 
 
-def _default(value: object, kind: str, now: dt.datetime | Column) -> Column:
+def named_uuid(space: str, *names: str) -> Column:
+    """A uuid (version 8) made from a table's name and the values of its natural key, so equal rows get equal uuids in every run.
+
+    Values are hashed with their lengths, and a NULL unlike any text; the first 122 free bits of the SHA-256 are kept.
+    """
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(n).cast("string") for n in names)]
+    digest = F.sha2(F.concat(F.lit(f"{space}/"), *parts), 256)
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
+    groups = [F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("8"), F.substring(digest, 14, 3))]
+    return F.concat_ws("-", *groups, F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+
+def _default(value: object, kind: str, now: dt.datetime | Column, uuid: Column) -> Column:
     if value == NOW:
         return _moment(now)
     if value == UUID:
-        return F.uuid()
+        return uuid
     return F.lit(value) if kind == "KEY" else F.lit(value).cast(kind)
 
 
-def fill_defaults(df: DataFrame, table: str | Table, now: dt.datetime | Column) -> DataFrame:
+def fill_defaults(df: DataFrame, table: str | Table, now: dt.datetime | Column, natural: Sequence[str] = ()) -> DataFrame:
     """Put the declared default, in the declared type, where a column is missing or NULL.
 
-    Uuids are made anew when the plan runs again: write the rows before other tables refer to them.
+    With a ``natural`` key, uuids are made from it, and a task that runs again gives the same. Without one they are random and made anew
+    when the plan runs again: write the rows before other tables refer to them.
     """
     declared = _declared(table)
+    if natural and not isinstance(table, str):
+        raise ValueError("uuids made from a natural key need the name of the table")
+    uuid = named_uuid(table, *natural) if natural else F.uuid()
     filled = {}
     for column, value in declared.defaults.items():
-        default = _default(value, declared.types[column], now)
+        default = _default(value, declared.types[column], now, uuid)
         filled[column] = F.coalesce(F.col(column), default) if column in df.columns else default
     return df.withColumns(filled)
 
 
-def assign_ids(df: DataFrame, id_col: str, order: Sequence[str], last_id: int = 0) -> DataFrame:
+def assign_ids(df: DataFrame, id_col: str, order: Sequence[str], last_id: int | Column = 0) -> DataFrame:
     """Number new rows ``last_id + 1, last_id + 2, ...`` without gaps.
 
     Rows are numbered within hash buckets of ``order``, which must identify a row; the small table of bucket sizes gives each
@@ -62,6 +78,13 @@ def assign_ids(df: DataFrame, id_col: str, order: Sequence[str], last_id: int =
     )
 
 
+def continue_ids(existing: DataFrame, incoming: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
+    """Number a batch from the greatest number of the table on, or from 1 for a table without any. The greatest number is read in the
+    same plan, as a subquery of one row."""
+    last = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).scalar()
+    return assign_ids(incoming, id_col, order, last)
+
+
 def append_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """The table with a batch added; columns the batch lacks are NULL. A column that the table lacks is an error."""
     unknown = [c for c in incoming.columns if c not in existing.columns]

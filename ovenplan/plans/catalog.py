@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from ovenplan.functions.labels import EMAIL_TYPES, PHONE_TYPES, decode
 from ovenplan.functions.numbers import per_gram, percent_change
 from ovenplan.functions.predicates import like_ci, recent, weekday_of
-from ovenplan.operators import cost, demand, directory, history, intake, lookup, quality, recipe, snapshots
+from ovenplan.operators import cost, demand, directory, folders, history, horizon, intake, lookup, quality, recipe, snapshots
 from ovenplan.plans.sql_functions import register_functions
 from ovenplan.plans.views import VIEWS, register_views
 from ovenplan.schemas import TABLES, TABLES_V1
 from ovenplan.session import shared_folder, tune
 from ovenplan.sources.binding import AS_OF, Bakery, bind, bind_v1, declared_v1, read_sources
+from ovenplan.sources.tables import load_tables, write_table
 from ovenplan.streaming.changes import read_log, stream_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,6 +208,37 @@ def snk_defaults(t: Bakery) -> DataFrame:
     return filled.withColumns({c: F.col(c).cast("string") for c, kind in filled.dtypes if kind.startswith("decimal")})
 
 
+@on_tables("snk_uuid")
+def snk_uuid(t: Bakery) -> DataFrame:
+    """All parties come in without a key and get one from their type and name."""
+    incoming = t["parties"].select("party_type", "party_name")
+    return snapshots.fill_defaults(incoming, "parties", noon(), ["party_type", "party_name"]).select("party_type", "party_name", "party_id")
+
+
+@on_tables("snk_identity")
+def snk_identity(t: Bakery) -> DataFrame:
+    """Orders are numbered, and those placed from the planning date on go on from the greatest number."""
+    row = ["delivery_date", "customer_id", "product_id", "shape_id", "created"]
+    orders = t["special_orders"].select(*row)
+    known = snapshots.assign_ids(orders.filter(F.col("created") < noon()), "id", row)
+    added = snapshots.continue_ids(known, orders.filter(F.col("created") >= noon()), "id", row)
+    columns = {"n_rows": F.count("id"), "n_ids": F.count_distinct("id"), "least": F.min("id"), "greatest": F.max("id")}
+    batches = known.withColumn("batch", F.lit("known")).unionByName(added.withColumn("batch", F.lit("added")))
+    return batches.groupBy("batch").agg(*[c.alias(name) for name, c in columns.items()])
+
+
+@query("snk_folder_update")
+def snk_folder_update(spark: SparkSession, folder: str) -> DataFrame:
+    """Weekly orders stored by weekday; large Sunday orders are halved and move to Saturday, and only two folders are written."""
+    stored = shared_folder(spark, "weekly")
+    write_table(bind(spark, folder)["standing_orders"], stored, "standing_orders")
+    large = (F.col("day_of_week") == 0) & (F.col("amt") > 25)
+    changes = {"day_of_week": F.lit(6).cast("smallint"), "amt": F.floor(F.col("amt") / 2).cast("smallint")}
+    folders.update_where(spark, stored, "standing_orders", large, changes, key_type="bigint")
+    weekly = load_tables(spark, stored, ["standing_orders"], key_type="bigint")["standing_orders"]
+    return weekly.select("day_of_week", "customer_id", "product_id", "shape_id", "amt")
+
+
 @on_tables("snk_resolve_append")
 def snk_resolve_append(t: Bakery) -> DataFrame:
     """Orders that name customer, product and shape; products that are no dough are misspelt and are not found."""
@@ -674,6 +706,19 @@ def _labelled(parts: Mapping[str, DataFrame]) -> DataFrame:
 # Change capture
 
 
+HORIZON = 14
+
+
+@on_tables("horizon_weights")
+def horizon_weights(t: Bakery) -> DataFrame:
+    return horizon.batch_weights(t, AS_OF, HORIZON).drop("product_name")
+
+
+@on_tables("horizon_formula")
+def horizon_formula(t: Bakery) -> DataFrame:
+    return horizon.formulas(t, AS_OF, HORIZON, with_cost=False)
+
+
 @on_tables("cdc_cost")
 def cdc_cost(t: Bakery) -> DataFrame:
     return cost_log(t)

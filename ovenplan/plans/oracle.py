@@ -627,6 +627,32 @@ ORACLE = {
     "dq_unique": _repeated(),
     "dq_foreign_key": _unreferred(),
 }
+HORIZON_ROWS = f"""WITH d AS (SELECT {DAY} + CAST(n AS INTEGER) AS day FROM range(14) r(n)),
+    started AS (
+      SELECT delivery_date - CAST(lead_time_days AS INTEGER) AS day, product_id, shape_id, amt FROM special_orders JOIN products USING (product_id)
+      UNION ALL SELECT d.day, so.product_id, so.shape_id, CASE WHEN percent_multiplier IS NULL THEN so.amt
+        ELSE {half_up('so.amt * percent_multiplier', '100')} END
+      FROM standing_orders so JOIN products p ON so.product_id = p.product_id
+      JOIN d ON p.lead_time_days + dayofweek(d.day) - so.day_of_week IN (0, 7)
+      LEFT JOIN tmp_chng c ON (c.day_of_week, c.customer_id, c.product_id, c.shape_id)
+          = (so.day_of_week, so.customer_id, so.product_id, so.shape_id)
+        AND d.day + CAST(p.lead_time_days AS INTEGER) >= c.start_date AND d.day + CAST(p.lead_time_days AS INTEGER) < c.resume_date),
+    grams AS (SELECT day, product_id, sum(amt * grams) AS g FROM started JOIN product_shapes USING (product_id, shape_id) GROUP BY ALL)
+    SELECT d.day, p.product_id, CAST(coalesce(g, 0) AS BIGINT) AS batch_weight
+    FROM products p CROSS JOIN d LEFT JOIN grams ON grams.day = d.day AND grams.product_id = p.product_id"""
+ORACLE["horizon_weights"] = f"SELECT CAST(day AS VARCHAR) AS planning_day, product_id, batch_weight FROM ({HORIZON_ROWS})"
+ORACLE["horizon_formula"] = f"""SELECT CAST(day AS VARCHAR) AS planning_day, product_name AS product, CAST(bakers_percent AS DOUBLE) AS "%",
+    ingredient, {grams_columns('batch_weight')} FROM product_info JOIN totals USING (product_id)
+    JOIN ({HORIZON_ROWS}) AS planned USING (product_id)"""
+ORACLE["snk_uuid"] = """SELECT party_type, party_name, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-'
+    || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS party_id
+    FROM (SELECT *, sha256('parties/1:' || party_type || length(party_name) || ':' || party_name) AS h FROM parties)"""
+ORACLE["snk_identity"] = f"""SELECT batch, n AS n_rows, n AS n_ids, before + 1 AS least, before + n AS greatest FROM (
+    SELECT CASE WHEN created < {NOON} THEN 'known' ELSE 'added' END AS batch, count(*) AS n,
+      CASE WHEN min(created) < {NOON} THEN 0 ELSE (SELECT count(*) FROM special_orders WHERE created < {NOON}) END AS before
+    FROM special_orders GROUP BY 1)"""
+ORACLE["snk_folder_update"] = """SELECT CASE WHEN day_of_week = 0 AND amt > 25 THEN 6 ELSE day_of_week END AS day_of_week, customer_id,
+    product_id, shape_id, CASE WHEN day_of_week = 0 AND amt > 25 THEN amt // 2 ELSE amt END AS amt FROM standing_orders"""
 ORACLE["cdc_stream"] = ORACLE["cdc_feed"]
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,21 @@ def test_first_generation_names_are_adopted(spark):
     adopted = adopt_v1({"doughs": doughs, "dough_shapes": shapes})
     assert adopted["products"].columns == ["product_id", "product_name", "lead_time_days"]
     assert adopted["product_shapes"].columns == ["product_id", "shape_id", "grams"]
+
+
+def test_uuids_from_natural_keys_repeat(spark):
+    new = spark.createDataFrame([("o", "x"), ("o", "y"), ("o", "y"), (None, "oy"), ("oy", None)], "party_type string, party_name string")
+    natural = ["party_type", "party_name"]
+    first = rows(snapshots.fill_defaults(new, "parties", NOW, natural).select("party_name", "party_type", "party_id"))
+    again = rows(snapshots.fill_defaults(new.repartition(3), "parties", NOW, natural).select("party_name", "party_type", "party_id"))
+    assert first == again and len({r[2] for r in first}) == 4
+    assert all(uuid.UUID(r[2]).version == 8 and uuid.UUID(r[2]).variant == uuid.RFC_4122 for r in first)
+    kept = new.limit(1).withColumn("party_id", F.lit("own"))
+    assert snapshots.fill_defaults(kept, "parties", NOW, natural).first()["party_id"] == "own"
+
+
+def test_numbers_go_on_from_the_table(spark):
+    old = spark.createDataFrame([("a", 7), ("b", 12), ("c", None)], "name string, id bigint")
+    new = spark.range(300).select(F.concat(F.lit("n"), "id").alias("name"))
+    assert sorted(r["id"] for r in snapshots.continue_ids(old, new, "id", ["name"]).collect()) == list(range(13, 313))
+    assert sorted(r["id"] for r in snapshots.continue_ids(old.limit(0), new, "id", ["name"]).collect()) == list(range(1, 301))
