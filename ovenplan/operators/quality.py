@@ -63,57 +63,54 @@ def check_fk(child: DataFrame, parent: DataFrame, reference: Reference, name: st
     return missing.select(F.lit(name).alias("rule"), _text(reference.columns).alias("key"), "n_rows")
 
 
-def _hashes(columns: Sequence[str]) -> list[Column]:
-    """A key as 128 bits. Values are hashed as text, as a key and its reference may have different number types."""
-    text = [F.col(c).cast("string") for c in columns]
-    return [F.xxhash64(*text).alias("h1"), F.xxhash64(F.lit(1), *text).alias("h2")]
-
-
 def check_keys(
     tables: Mapping[str, DataFrame], declared: Mapping[str, Table], kinds: Sequence[str] = ("unique", "reference")
 ) -> DataFrame:
     """``kind, table_name, rule, key, n_rows``: every repeated key (kind ``unique``) and every reference without a parent (kind
     ``reference``) of all declared tables.
 
-    Each table is read once and gives a small row (constraint, hash of the key, side) for each key that it has, refers to or is
-    referred to by. All of them are counted in one shuffle, combined before it, so a key that many rows share is one row. Only the keys
-    that look wrong there are then looked up in their tables, by hash, and counted exactly. A reference would have to share 128
-    bits with another key of its parent to be overlooked. A key or reference with a NULL passes.
+    Each table is read once and gives a small row (constraint, text of the key, side) for each key that it has, refers to or is
+    referred to by. All of them are counted in one shuffle, combined before it, so a key that many rows share is one row and no table is
+    worked out a second time for the keys that look wrong. Values are compared as text, as a key and its reference may have
+    different number types; where the text of a key of several columns might also be that of another, a hash of the values goes with it.
+    A key or reference with a NULL passes.
     """
     constraints: list[tuple[str, str, str]] = []
-    entries: dict[str, list[tuple[int, str, tuple[str, ...]]]] = {name: [] for name in declared}
+    entries: dict[str, list[tuple[int, str, tuple[str, ...], bool]]] = {name: [] for name in declared}
+
+    def ambiguous(name: str, columns: tuple[str, ...]) -> bool:
+        kinds_of = dict(tables[name].dtypes)
+        return len(columns) > 1 and any(kinds_of[c] == "string" for c in columns)
+
     for name, table in declared.items():
         for columns in [table.key, *table.unique]:
             if columns and "unique" in kinds:
-                entries[name].append((len(constraints), "own", columns))
+                entries[name].append((len(constraints), "own", columns, ambiguous(name, columns)))
                 constraints.append(("unique", name, f"{'_'.join(columns)}_unique"))
         for reference in table.references if "reference" in kinds else ():
-            entries[name].append((len(constraints), "own", reference.columns))
-            entries[reference.parent].append((len(constraints), "parent", reference.parent_columns))
+            hashed = ambiguous(name, reference.columns) or ambiguous(reference.parent, reference.parent_columns)
+            entries[name].append((len(constraints), "own", reference.columns, hashed))
+            entries[reference.parent].append((len(constraints), "parent", reference.parent_columns, hashed))
             constraints.append(("reference", name, f"{'_'.join(reference.columns)}_in_{reference.parent}"))
 
-    def stacked(name: str, with_key: bool) -> DataFrame:
-        def entry(number: int, side: str, columns: tuple[str, ...]) -> Column:
+    def stacked(name: str) -> DataFrame:
+        def entry(number: int, side: str, columns: tuple[str, ...], hashed: bool) -> Column:
             whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
-            key = [_text(columns).alias("key")] if with_key else [F.lit(side == "own").alias("own")]
-            return F.when(whole, F.struct(F.lit(number).alias("number"), *_hashes(columns), *key))
+            told = F.xxhash64(*[F.col(c).cast("string") for c in columns]) if hashed else F.lit(0).cast("bigint")
+            row = F.struct(F.lit(number).alias("number"), told.alias("told"), _text(columns).alias("key"), F.lit(side == "own").alias("own"))
+            return F.when(whole, row)
 
-        wanted = [entry(*e) for e in entries[name] if e[1] == "own" or not with_key]
-        return tables[name].select(F.explode(F.array(*wanted)).alias("e")).filter("e IS NOT NULL").select("e.*")
+        wanted = F.array(*[entry(*e) for e in entries[name]])
+        return tables[name].select(F.explode(wanted).alias("e")).filter("e IS NOT NULL").select("e.*")
 
-    used = [name for name in declared if entries[name]]
     counted = (
-        reduce(DataFrame.unionByName, [stacked(name, False) for name in used])
-        .groupBy("number", "h1", "h2")
+        reduce(DataFrame.unionByName, [stacked(name) for name in declared if entries[name]])
+        .groupBy("number", "told", "key")
         .agg(F.count_if("own").alias("owned"), F.count_if(~F.col("own")).alias("parents"))
     )
     unique = [k for k, (kind, _, _) in enumerate(constraints) if kind == "unique"]
-    doubtful = F.when(F.col("number").isin(unique), F.col("owned") > 1).otherwise((F.col("owned") > 0) & (F.col("parents") == 0))
-    suspects = counted.filter(doubtful).select("number", "h1", "h2")
-    owning = [name for name in used if any(side == "own" for _, side, _ in entries[name])]
-    found = reduce(DataFrame.unionByName, [stacked(name, True) for name in owning]).join(suspects, ["number", "h1", "h2"])
-    exact = found.groupBy("number", "key").agg(F.count(F.lit(1)).alias("n_rows"))
-    exact = exact.filter((F.col("n_rows") > 1) | ~F.col("number").isin(unique))
+    wrong = F.when(F.col("number").isin(unique), F.col("owned") > 1).otherwise((F.col("owned") > 0) & (F.col("parents") == 0))
+    exact = counted.filter(wrong).groupBy("number", "key").agg(F.sum("owned").alias("n_rows"))
     names = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("kind", "table_name", "rule"), c, strict=True)]) for c in constraints])
     return exact.withColumn("c", F.get(names, F.col("number"))).select("c.*", "key", "n_rows")
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 from ovenplan.operators import quality
-from ovenplan.schemas import TABLES, Reference
+from ovenplan.schemas import TABLES, Reference, Table
 from tests.conftest import MONDAY, make, recipe_row, rows
 
 
@@ -121,3 +121,25 @@ def test_the_keys_of_all_tables_share_one_exchange(spark, bakery):
     plan = quality.check_keys(tables, {name: TABLES[name] for name in tables})._jdf.queryExecution().executedPlan().toString()
     # One for the counts, one for the keys that look wrong, one to count those exactly: none per constraint or table.
     assert 2 <= plan.count("Exchange hashpartitioning(number") <= 3
+
+
+def test_tables_are_worked_out_once_for_all_their_keys(spark, bakery):
+    """The keys that look wrong were looked up again: a join that a key of very many rows brought to one task."""
+    tables = flaws(spark, bakery)
+    plan = quality.check_keys(tables, {name: TABLES[name] for name in tables})._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(number") == 2
+
+
+def test_keys_of_like_text_are_told_apart(spark):
+    declared = {
+        "parent": Table("a string, b string", key=("a", "b")),
+        "child": Table("c string, d string", references=(Reference(("c", "d"), "parent", ("a", "b")),)),
+    }
+    tables = {
+        "parent": spark.createDataFrame([("x|y", "z"), ("x", "y|z"), ("p", "q"), ("p", "q"), ("m|n", "o")], "a string, b string"),
+        "child": spark.createDataFrame([("x", "y|z"), ("m", "n|o"), ("m", "n|o"), ("p", None)], "c string, d string"),
+    }
+    assert rows(quality.check_keys(tables, declared)) == [
+        ("reference", "child", "c_d_in_parent", "m|n|o", 2),
+        ("unique", "parent", "a_b_unique", "p|q", 2),
+    ]
