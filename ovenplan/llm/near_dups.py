@@ -8,7 +8,7 @@ edit distance of their words, found in a diagonal band, is at most a fifth of th
 Classes are the connected components of these links. Not all pairs of a bucket are compared to find them: each text is first
 compared with the smallest text of its buckets, in rounds, and only texts of one bucket that are in different components after that
 are compared with each other, first by their lengths and the words they have in common (which bound the edit distance from below),
-then by alignment. No pair of candidates is left out: what isn't compared is connected already or can't be within the limit. The
+then by alignment, where they meet: only links between components leave that group, never pairs. No pair of candidates is left out: what isn't compared is connected already or can't be within the limit. The
 texts of a bucket meet in blocks of bounded size. Exact copies are one text from the start.
 
 Two texts with a share J of common runs miss each other in all sketches with probability (1 - J**PICKED) ** SKETCHES. Measured on
@@ -53,6 +53,8 @@ BAG_BINS = 2048
 #: Counts up to which a product of counts stands for the lesser of them, and rows that are compared with a block at a time.
 LIGHT = 3
 STRIP = 128
+#: Texts of a group up to which its pairs are gone through one by one.
+FEW = 16
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ONE, TWO = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -289,9 +291,10 @@ def near_links(
     members = settled(placed.join(settled(heads, "bucket-heads"), "bucket").select("bucket", "head", "node").distinct(), "bucket-members")
     found = settled(members.select("node").distinct(), "candidate-nodes")
     # Most texts share no bucket: a bitmap of the nodes that do, of bounded size, drops them where they are read.
+    # An inner join, as Spark moves a semi join below the bitmap and then shuffles all texts; the nodes are distinct.
     near = possibly_among(texts, ["node"], key_bitmap(found, ["node"]))
     wanted = settled(
-        near.join(found, "node", "left_semi").dropDuplicates(["node"]).withColumn("n_words", word_count(F.col("text"))), "candidate-texts"
+        near.join(found, "node").dropDuplicates(["node"]).withColumn("n_words", word_count(F.col("text"))), "candidate-texts"
     )
     star = settled(
         members.filter("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("agreed")), "star-pairs"
@@ -301,12 +304,13 @@ def near_links(
     links = settled(verified(closest, wanted, similarity), "links-found")
     tried = settled(closest, "pairs-tried")
     comps = components(links)
-    for rest in (lambda now: other_heads(star, now), lambda now: cross_pairs(members, now, wanted, similarity)):
-        pairs = settled(rest(comps).join(tried, ["a", "b"], "left_anti"), "pairs-left")
-        if pairs.isEmpty():
-            continue
+    pairs = settled(other_heads(star, comps).join(tried, ["a", "b"], "left_anti"), "pairs-left")
+    if not pairs.isEmpty():
         links = settled(links.unionByName(verified(pairs, wanted, similarity)), "links-found")
-        tried = settled(tried.unionByName(pairs), "pairs-tried")
+        comps = components(links)
+    across = settled(cross_pairs(members, comps, wanted, similarity), "links-across")
+    if not across.isEmpty():
+        links = settled(links.unionByName(across), "links-found")
         comps = components(links)
     return links, comps
 
@@ -360,29 +364,80 @@ def open_pairs(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sides: n
     return out
 
 
+def linked_pairs(
+    nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sides: np.ndarray, texts: list[str], places: list[list[int]], bucket: int, similarity: float
+) -> list[tuple[int, int, int]]:
+    """Near duplicates (a, b, edits) among the texts of a group, as far as they connect components: at most one fewer than texts.
+
+    ``places`` are the open buckets of each text. A pair that shares several is compared in one of them, told by its names, so the
+    work of a pair isn't repeated and no bucket gets all of it.
+    """
+    row_of = dict(zip(nodes.tolist(), range(len(nodes)), strict=True))
+    labels, shared = comps.tolist(), [set(p) for p in places]
+    above: dict[int, int] = {}
+    spelt: dict[str, str] = {}  # each word is held once, however many texts have it
+    held: dict[int, tuple[list[str], Counter]] = {}
+    out = []
+
+    def root(label: int) -> int:
+        while (up := above.get(label, label)) != label:
+            above[label] = above.get(up, up)
+            label = up
+        return label
+
+    def read(row: int) -> tuple[list[str], Counter]:
+        if row not in held:
+            words = [spelt.setdefault(w, w) for w in words_of(texts[row])]
+            held[row] = words, Counter(words)
+        return held[row]
+
+    if len(nodes) > FEW:
+        pairs = [(row_of[a], row_of[b]) for a, b in open_pairs(nodes, comps, sizes, sides, [word_bag(t) for t in texts], similarity)]
+    else:
+        across = sides.min() != sides.max()
+        pairs = [(i, j) for i in range(len(nodes)) for j in range(i + 1, len(nodes)) if not across or sides[i] != sides[j]]
+    names, n_words = nodes.tolist(), sizes.tolist()
+    for i, j in pairs:
+        (a, i), (b, j) = sorted([(names[i], i), (names[j], j)])
+        longer = max(n_words[i], n_words[j])
+        if longer - min(n_words[i], n_words[j]) > edits_allowed(longer, similarity):
+            continue
+        both = shared[i] & shared[j]
+        if len(both) > 1 and sorted(both)[(a ^ b) % len(both)] != bucket:
+            continue
+        one, two = root(labels[i]), root(labels[j])
+        if one == two:
+            continue
+        (x, x_counts), (y, y_counts) = read(i), read(j)
+        limit = edits_allowed(max(len(x), len(y)), similarity)
+        if max(len(x), len(y)) - (x_counts & y_counts).total() > limit:
+            continue
+        found = distance_within(x, y, limit)
+        if found is not None:
+            above[one] = two
+            out.append((a, b, found))
+    return out
+
+
 def cross_pairs(members: DataFrame, comps: DataFrame, wanted: DataFrame, similarity: float, block: int = OPEN_BLOCK) -> DataFrame:
-    """Pairs of texts that share a bucket but no component, as far as lengths and words allow a link.
+    """Near duplicates (a, b, edits) that share a bucket but no component, as many as connect the components.
 
-    A bucket is dealt into blocks of about ``block`` texts, and every two of its blocks meet in a group of their own.
+    A bucket is dealt into blocks of about ``block`` texts, and every two of its blocks meet in a group of their own with their texts.
+    Pairs are compared there: their number may grow with the square of a bucket, so only links leave the group.
     """
     labelled = _labelled(members.select("bucket", "node"), comps, "node", "comp")
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("_n")).filter("least < most")
     open_ = settled(labelled.join(mixed.select("bucket", "_n"), "bucket"), "open-buckets")
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([word_bag(t) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_words"), found], names=["node", "n_words", "bag"])
-
-    bagged = wanted.join(open_.select("node").distinct(), "node", "left_semi").select("node", "n_words", "text")
-    bagged = bagged.mapInArrow(bags, "node long, n_words long, bag binary")
+    # A text has at most as many buckets as it has sketches and, if it is short, first runs.
+    placed = open_.groupBy("node").agg(F.collect_set("bucket").alias("places"))
+    texts = wanted.select("node", "n_words", "text").join(placed, "node")
     last = F.ceil(F.col("_n") / block).cast("long") - 1
     dealt = (
         open_.withColumn("_last", last)
         .withColumn("side", F.pmod(F.xxhash64("node"), F.col("_last") + 1))
         .withColumn("_other", F.explode(F.expr("sequence(0L, _last)")))
         .select("bucket", F.least("side", "_other").alias("low"), F.greatest("side", "_other").alias("high"), "node", "comp", "side")
-        .join(bagged, "node")
+        .join(texts, "node")
     )
     keys = ["bucket", "low", "high"]
     met = dealt.repartition(*keys).sortWithinPartitions(*keys)
@@ -394,8 +449,9 @@ def cross_pairs(members: DataFrame, comps: DataFrame, wanted: DataFrame, similar
         def group() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
             columns = [table.column(c).to_numpy() for c in ("node", "comp", "n_words", "side")]
-            ends = list(zip(*open_pairs(*columns, table.column("bag").to_pylist(), similarity), strict=True)) or [[], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ends], names=["a", "b"])
+            links = linked_pairs(*columns, table.column("text").to_pylist(), table.column("places").to_pylist(), int(before[0]), similarity)
+            ends = list(zip(*links, strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ends], names=["a", "b", "edits"])
 
         for batch in batches:
             named = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
@@ -410,7 +466,7 @@ def cross_pairs(members: DataFrame, comps: DataFrame, wanted: DataFrame, similar
         if held:
             yield group()
 
-    return met.select(*keys, "node", "comp", "n_words", "side", "bag").mapInArrow(work, "a long, b long").distinct()
+    return met.select(*keys, "node", "comp", "n_words", "side", "text", "places").mapInArrow(work, "a long, b long, edits long")
 
 
 def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str, exact: bool) -> tuple[DataFrame, DataFrame]:

@@ -178,6 +178,22 @@ def test_texts_that_share_much_meet_in_blocks(spark):
     assert as_tuples(near_dups.near_duplicates(docs), "doc_id", "class_id") == sorted(enumerate(brute_classes(texts)), key=repr)
 
 
+def test_only_links_leave_a_group(spark):
+    """Near copies in components of their own, in three buckets: as many links as connect them, not all pairs, and none in two buckets."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(60)]
+    texts = [" ".join(edited(rng, base, 3)) for _ in range(40)] + [" ".join(f"x{k}y{j}" for j in range(60)) for k in range(5)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    nodes = docs.select(F.xxhash64("text").alias("node"), "text", near_dups.word_count(F.col("text")).alias("n_words"))
+    members = nodes.select("node", F.explode(F.array(*[F.lit(b).cast("long") for b in (1, 2, 3)])).alias("bucket"))
+    none = nodes.select("node", F.col("node").alias("comp")).limit(0)
+    links = near_dups.cross_pairs(members, none, nodes, 0.8).collect()
+    assert 39 <= len(links) <= 3 * 39 and len({(r.a, r.b) for r in links}) == len(links)
+    assert all(0 < r.edits <= 12 for r in links)
+    found = components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long"))
+    assert found.count() == 40 and found.select("comp").distinct().count() == 1
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(WORDS.filter(bool), min_size=2, max_size=8), st.integers(0, 2))
 def test_bags_never_part_near_duplicates(texts, sides):
