@@ -67,28 +67,47 @@ def check_keys(
     tables: Mapping[str, DataFrame], declared: Mapping[str, Table], kinds: Sequence[str] = ("unique", "reference")
 ) -> DataFrame:
     """``kind, table_name, rule, key, n_rows``: every repeated key (kind ``unique``) and every reference without a parent (kind
-    ``reference``) of all declared tables.
+    ``reference``) of all declared tables. A key or reference with a NULL passes."""
+    reports = [report for kind, report in (("unique", _repeated_keys), ("reference", _lost_references)) if kind in kinds]
+    return reduce(DataFrame.unionByName, [report(tables, declared) for report in reports])
 
-    Each table is read once and gives a small row (constraint, text of the key, side) for each key that it has, refers to or is
-    referred to by. All of them are counted in one shuffle, combined before it, so a key that many rows share is one row and no table is
+
+def _ambiguous(table: DataFrame, columns: tuple[str, ...]) -> bool:
+    """Whether the text of a key of several columns might also be that of another."""
+    kinds_of = dict(table.dtypes)
+    return len(columns) > 1 and any(kinds_of[c] == "string" for c in columns)
+
+
+def _repeated_keys(tables: Mapping[str, DataFrame], declared: Mapping[str, Table]) -> DataFrame:
+    """Keys are counted as the values they are, so a table that is dealt out by its key already isn't shuffled again, and only keys
+    that repeat become text. Keys of equal text are one."""
+    found: dict[bool, list[DataFrame]] = {True: [], False: []}
+    for name, table in declared.items():
+        for columns in [c for c in [table.key, *table.unique] if c]:
+            whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+            # NULLs are left out together with the count: alone, that filter would move below the table's own shuffles, which then
+            # serve no other reader.
+            counted = tables[name].groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.when(whole, F.col("n_rows")) > 1)
+            labels = [F.lit(x).alias(n) for n, x in (("kind", "unique"), ("table_name", name), ("rule", f"{'_'.join(columns)}_unique"))]
+            found[_ambiguous(tables[name], columns)].append(counted.select(*labels, _text(columns).alias("key"), "n_rows"))
+    reports = found[False]
+    if found[True]:
+        told = reduce(DataFrame.unionByName, found[True]).groupBy("kind", "table_name", "rule", "key").agg(F.sum("n_rows").alias("n_rows"))
+        reports = [*reports, told]
+    return reduce(DataFrame.unionByName, reports)
+
+
+def _lost_references(tables: Mapping[str, DataFrame], declared: Mapping[str, Table]) -> DataFrame:
+    """Each table is read once and gives a small row (constraint, text of the key, side) for each key that it refers to or is referred
+    to by. All of them are counted in one shuffle, combined before it, so a key that many rows share is one row and no table is
     worked out a second time for the keys that look wrong. Values are compared as text, as a key and its reference may have
     different number types; where the text of a key of several columns might also be that of another, a hash of the values goes with it.
-    A key or reference with a NULL passes.
     """
     constraints: list[tuple[str, str, str]] = []
     entries: dict[str, list[tuple[int, str, tuple[str, ...], bool]]] = {name: [] for name in declared}
-
-    def ambiguous(name: str, columns: tuple[str, ...]) -> bool:
-        kinds_of = dict(tables[name].dtypes)
-        return len(columns) > 1 and any(kinds_of[c] == "string" for c in columns)
-
     for name, table in declared.items():
-        for columns in [table.key, *table.unique]:
-            if columns and "unique" in kinds:
-                entries[name].append((len(constraints), "own", columns, ambiguous(name, columns)))
-                constraints.append(("unique", name, f"{'_'.join(columns)}_unique"))
-        for reference in table.references if "reference" in kinds else ():
-            hashed = ambiguous(name, reference.columns) or ambiguous(reference.parent, reference.parent_columns)
+        for reference in table.references:
+            hashed = _ambiguous(tables[name], reference.columns) or _ambiguous(tables[reference.parent], reference.parent_columns)
             entries[name].append((len(constraints), "own", reference.columns, hashed))
             entries[reference.parent].append((len(constraints), "parent", reference.parent_columns, hashed))
             constraints.append(("reference", name, f"{'_'.join(reference.columns)}_in_{reference.parent}"))
@@ -108,9 +127,7 @@ def check_keys(
         .groupBy("number", "told", "key")
         .agg(F.count_if("own").alias("owned"), F.count_if(~F.col("own")).alias("parents"))
     )
-    unique = [k for k, (kind, _, _) in enumerate(constraints) if kind == "unique"]
-    wrong = F.when(F.col("number").isin(unique), F.col("owned") > 1).otherwise((F.col("owned") > 0) & (F.col("parents") == 0))
-    exact = counted.filter(wrong).groupBy("number", "key").agg(F.sum("owned").alias("n_rows"))
+    exact = counted.filter("owned > 0 AND parents = 0").groupBy("number", "key").agg(F.sum("owned").alias("n_rows"))
     names = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("kind", "table_name", "rule"), c, strict=True)]) for c in constraints])
     return exact.withColumn("c", F.get(names, F.col("number"))).select("c.*", "key", "n_rows")
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from ovenplan.operators import quality
 from ovenplan.schemas import TABLES, Reference, Table
 from tests.conftest import MONDAY, make, recipe_row, rows
@@ -143,3 +145,21 @@ def test_keys_of_like_text_are_told_apart(spark):
         ("reference", "child", "c_d_in_parent", "m|n|o", 2),
         ("unique", "parent", "a_b_unique", "p|q", 2),
     ]
+
+
+def test_keys_that_a_table_is_dealt_by_are_not_shuffled_again(spark):
+    lines = spark.range(60).select((F.col("id") % 20).alias("k"), F.lit("x|y").alias("a"), F.col("id").alias("v"))
+    table = lines.groupBy("k", "a").agg(F.sum("v").alias("v"))
+    declared = {"t": Table("k bigint, v bigint", key=("k",))}
+    by_key = lines.groupBy("k").agg(F.sum("v").alias("v"))
+    plan = quality.check_keys({"t": by_key}, declared, ["unique"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    twice = table.unionByName(table.filter("k = 3"))
+    found = quality.check_keys({"t": twice}, {"t": Table("k bigint, a string, v bigint", key=("k", "a"), unique=(("v",),))}, ["unique"])
+    assert rows(found.select("rule", "key", "n_rows")) == [("k_a_unique", "3|x|y", 2), ("v_unique", "69", 2)]
+
+
+def test_repeated_keys_of_equal_text_are_one(spark):
+    table = spark.createDataFrame([("a|b", "c"), ("a|b", "c"), ("a", "b|c"), ("a", "b|c"), ("a", "b|c"), (None, "z"), (None, "z"), ("a|b", "d")], "k string, l string")
+    found = quality.check_keys({"t": table}, {"t": Table("k string, l string", key=("k", "l"))}, ["unique"])
+    assert [tuple(r) for r in found.collect()] == [("unique", "t", "k_l_unique", "a|b|c", 5)]
