@@ -18,6 +18,8 @@ from ovenplan.operators.skew import skew_join
 from ovenplan.session import shared_folder
 
 PIECE = 3
+# So many patterns with their keys are sent to every task rather than the rows to them: some megabytes at most.
+FEW_PATTERNS = 50_000
 
 
 def _pieces(text: DataFrame, column: str, sizes: Column) -> DataFrame:
@@ -162,15 +164,22 @@ def resolve_keys(df: DataFrame, lookups: Mapping[str, tuple[DataFrame, str, str]
     counted = df.select(each.alias("e")).groupBy("e.column", "e.pattern").agg(F.count(F.lit(1)).alias("n"))
     counted.write.parquet(folder)
     counted = df.sparkSession.read.schema(counted.schema).parquet(folder)
+    sizes = {column: size for column, size in counted.groupBy("column").count().collect()}
     resolved = df
-    for target, (dim, name_col, id_col) in lookups.items():
+    # Columns of few patterns first: their rows stay where they are, and the later shuffles carry keys instead of these texts.
+    for target in sorted(lookups, key=lambda t: sizes.get(columns[t][0], 0)):
+        dim, name_col, id_col = lookups[target]
         column, _, key = columns[target]
         counts = counted.filter(F.col("column") == column).select(F.col("pattern").alias(column), "n")
         found = lookup_id(dim, name_col, id_col, counts, column).select(
             F.col("pattern").alias(column), F.col("id").alias(key or id_col)
         )
-        resolved = skew_join(resolved, found, [column], counts, "left").drop(column)
-    return resolved
+        if sizes.get(column, 0) <= FEW_PATTERNS:
+            resolved = resolved.join(F.broadcast(found), column, "left").drop(column)
+        else:
+            resolved = skew_join(resolved, found, [column], counts, "left").drop(column)
+    kept = [c for c in df.columns if c not in {column for column, _, _ in columns.values()}]
+    return resolved.select(*kept, *[key or lookups[target][2] for target, (_, _, key) in columns.items()])
 
 
 def complete(required: Sequence[str]) -> Column:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from ovenplan.operators import lookup
 from ovenplan.operators.lookup import complete, find_id, lookup_id, resolve_keys
@@ -93,3 +94,51 @@ def test_matches_are_all_pairs_that_like_gives(spark):
     lower = dim.selectExpr("lower(name) AS name").distinct()
     pairs = asked.distinct().crossJoin(lower).filter("name LIKE lower(p)").select("p", "name")
     assert found == {tuple(r) for r in pairs.collect()}
+
+
+def named_batch(spark):
+    parties = spark.createDataFrame([("Lark", 1), ("Bar", 2), ("bar", 0)], "party_name string, party_id int")
+    shapes = spark.createDataFrame([("shape 1", 1), ("shape 2", 2)], "shape_name string, shape_id int")
+    batch = spark.createDataFrame(
+        [("lark", "SHAPE%1", 1), ("BAR", "shape 2", 2), ("BAR", None, 2), ("nobody", "shape%", 3), (None, "x", 4)],
+        "customer string, shape string, amt int",
+    )
+    return batch, {"customer>customer_id": (parties, "party_name", "party_id"), "shape": (shapes, "shape_name", "shape_id")}
+
+
+def test_few_patterns_go_to_the_rows_and_many_meet_them_in_a_shuffle(spark, monkeypatch):
+    """All rows were shuffled once per name column, with the texts of all columns that were not resolved yet."""
+    batch, lookups = named_batch(spark)
+    wanted = sorted([(1, 1, 1), (2, 0, 2), (2, 0, None), (3, None, 1), (4, None, None)], key=repr)
+    for few, shuffled in ((lookup.FEW_PATTERNS, set()), (4, {"shape"}), (0, {"customer", "shape"})):
+        monkeypatch.setattr(lookup, "FEW_PATTERNS", few)
+        resolved = resolve_keys(batch, lookups)
+        assert resolved.columns == ["amt", "customer_id", "shape_id"] and rows(resolved) == wanted
+        plan = resolved._jdf.queryExecution().executedPlan().toString()
+        assert set(re.findall(r"SortMergeJoin \[(\w+)#\d+, _piece#\w+\], .*LeftOuter", plan)) == shuffled
+
+
+def test_customers_are_resolved_per_order_not_per_line(spark, monkeypatch, tmp_path):
+    from ovenplan.plans.catalog import CATALOG
+    from ovenplan.sources.binding import SOURCES
+
+    monkeypatch.setattr(lookup, "FEW_PATTERNS", 0)
+    made = {
+        "customer": "SELECT 7L AS c_custkey, 'Customer 7' AS c_name",
+        "supplier": "SELECT 7L AS s_suppkey, 'Supplier 7' AS s_name, 0 AS s_nationkey",
+        "part": "SELECT * FROM VALUES (1L, 'rye', 'PROMO'), (2L, 'oat', 'ECONOMY') AS t(p_partkey, p_name, p_type)",
+        "orders": "SELECT * FROM VALUES (10L, 7L), (11L, 8L), (10L, 7L), (12L, NULL) AS t(o_orderkey, o_custkey)",
+        "lineitem": "SELECT o AS l_orderkey, p AS l_partkey, CAST(p AS INT) AS l_linenumber, 3D AS l_quantity, TIMESTAMP_NTZ'1998-01-05 00:00:00' AS l_shipdate "
+        "FROM VALUES (10L, 1L), (10L, 2L), (11L, 1L), (12L, 1L), (13L, 1L), (NULL, 1L), (10L, NULL) AS t(o, p)",
+    }
+    for name in SOURCES:
+        frame = spark.sql(made[name]) if name in made else spark.createDataFrame([], SOURCES[name])
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = CATALOG["snk_resolve_append"](spark, str(tmp_path))
+    day = "1998-01-05"
+    assert rows(found.select("delivery_date", "customer_id", "product_id", "shape_id", "amt", "outcome")) == sorted(
+        [(day, 7, 1, 1, 3, "accepted"), (day, 7, None, 2, 3, "rejected")] * 2, key=repr
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    [spread] = re.findall(r"xxhash64\(([^)]*)\), CASE WHEN isnull\(customer#", plan)
+    assert "o_orderkey" in spread and "delivery_date" not in spread
