@@ -5,7 +5,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ovenplan.operators import quality
+from ovenplan.plans import catalog
 from ovenplan.schemas import TABLES, Reference, Table
+from ovenplan.sources import binding
 from tests.conftest import MONDAY, make, recipe_row, rows
 
 
@@ -163,3 +165,66 @@ def test_repeated_keys_of_equal_text_are_one(spark):
     table = spark.createDataFrame([("a|b", "c"), ("a|b", "c"), ("a", "b|c"), ("a", "b|c"), ("a", "b|c"), (None, "z"), (None, "z"), ("a|b", "d")], "k string, l string")
     found = quality.check_keys({"t": table}, {"t": Table("k string, l string", key=("k", "l"))}, ["unique"])
     assert [tuple(r) for r in found.collect()] == [("unique", "t", "k_l_unique", "a|b|c", 5)]
+
+
+def sources(spark, **lacking):
+    """Two parts of two suppliers, four orders of two customers; ``lacking`` takes a table's value of one column out of its second row."""
+    day = dt.datetime(1998, 1, 4)
+    told = {
+        "region": [(0, "AFRICA")],
+        "nation": [(1, "KENYA", 0), (2, "EGYPT", 0)],
+        "customer": [(n, f"c{n}", 1, 10.0 * n, "AUTO") for n in (1, 2)],
+        "supplier": [(n, f"s{n}", n, -1.0) for n in (1, 2)],
+        "part": [(n, f"p{n}", "b", "PROMO", 3, 1.0) for n in (11, 22)],
+        "orders": [(n, 1 + n % 2, "OFP"[n % 3], 9.0, day + dt.timedelta(days=n), "1-URGENT") for n in range(1, 5)],
+        "lineitem": [(n, p, s, k, 46.0 + k, 9.0, 0.05, 0.01 * k, "R", "F", day + dt.timedelta(days=9)) for n in range(1, 5) for k, (p, s) in enumerate(((11, 1), (22, 2)), 1)],
+    }
+    out = {}
+    for name, values in told.items():
+        df = spark.createDataFrame(values, binding.SOURCES[name])
+        gone = {lacking[name]: F.when(F.monotonically_increasing_id() != 1, F.col(lacking[name]))} if name in lacking else {}
+        out[name] = df.coalesce(1).withColumns(gone)
+    return out
+
+
+HEAVY = ["special_orders", "standing_orders", "standing_change_log", "product_ingredients", "product_ingredients_changes", "product_shapes", "tmp_chng"]
+
+
+def missing_of(tables):
+    t = catalog.flawed(binding.Bakery(tables))
+    return quality.check_missing({name: t[name] for name in HEAVY}, {name: TABLES[name] for name in HEAVY})
+
+
+def test_columns_without_a_null_are_marked(spark):
+    plain = sources(spark, orders="o_custkey", lineitem="l_quantity")
+    marked = binding.mark_whole(plain)
+    for name, df in marked.items():
+        assert df.dtypes == plain[name].dtypes and rows(df) == rows(plain[name])
+        assert [f.name for f in df.schema if f.nullable] == {"orders": ["o_custkey"], "lineitem": ["l_quantity"]}.get(name, [])
+    assert binding.mark_whole({"part": plain["part"].filter("false")})["part"].count() == 0
+
+
+def test_tests_that_cannot_fail_need_no_join_of_orders_and_lines(spark):
+    """Orders met all their lines, and these were grouped, for every table made of them, to look for a NULL that no table has."""
+    found, plain = missing_of(binding.mark_whole(sources(spark))), missing_of(sources(spark))
+    plan, before = (df._jdf.queryExecution().optimizedPlan().toString() for df in (found, plain))
+    # What is left are the changes of every eleventh product, whose percent is a fault put in.
+    assert plan.count("Join") == plan.count("Aggregate") == 1 and before.count("Join") > 4 and before.count("Aggregate") > 4
+    assert rows(found) == rows(plain) and {r["rule"] for r in found.collect()} == {"percent_multiplier_not_null"}
+
+
+def test_marked_tables_give_the_missing_values_of_plain_ones(spark):
+    for lacking in (dict(orders="o_custkey", lineitem="l_quantity"), dict(orders="o_orderdate", lineitem="l_partkey"), dict(lineitem="l_tax", part="p_size")):
+        plain = sources(spark, **lacking)
+        found = rows(missing_of(binding.mark_whole(plain)))
+        assert found == rows(missing_of(plain)) and len({r[1] for r in found}) > 1
+
+
+def test_without_ansi_mode_nothing_made_is_marked(spark):
+    marked = binding.mark_whole(sources(spark))
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert binding.product_ingredients(marked).schema["bakers_percent"].nullable
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+    assert not binding.product_ingredients(marked).schema["bakers_percent"].nullable
