@@ -8,7 +8,8 @@ those that survive all levels. Ties at the k-th score survive, so the result is
 
 The k-th best score of each query over a sample of at most ``SEEDS`` vectors is where pruning starts; it is a true lower bound, so
 the sample changes speed only. Vectors are packed into blocks and dealt into groups; the queries, also in blocks, are copied to
-every group; each task meets one pair of blocks at a time and gives at most k rows per query.
+every group; each task meets one pair of blocks at a time and gives at most k rows per query. Both sides are shuffled: Spark guesses
+the size of the copied queries without the copies and would send them all through the driver.
 
 Components are turned into whole numbers floor(scale * x), and products of whole numbers are exact in double precision below 2**53
 (beyond that they are computed with integers of any size, and scores outside 64 bits stop at the limits).
@@ -107,8 +108,8 @@ class Block:
         return self.ids[alive][order], scores[order]
 
 
-def _packed(vectors: DataFrame, id_col: str, vector_col: str, scale: int, size: int, groups: int) -> DataFrame:
-    """Blocks of at most ``size`` vectors: block (hash of its content), grp, dims, ids and rows as bytes."""
+def _packed(vectors: DataFrame, id_col: str, vector_col: str, scale: int, size: int) -> DataFrame:
+    """Blocks of at most ``size`` vectors: block (hash of its content), dims, ids and rows as bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +117,13 @@ def _packed(vectors: DataFrame, id_col: str, vector_col: str, scale: int, size:
             for ids, matrix in whole_vectors(batch.column("_id"), batch.column("_vector"), scale):
                 for begin in range(0, len(ids), size):
                     names, rows = ids[begin : begin + size].tobytes(), matrix[begin : begin + size].tobytes()
-                    block = xxhash.xxh64_intdigest(names + rows) >> 1
-                    out.append((block, block % groups, matrix.shape[1], names, rows))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "grp", "dims", "ids", "rows"])
+                    out.append((xxhash.xxh64_intdigest(names + rows) >> 1, matrix.shape[1], names, rows))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "dims", "ids", "rows"])
 
     chosen = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_vector"))
-    return chosen.mapInArrow(work, "block long, grp int, dims int, ids binary, rows binary")
+    return chosen.mapInArrow(work, "block long, dims int, ids binary, rows binary")
 
 
 def _searched(pairs: DataFrame, k: int) -> DataFrame:
@@ -185,18 +185,20 @@ def top_k(
     """query_id, rank, vec_id, score: for every row of ``vectors`` that ``queries`` selects, its k best other vectors."""
     spark = vectors.sparkSession
     importable(spark)
-    groups = shuffle_width(spark)
-    blocks = settled(_packed(vectors, id_col, vector_col, scale, BLOCK, groups), "vector-blocks")
+    blocks = settled(_packed(vectors, id_col, vector_col, scale, BLOCK), "vector-blocks")
+    # No more groups than blocks: a copy of the queries for a group without a block would meet nothing.
+    groups = max(1, min(shuffle_width(spark), blocks.count()))
     asking = vectors.filter(queries).select(id_col, vector_col).dropDuplicates([id_col, vector_col])
     spread = max(1, asking.count() // QUERY_BLOCK)
-    packed = _packed(asking.repartition(spread), id_col, vector_col, scale, QUERY_BLOCK, groups)
+    packed = _packed(asking.repartition(spread), id_col, vector_col, scale, QUERY_BLOCK)
     asked = packed.select(F.col("block").alias("q_block"), "dims", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
     sample = vectors.select(id_col, vector_col).orderBy(F.xxhash64(id_col), id_col).limit(SEEDS).repartition(1)
-    seeds = _packed(sample, id_col, vector_col, scale, SEEDS, 1)
+    seeds = _packed(sample, id_col, vector_col, scale, SEEDS)
     floored = settled(_with_floors(asked, seeds, k), "query-blocks")
-    # The queries go to every group of blocks; the blocks stay one copy.
-    everywhere = floored.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("grp", F.col("grp").cast("int"))
-    found = _searched(blocks.join(everywhere, ["grp", "dims"]), k)
+    # The queries go to every group of blocks; the blocks stay one copy. The guessed size of ``everywhere`` is that of one copy.
+    dealt = blocks.withColumn("grp", F.pmod("block", F.lit(groups)).cast("int"))
+    everywhere = floored.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    found = _searched(dealt.join(everywhere.hint("merge"), ["grp", "dims"]), k)
     best = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best))

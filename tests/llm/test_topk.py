@@ -54,6 +54,13 @@ def test_small_blocks_and_seeds_change_nothing(spark, monkeypatch):
     assert search(spark, rows) == brute(rows, 5, 4)
 
 
+def test_copied_queries_are_not_broadcast(spark):
+    """The size that Spark guesses for the queries copied to every group lacks the copies, so they were sent whole to the driver."""
+    found = topk.top_k(table(spark, [(i, [float(i), 1.0]) for i in range(20)]), F.col("vec_id") % 5 == 0, k=4)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate explode" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     rows, query = rng.normal(size=(500, 37)) * 100, rng.normal(size=37) * 100
