@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ovenplan.schemas import Reference, Rule, Table
 
+#: Columns of a reference from which on its keys are taken to differ from row to row.
+WIDE = 3
+
 
 def _text(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
@@ -102,32 +105,43 @@ def _lost_references(tables: Mapping[str, DataFrame], declared: Mapping[str, Tab
     to by. All of them are counted in one shuffle, combined before it, so a key that many rows share is one row and no table is
     worked out a second time for the keys that look wrong. Values are compared as text, as a key and its reference may have
     different number types; where the text of a key of several columns might also be that of another, a hash of the values goes with it.
+
+    Keys of ``WIDE`` columns or more hardly repeat. Combined before the shuffle like the others they only fill the memory of its tasks, so that
+    the counts of all keys go to disk; their rows are dealt out by the key as they are and counted there.
     """
     constraints: list[tuple[str, str, str]] = []
-    entries: dict[str, list[tuple[int, str, tuple[str, ...], bool]]] = {name: [] for name in declared}
+    entries: dict[tuple[str, bool], list[tuple[int, str, tuple[str, ...], bool]]] = {(name, wide): [] for name in declared for wide in (False, True)}
     for name, table in declared.items():
         for reference in table.references:
             hashed = _ambiguous(tables[name], reference.columns) or _ambiguous(tables[reference.parent], reference.parent_columns)
-            entries[name].append((len(constraints), "own", reference.columns, hashed))
-            entries[reference.parent].append((len(constraints), "parent", reference.parent_columns, hashed))
+            wide = len(reference.columns) >= WIDE
+            entries[name, wide].append((len(constraints), "own", reference.columns, hashed))
+            entries[reference.parent, wide].append((len(constraints), "parent", reference.parent_columns, hashed))
             constraints.append(("reference", name, f"{'_'.join(reference.columns)}_in_{reference.parent}"))
 
-    def stacked(name: str) -> DataFrame:
+    def stacked(name: str, wide: bool) -> DataFrame:
         def entry(number: int, side: str, columns: tuple[str, ...], hashed: bool) -> Column:
             whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
             told = F.xxhash64(*[F.col(c).cast("string") for c in columns]) if hashed else F.lit(0).cast("bigint")
             row = F.struct(F.lit(number).alias("number"), told.alias("told"), _text(columns).alias("key"), F.lit(side == "own").alias("own"))
             return F.when(whole, row)
 
-        wanted = F.array(*[entry(*e) for e in entries[name]])
+        wanted = F.array(*[entry(*e) for e in entries[name, wide]])
         return tables[name].select(F.explode(wanted).alias("e")).filter("e IS NOT NULL").select("e.*")
 
-    counted = (
-        reduce(DataFrame.unionByName, [stacked(name) for name in declared if entries[name]])
-        .groupBy("number", "told", "key")
-        .agg(F.count_if("own").alias("owned"), F.count_if(~F.col("own")).alias("parents"))
-    )
-    exact = counted.filter("owned > 0 AND parents = 0").groupBy("number", "key").agg(F.sum("owned").alias("n_rows"))
+    def counted(wide: bool) -> list[DataFrame]:
+        stacks = [stacked(name, wide) for name in declared if entries[name, wide]]
+        if not stacks:
+            return []
+        rows = reduce(DataFrame.unionByName, stacks)
+        if wide:
+            # By number of partitions, so that these are not joined to ones whose keys fill a task's memory again.
+            rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+        counts = rows.groupBy("number", "told", "key").agg(F.count_if("own").alias("owned"), F.count_if(~F.col("own")).alias("parents"))
+        return [counts.filter("owned > 0 AND parents = 0")]
+
+    lost = reduce(DataFrame.unionByName, [*counted(False), *counted(True)])
+    exact = lost.groupBy("number", "key").agg(F.sum("owned").alias("n_rows"))
     names = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("kind", "table_name", "rule"), c, strict=True)]) for c in constraints])
     return exact.withColumn("c", F.get(names, F.col("number"))).select("c.*", "key", "n_rows")
 

@@ -134,6 +134,25 @@ def test_tables_are_worked_out_once_for_all_their_keys(spark, bakery):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning(number") == 2
 
 
+def test_wide_keys_are_not_combined_before_the_shuffle(spark):
+    """Keys that hardly repeat filled the memory of the tasks that combined them, and the counts of all keys went to disk."""
+    declared = {
+        "parent": Table("a int, b int, c int", key=("a", "b", "c")),
+        "child": Table("a int, b int, c int", references=(Reference(("a", "b", "c"), "parent", ("a", "b", "c")), Reference(("a",), "other", ("k",)))),
+        "other": Table("k int", key=("k",)),
+    }
+    tables = {
+        "parent": spark.createDataFrame([(1, 2, 3), (1, 2, 3), (4, 5, 6)], "a int, b int, c int"),
+        "child": spark.createDataFrame([(1, 2, 3), (1, 2, 4), (1, 2, 4), (4, None, 7)], "a int, b int, c int"),
+        "other": spark.createDataFrame([(1,)], "k int"),
+    }
+    found = quality.check_keys(tables, declared, ["reference"])
+    assert rows(found) == [("reference", "child", "a_b_c_in_parent", "1|2|4", 2), ("reference", "child", "a_in_other", "4", 1)]
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [lines[k + 1] for k, line in enumerate(lines) if "Exchange hashpartitioning(key" in line]
+    assert below and not any("Aggregate" in line for line in below)
+
+
 def test_keys_of_like_text_are_told_apart(spark):
     declared = {
         "parent": Table("a string, b string", key=("a", "b")),
